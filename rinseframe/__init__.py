@@ -1,5 +1,9 @@
 """Table cleaning, validation and profiling on Spark DataFrames."""
 
+import sys
+
+from pyspark import cloudpickle
+
 from rinseframe import operators  # noqa: F401
 from rinseframe.frames import nan_to_null
 from rinseframe.model import ALL_TEXT, ROW_ID, Proposal, Recipe, Rulebook
@@ -14,6 +18,9 @@ from rinseframe.plans.report import audit_trail, cleaning_impact, rule_summary,
 from rinseframe.plans.saved import CleaningPlan
 from rinseframe.sources.tables import read_csv, read_parquet, with_row_id, write_csv, write_parquet
 
+# The few functions that run inside Python tasks travel with them, so executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 __all__ = [
     "ALL_TEXT", "ROW_ID", "CleaningPlan", "Context", "Proposal", "Recipe", "Rulebook", "accept", "apply_prefix",
     "apply_recipe", "audit_trail", "check_expression", "cleaning_impact", "find_problems", "nan_to_null",

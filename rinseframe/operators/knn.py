@@ -36,10 +36,12 @@ from rinseframe.plans.runtime import durable
 from rinseframe.sources.tables import with_row_id
 
 NEIGHBOURS = 5
-CELL_ROWS = 50_000
+CELL_ROWS = 100_000
 CHUNK_ROWS = 2_000
 MAX_CELLS = 4_000
-BLOCK = 128
+# Inside a task: receivers measured together, and donors looked at first on either side of them.
+BLOCK = 32
+LOOK = 256
 # A lookup of cells is broadcast up to this many rows (about 30 bytes each), joined by key beyond.
 LOOKUP_ROWS = 200_000
 
@@ -67,79 +69,120 @@ def _cut_patterns(patterns: list[int], spread: list[float], present: list[float]
     return cuts
 
 
-def _best(receivers: pd.DataFrame, donors: pd.DataFrame, p: int, width: int, k: int) -> pd.DataFrame:
-    """k nearest donors of every receiver of one group: (id, donor, d2, y)."""
+def _k_smallest(d2: np.ndarray, k: int) -> np.ndarray:
+    """The k-th smallest entry of each row; infinite when a row has fewer."""
+    if d2.shape[1] < k:
+        return np.full(len(d2), np.inf)
+    return np.partition(d2, k - 1, axis=1)[:, k - 1]
+
+
+def _best(receivers: pd.DataFrame, donors: pd.DataFrame, p: int, cut: int, width: int, k: int) -> pd.DataFrame:
+    """k nearest donors of every receiver of one group: (id, donor, d2, y).
+
+    Donors are ordered by the cutting predictor. A first look at the donors around a block
+    of receivers bounds how far along that predictor a nearer donor can be; only donors
+    within that range are measured.
+    """
     own = [i for i in range(width) if p >> i & 1]
-    donors = donors.sort_values("id")
-    points = donors[[f"x{i}" for i in own]].to_numpy(dtype=float)
-    has = ~np.isnan(points)
-    usable = has.any(axis=1)
-    donors, points, has = donors[usable], points[usable], has[usable]
-    shared = has.sum(axis=1)
-    ids, ys = donors["id"].to_numpy(), donors["y"].to_numpy(dtype=float)
+    columns = [f"x{i}" for i in own]
+    points = donors[columns].to_numpy(dtype=float)
+    usable = ~np.isnan(points).all(axis=1)
+    ids, ys, points = donors["id"].to_numpy()[usable], donors["y"].to_numpy(dtype=float)[usable], points[usable]
     if not len(ids):
         return pd.DataFrame({"id": [], "donor": [], "d2": [], "y": []})
-    scale = (width + 1.0) / shared
-    points = np.where(has, points, 0.0)
+    axis = points[:, own.index(cut)]
+    order = np.lexsort((ids, axis))
+    ids, ys, points, axis = ids[order], ys[order], points[order], axis[order]
+    placed = len(axis) - int(np.isnan(axis).sum())  # donors without the cutting predictor come last
+    axis = axis[:placed]
+    has = ~np.isnan(points)
+    scale = (width + 1.0) / has.sum(axis=1)
     complete = bool(has.all())
-    # equal receivers are answered once
-    wanted, back = np.unique(receivers[[f"x{i}" for i in own]].to_numpy(dtype=float), axis=0, return_inverse=True)
-    answers = []
-    for start in range(0, len(wanted), BLOCK):
-        block = wanted[start : start + BLOCK]
-        d2 = np.zeros((len(block), len(ids)))
+    points = np.where(has, points, 0.0)
+    # equal receivers are answered once, in the order of the cutting predictor
+    wanted, back = np.unique(receivers[columns].to_numpy(dtype=float), axis=0, return_inverse=True)
+    along = np.argsort(wanted[:, own.index(cut)], kind="stable")
+
+    def measure(block: np.ndarray, start: int, stop: int) -> np.ndarray:
+        d2 = np.zeros((len(block), stop - start))
         for j in range(len(own)):
-            gap = block[:, j, None] - points[None, :, j]
+            gap = block[:, j, None] - points[None, start:stop, j]
             gap *= gap
-            d2 += gap if complete else gap * has[None, :, j]
-        d2 *= scale[None, :]
-        if len(ids) > k:
-            kth = np.partition(d2, k - 1, axis=1)[:, k - 1]
-        else:
-            kth = np.full(len(block), np.inf)
-        for row, limit in zip(d2, kth):
+            d2 += gap if complete else gap * has[None, start:stop, j]
+        d2 *= scale[None, start:stop]
+        return d2
+
+    answers: list = [None] * len(wanted)
+    everywhere = np.arange(placed, len(ids))
+    for first in range(0, len(wanted), BLOCK):
+        members = along[first : first + BLOCK]
+        block = wanted[members]
+        edge = block[:, own.index(cut)]
+        start = max(np.searchsorted(axis, edge[0]) - LOOK, 0)
+        stop = min(np.searchsorted(axis, edge[-1], side="right") + LOOK, placed)
+        unplaced = measure(block, placed, len(ids))
+        d2 = np.hstack([measure(block, start, stop), unplaced])
+        kth = _k_smallest(d2, k)
+        if start > 0 or stop < placed:
+            reach = np.sqrt(kth * (len(own) / (width + 1.0))) * (1.0 + 1e-9)
+            low = np.searchsorted(axis, (edge - reach).min())
+            high = np.searchsorted(axis, (edge + reach).max(), side="right")
+            if low < start or high > stop:
+                start, stop = min(low, start), max(high, stop)
+                d2 = np.hstack([measure(block, start, stop), unplaced])
+                kth = _k_smallest(d2, k)
+        rows = np.concatenate([np.arange(start, stop), everywhere])
+        for row, limit, member in zip(d2, kth, members):
             near = np.flatnonzero(row <= limit)
-            near = near[np.argsort(row[near], kind="stable")][:k]
-            answers.append((near, row[near]))
-    out_id, out_donor, out_d2, out_y = [], [], [], []
-    for rid, b in zip(receivers["id"].to_numpy(), np.ravel(back)):
-        near, dist = answers[b]
-        out_id.append(np.full(len(near), rid))
-        out_donor.append(ids[near])
-        out_d2.append(dist)
-        out_y.append(ys[near])
+            near = near[np.lexsort((ids[rows[near]], row[near]))][:k]
+            answers[member] = (rows[near], row[near])
+    picked = [answers[b] for b in np.ravel(back)]
+    places = np.concatenate([near for near, _ in picked])
     return pd.DataFrame(
         {
-            "id": np.concatenate(out_id),
-            "donor": np.concatenate(out_donor),
-            "d2": np.concatenate(out_d2),
-            "y": np.concatenate(out_y),
+            "id": np.repeat(receivers["id"].to_numpy(), [len(near) for near, _ in picked]),
+            "donor": ids[places],
+            "d2": np.concatenate([dist for _, dist in picked]),
+            "y": ys[places],
         }
     )
 
 
 _CANDIDATES = "id bigint, donor bigint, d2 double, y double"
-_KEY = ["p", "cell", "part", "chunk"]
 
 
-def _meet(visits: DataFrame, donors: DataFrame, width: int, k: int) -> DataFrame:
+def _match(receivers: DataFrame, donors: DataFrame, key: list[str], cuts: dict[int, int], width: int, k: int) -> DataFrame:
+    """Candidates from groups of receivers and donors with equal ``key``, whose first column is the pattern."""
+
+    def best(group, asking: pd.DataFrame, near: pd.DataFrame) -> pd.DataFrame:
+        if not len(asking) or not len(near):
+            return pd.DataFrame({"id": [], "donor": [], "d2": [], "y": []})
+        p = int(group[0])
+        return _best(asking, near, p, cuts[p], width, k)
+
+    return receivers.groupBy(*key).cogroup(donors.groupBy(*key)).applyInPandas(best, _CANDIDATES)
+
+
+def _chunk(chunks) -> Column:
+    return F.pmod(F.xxhash64("id"), chunks).cast("int")
+
+
+def _every_chunk(chunks) -> Column:
+    return F.explode(F.sequence(F.lit(0), chunks - 1))
+
+
+def _meet(visits: DataFrame, donors: DataFrame, cuts: dict[int, int], width: int, k: int) -> DataFrame:
     """Candidates of all receivers in the (pattern, cell, part) they visit.
 
-    ``visits`` is split into chunks per cell, and the donors of that cell go to each chunk.
+    The visitors of a cell are split into chunks, and its donors go to each chunk.
     """
     place = ["p", "cell", "part"]
     chunks = durable(visits.groupBy(*place).agg(F.ceil(F.count("*") / CHUNK_ROWS).cast("int").alias("chunks")))
     if chunks.count() <= LOOKUP_ROWS:
         chunks = F.broadcast(chunks)
-    left = visits.join(chunks, place).withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
-    right = donors.join(chunks, place).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-
-    def best(key, receivers: pd.DataFrame, near: pd.DataFrame) -> pd.DataFrame:
-        if not len(receivers) or not len(near):
-            return pd.DataFrame({"id": [], "donor": [], "d2": [], "y": []})
-        return _best(receivers, near, int(key[0]), width, k)
-
-    return left.groupBy(*_KEY).cogroup(right.groupBy(*_KEY)).applyInPandas(best, _CANDIDATES)
+    left = visits.join(chunks, place).withColumn("chunk", _chunk(F.col("chunks")))
+    right = donors.join(chunks, place).withColumn("chunk", _every_chunk(F.col("chunks")))
+    return _match(left, right, [*place, "chunk"], cuts, width, k)
 
 
 def _cell_finder(bounds: dict[int, list[float]]):
@@ -157,87 +200,95 @@ def _cell_finder(bounds: dict[int, list[float]]):
     return find
 
 
-def nearest_mean(df: DataFrame, target: str, predictors: list[str], k: int = NEIGHBOURS) -> DataFrame:
+def _number_by_pattern(numbers: dict[int, int]) -> Column:
+    table = F.create_map(*[F.lit(v) for pair in numbers.items() for v in pair])
+    return F.element_at(table, F.col("p"))
+
+
+def nearest_mean(df: DataFrame, target: str, predictors: list[str], donor_rows: int, k: int = NEIGHBOURS) -> DataFrame:
     """(id, fill) for the rows of ``df`` (which has row ids) whose target is missing."""
     width = len(predictors)
-    y = col(target).cast("double").alias("y")
-    receivers = _points(df.filter(col(target).isNull()), predictors).withColumn("p", _pattern(predictors))
-    donors = _points(df.filter(col(target).isNotNull()), predictors, y)
     xs = [f"x{i}" for i in range(width)]
-    by_point = Window.partitionBy(*xs).orderBy("id")
-    donors = donors.withColumn("n", F.row_number().over(by_point)).filter(F.col("n") <= k).drop("n")
-    donors, receivers = durable(donors), durable(receivers)
+    receivers = _points(df.filter(col(target).isNull()), predictors).withColumn("p", _pattern(predictors))
+    donors = _points(df.filter(col(target).isNotNull()), predictors, col(target).cast("double").alias("y"))
+    one_cell = donor_rows <= CELL_ROWS
+    if not one_cell:
+        nearest_ids = Window.partitionBy(*xs).orderBy("id")
+        donors = donors.withColumn("n", F.row_number().over(nearest_ids)).filter(F.col("n") <= k).drop("n")
+        donors, receivers = durable(donors), durable(receivers)
 
     facts = {f"s{i}": F.stddev_samp(x) for i, x in enumerate(xs)} | {f"n{i}": F.count(x) for i, x in enumerate(xs)}
     seen = run_aggregates(donors, facts | {"n": F.count("*")})
     total = max(seen["n"], 1)
-    patterns = [r["p"] for r in receivers.select("p").distinct().collect()]  # at most 2 ** 10
+    asked = {r["p"]: r["count"] for r in receivers.groupBy("p").count().collect()}  # at most 2 ** 10 patterns
     cuts = _cut_patterns(
-        patterns, [seen[f"s{i}"] or 0.0 for i in range(width)], [seen[f"n{i}"] / total for i in range(width)]
+        sorted(asked), [seen[f"s{i}"] or 0.0 for i in range(width)], [seen[f"n{i}"] / total for i in range(width)]
     )
-    empty = df.sparkSession.createDataFrame([], "id bigint, fill double")
-    if not cuts or seen["n"] == 0:
-        return empty
+    if not cuts:
+        return df.sparkSession.createDataFrame([], "id bigint, fill double")
+    asking = receivers.filter(F.col("p").isin(*cuts))
+    to_all = donors.withColumn("p", F.explode(F.array(*[F.lit(p) for p in cuts])))
+    if one_cell:
+        chunks = _number_by_pattern({p: math.ceil(asked[p] / CHUNK_ROWS) for p in cuts})
+        asking = asking.withColumn("chunk", _chunk(chunks))
+        to_all = to_all.withColumn("chunk", _every_chunk(chunks))
+        best = _match(asking, to_all, ["p", "chunk"], cuts, width, k)
+    else:
+        best = _best_over_cells(asking, to_all, cuts, total, xs, k)
+    return best.groupBy("id").agg(F.avg("y").alias("fill"))
+
 
+def _best_over_cells(
+    asking: DataFrame, donors: DataFrame, cuts: dict[int, int], total: int, xs: list[str], k: int
+) -> DataFrame:
+    width = len(xs)
     # cell edges: quantiles of the cutting predictor among the donors
-    cells = min(MAX_CELLS, math.ceil(total / CELL_ROWS), max(1, LOOKUP_ROWS // (2 * len(cuts))))
+    cells = max(1, min(MAX_CELLS, math.ceil(total / CELL_ROWS), LOOKUP_ROWS // (2 * len(cuts))))
     bounds: dict[int, list[float]] = {p: [] for p in cuts}
     if cells > 1:
         probs = [i / cells for i in range(1, cells)]
-        used = sorted(set(cuts.values()))
-        marks = run_aggregates(donors, {f"q{i}": F.percentile_approx(f"x{i}", probs, 20 * cells) for i in used})
+        one_pattern = donors.filter(F.col("p") == next(iter(cuts)))
+        marks = run_aggregates(
+            one_pattern, {f"q{i}": F.percentile_approx(f"x{i}", probs, 20 * cells) for i in sorted(set(cuts.values()))}
+        )
         bounds = {p: sorted(set(marks[f"q{i}"] or [])) for p, i in cuts.items()}
     find = _cell_finder(bounds)
-    cut_of = F.create_map(*[F.lit(v) for p, i in cuts.items() for v in (p, i)])
-    cut_value = F.element_at(F.array(*xs), F.element_at(cut_of, F.col("p")) + 1)
+    cut_value = F.element_at(F.array(*xs), _number_by_pattern(cuts) + 1)
 
-    # donors per receiver pattern; those without the cutting predictor share cell -1
-    placed = donors.withColumn("p", F.explode(F.array(*[F.lit(p) for p in cuts]))).withColumn("cut", cut_value)
-    has_cut = F.col("cut").isNotNull()
-    placed = placed.withColumn("cell", F.when(has_cut, find("p", F.coalesce("cut", F.lit(0.0)))).otherwise(F.lit(-1)))
+    # donors without the cutting predictor share cell -1
+    placed = donors.withColumn("cut", cut_value)
+    cell = F.when(F.col("cut").isNotNull(), find("p", F.coalesce("cut", F.lit(0.0)))).otherwise(F.lit(-1))
+    placed = placed.withColumn("cell", cell)
     parts = placed.groupBy("p", "cell").agg(F.ceil(F.count("*") / CELL_ROWS).cast("int").alias("parts"))
     parts = durable(parts)  # one row per pattern and cell: at most LOOKUP_ROWS
     placed = placed.join(F.broadcast(parts), ["p", "cell"])
-    placed = placed.withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).select(
-        "p", "cell", "part", "id", "y", *xs
-    )
+    placed = placed.withColumn("part", _chunk(F.col("parts"))).select("p", "cell", "part", "id", "y", *xs)
 
-    # step 2: every receiver in one part of its own cell
-    asking = receivers.filter(F.col("p").isin(*cuts)).withColumn("cut", cut_value)
-    asking = asking.withColumn("home", find("p", "cut"))
+    # every receiver first visits one part of its own cell
+    asking = asking.withColumn("cut", cut_value).withColumn("home", find("p", "cut"))
     own = parts.select("p", F.col("cell").alias("home"), "parts")
     asking = asking.join(F.broadcast(own), ["p", "home"], "left")
-    asking = asking.withColumn("part", F.pmod(F.xxhash64("id"), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
-    first = _meet(asking.withColumnRenamed("home", "cell"), placed, width, k)
-    if parts.filter((F.col("cell") != 0) | (F.col("parts") > 1)).limit(1).count() == 0:
-        best = first
-    else:
-        first = durable(first)
-        reach = first.groupBy("id").agg(F.count("*").alias("found"), F.max("d2").alias("far"))
-        # d2 >= scale * gap ** 2 for any donor, where scale is at least (width + 1) / predictors of the receiver
-        held = F.bit_count(F.col("p"))
-        radius = F.when(
-            F.col("found") >= k, F.sqrt(F.col("far") * held / F.lit(width + 1.0)) * F.lit(1.0 + 1e-9)
-        ).otherwise(F.lit(math.inf))
-        reached = asking.join(reach, "id", "left").withColumn("radius", F.coalesce(radius, F.lit(math.inf)))
-        reached = reached.withColumn("low", find("p", F.col("cut") - F.col("radius"))).withColumn(
-            "high", find("p", F.col("cut") + F.col("radius"))
-        )
-        cells_seen = F.concat(F.sequence("low", "high"), F.array(F.lit(-1)))
-        visits = (
-            reached.withColumnRenamed("part", "home_part")
-            .withColumn("cell", F.explode(cells_seen))
-            .join(F.broadcast(parts), ["p", "cell"])
-            .withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-            .filter((F.col("cell") != F.col("home")) | (F.col("part") != F.col("home_part")))
-            .select("id", "p", "cell", "part", *xs)
-        )
-        order = Window.partitionBy("id").orderBy("d2", "donor")
-        more = _meet(visits, placed, width, k)
-        best = (
-            first.unionByName(more).withColumn("n", F.row_number().over(order)).filter(F.col("n") <= k).drop("n")
-        )
-    return best.groupBy("id").agg(F.avg("y").alias("fill"))
+    asking = asking.withColumn("part", _chunk(F.coalesce("parts", F.lit(1)))).drop("parts")
+    first = durable(_meet(asking.withColumnRenamed("home", "cell"), placed, cuts, width, k))
+    reach = first.groupBy("id").agg(F.count("*").alias("found"), F.max("d2").alias("far"))
+    # d2 >= (width + 1) / (predictors of the receiver) * gap ** 2, whatever the donor lacks
+    radius = F.sqrt(F.col("far") * F.bit_count("p") / F.lit(width + 1.0)) * F.lit(1.0 + 1e-9)
+    radius = F.when(F.col("found") >= k, radius).otherwise(F.lit(math.inf))
+    reached = asking.join(reach, "id", "left").withColumn("radius", F.coalesce(radius, F.lit(math.inf)))
+    reached = reached.withColumn("low", find("p", F.col("cut") - F.col("radius"))).withColumn(
+        "high", find("p", F.col("cut") + F.col("radius"))
+    )
+    visits = (
+        reached.withColumnRenamed("part", "home_part")
+        .withColumn("cell", F.explode(F.concat(F.sequence("low", "high"), F.array(F.lit(-1)))))
+        .join(F.broadcast(parts), ["p", "cell"])
+        .withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        .filter((F.col("cell") != F.col("home")) | (F.col("part") != F.col("home_part")))
+        .select("id", "p", "cell", "part", *xs)
+    )
+    order = Window.partitionBy("id").orderBy("d2", "donor")
+    both = first.unionByName(_meet(visits, placed, cuts, width, k))
+    return both.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= k).drop("n")
 
 
 def knn_effect(df: DataFrame, target: str, predictors: list[str], k: int = NEIGHBOURS) -> Effect:
@@ -255,7 +306,7 @@ def knn_effect(df: DataFrame, target: str, predictors: list[str], k: int = NEIGH
         had_id = ROW_ID in frame.columns
         numbered = frame if had_id else durable(with_row_id(frame))
         mean = numbered.agg(F.avg(col(target).cast("double")).alias("v")).scalar()
-        fills = nearest_mean(numbered, target, predictors, k).withColumnRenamed("id", "_rf_id")
+        fills = nearest_mean(numbered, target, predictors, counts["n0"], k).withColumnRenamed("id", "_rf_id")
         joined = numbered.join(fills, numbered[ROW_ID] == fills["_rf_id"], "left")
         filled = F.coalesce(col(target).cast("double"), F.col("fill"), mean)
         return joined.select(

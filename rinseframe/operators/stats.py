@@ -52,12 +52,12 @@ class _Search:
     value: float | None = None
 
 
-def _within(x: Column, s: _Search) -> Column:
+def _within(x: Column, low: float | None, high: float | None) -> Column:
     cond = x.isNotNull()
-    if s.low is not None:
-        cond = cond & (x > F.lit(s.low))
-    if s.high is not None:
-        cond = cond & (x < F.lit(s.high))
+    if low is not None:
+        cond = cond & (x > F.lit(low))
+    if high is not None:
+        cond = cond & (x < F.lit(high))
     return cond
 
 
@@ -66,38 +66,40 @@ def _number(name: str) -> Column:
 
 
 def _narrow(df: DataFrame, open_searches: list[_Search]) -> None:
-    """One round: sketch two cut points around each rank, count exactly, keep the part that holds it."""
+    """One round: sketch cut points on both sides of each rank, count exactly around them, keep the part in between.
+
+    Searches in the same interval share a sketch, and equal cut points share their counts.
+    """
     margin = 2.0 / SKETCH_ACCURACY
-    cuts = {}
-    for i, s in enumerate(open_searches):
-        at = (s.rank - s.below) / max(s.inside - 1, 1)
-        probs = [max(at - margin, 0.0), min(at + margin, 1.0)]
-        x = F.when(_within(_number(s.column), s), _number(s.column))
-        cuts[f"c{i}"] = F.percentile_approx(x, probs, SKETCH_ACCURACY)
-    found = run_aggregates(df, cuts)
+    shared: dict[tuple, list[_Search]] = {}
+    for s in open_searches:
+        shared.setdefault((s.column, s.low, s.high), []).append(s)
+    sketches = {}
+    for i, ((name, low, high), searches) in enumerate(shared.items()):
+        at = [(s.rank - s.below) / max(s.inside - 1, 1) for s in searches]
+        probs = sorted({min(max(p + d, 0.0), 1.0) for p in at for d in (-margin, margin)})
+        x = F.when(_within(_number(name), low, high), _number(name))
+        sketches[f"c{i}"] = F.percentile_approx(x, probs, SKETCH_ACCURACY)
+    found = run_aggregates(df, sketches)
+    cuts = sorted({(name, v) for i, (name, _, _) in enumerate(shared) for v in found[f"c{i}"]})
     counts = {}
-    for i, s in enumerate(open_searches):
-        x = _number(s.column)
-        first, second = found[f"c{i}"]
-        counts[f"lt1_{i}"] = F.count_if(x < F.lit(first))
-        counts[f"le1_{i}"] = F.count_if(x <= F.lit(first))
-        counts[f"lt2_{i}"] = F.count_if(x < F.lit(second))
-        counts[f"le2_{i}"] = F.count_if(x <= F.lit(second))
+    for i, (name, v) in enumerate(cuts):
+        counts[f"lt{i}"] = F.count_if(_number(name) < F.lit(v))
+        counts[f"le{i}"] = F.count_if(_number(name) <= F.lit(v))
     seen = run_aggregates(df, counts)
-    for i, s in enumerate(open_searches):
-        first, second = found[f"c{i}"]
-        lt1, le1, lt2, le2 = (seen[f"{k}_{i}"] for k in ("lt1", "le1", "lt2", "le2"))
+    for s in open_searches:
         end = s.below + s.inside
-        if lt1 <= s.rank < le1:
-            s.value = first
-        elif lt2 <= s.rank < le2:
-            s.value = second
-        elif s.rank < lt1:
-            s.high, s.inside = first, lt1 - s.below
-        elif s.rank >= le2:
-            s.low, s.below, s.inside = second, le2, end - le2
-        else:
-            s.low, s.high, s.below, s.inside = first, second, le1, lt2 - le1
+        for i, (name, v) in enumerate(cuts):
+            if name != s.column:
+                continue
+            lt, le = seen[f"lt{i}"], seen[f"le{i}"]
+            if lt <= s.rank < le:
+                s.value = v
+            elif le <= s.rank and le >= s.below:
+                s.low, s.below = v, le
+            elif lt > s.rank and lt <= end:
+                s.high, end = v, lt
+        s.inside = end - s.below
 
 
 def _finish(df: DataFrame, searches: list[_Search]) -> None:
@@ -105,7 +107,7 @@ def _finish(df: DataFrame, searches: list[_Search]) -> None:
     for batch in groups_of(searches, AGGREGATE_WIDTH):
         tagged = F.array(
             *[
-                F.when(_within(_number(s.column), s), F.struct(F.lit(i).alias("i"), _number(s.column).alias("x")))
+                F.when(_within(_number(s.column), s.low, s.high), F.struct(F.lit(i).alias("i"), _number(s.column).alias("x")))
                 for i, s in enumerate(batch)
             ]
         )
