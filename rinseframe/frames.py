@@ -64,11 +64,7 @@ def targets(df: DataFrame, column) -> list[str] | None:
 
 def assign(df: DataFrame, changed: dict[str, Column]) -> DataFrame:
     """Replace or append columns with one projection, keeping the order of the others."""
-    if not changed:
-        return df
-    kept = [changed[c].alias(c) if c in changed else col(c) for c in df.columns]
-    new = [expr.alias(c) for c, expr in changed.items() if c not in df.columns]
-    return df.select(*kept, *new)
+    return df.withColumns(changed) if changed else df
 
 
 def same_name(df: DataFrame, a: str, b: str) -> bool:

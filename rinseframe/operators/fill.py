@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from rinseframe.frames import col, dtype, is_numeric, is_text, numeric_columns
 from rinseframe.model import FillNull
-from rinseframe.operators.stats import quantiles, run_aggregates
+from rinseframe.operators.stats import correlation_of, quantiles, run_aggregates
 from rinseframe.plans.compile import Context, effect_of
 from rinseframe.plans.effects import Effect, missing_column, nothing, values
 
@@ -85,9 +85,8 @@ def top_predictors(df: DataFrame, target: str, k: int = PREDICTORS) -> list[tupl
     """
     others = [c for c in numeric_columns(df) if c != target]
     y = col(target).cast("double")
-    found = run_aggregates(df, {f"r{i}": F.corr(col(c).cast("double"), y) for i, c in enumerate(others)})
+    found = run_aggregates(df, {f"r{i}": correlation_of(col(c).cast("double"), y) for i, c in enumerate(others)})
     scored = [(c, abs(found[f"r{i}"] or 0.0)) for i, c in enumerate(others)]
-    scored = [(c, 0.0 if r != r else r) for c, r in scored]
     return sorted(scored, key=lambda item: -item[1])[:k]
 
 

@@ -2,36 +2,82 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
 from itertools import combinations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from rinseframe.frames import assign, col, data_columns, numeric_columns
 from rinseframe.model import ROW_ID
-from rinseframe.operators.stats import run_aggregates
+from rinseframe.operators.stats import AGGREGATE_WIDTH, correlation_of, run_aggregates
 from rinseframe.sources.tables import downsample
 
 _PAIRS = "a string, b string, r double"
 
+# Up to this many pairs (three aggregates each) one scan of plain aggregates does.
+FEW_PAIRS = AGGREGATE_WIDTH // 3
 
-def correlation_pairs(df: DataFrame, columns: list[str] | None = None) -> dict[tuple[str, str], float | None]:
-    """Pearson correlation of every pair over the rows that have both values."""
-    names = columns or numeric_columns(df)
+
+def _few_pairs(df: DataFrame, names: list[str]) -> dict[tuple[int, int], float | None]:
+    """One aggregate per pair: stays in generated code."""
+    pairs = list(combinations(range(len(names)), 2))
     facts = {
-        f"r{i}_{j}": F.corr(col(names[i]).cast("double"), col(names[j]).cast("double"))
-        for i, j in combinations(range(len(names)), 2)
+        f"r{i}_{j}": correlation_of(col(names[i]).cast("double"), col(names[j]).cast("double")) for i, j in pairs
     }
-    # a column with itself is 1 wherever it varies
-    facts |= {f"v{i}": F.var_pop(col(c).cast("double")) > 0 for i, c in enumerate(names)}
     seen = run_aggregates(df, facts)
+    return {(i, j): seen[f"r{i}_{j}"] for i, j in pairs}
+
+
+def _many_pairs(df: DataFrame, names: list[str], means: list[float | None]) -> dict[tuple[int, int], float | None]:
+    """All pairs from one pass of matrix products per Arrow batch, summed per partition and then by Spark."""
+    width = len(names)
+    centred = df.select(*[(col(c).cast("double") - F.lit(m)).alias(f"x{i}") for i, (c, m) in enumerate(zip(names, means))])
+
+    def products(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        totals = np.zeros((4, width, width))
+        for batch in batches:
+            x = batch.to_numpy(dtype=float)
+            held = (~np.isnan(x)).astype(float)
+            x = np.nan_to_num(x)
+            totals += np.stack([held.T @ held, x.T @ held, (x * x).T @ held, x.T @ x])
+        i, j = np.triu_indices(width, 1)
+        n, sums, squares, cross = totals
+        yield pd.DataFrame(
+            {"i": i, "j": j, "n": n[i, j], "sx": sums[i, j], "sy": sums[j, i], "sxx": squares[i, j],
+             "syy": squares[j, i], "sxy": cross[i, j]}
+        )
+
+    schema = "i int, j int, n double, sx double, sy double, sxx double, syy double, sxy double"
+    rows = centred.mapInPandas(products, schema).groupBy("i", "j")
+    out: dict[tuple[int, int], float | None] = {}
+    for r in rows.agg(*[F.sum(c).alias(c) for c in ("n", "sx", "sy", "sxx", "syy", "sxy")]).collect():
+        n = max(r["n"], 1.0)
+        vx, vy = r["sxx"] - r["sx"] ** 2 / n, r["syy"] - r["sy"] ** 2 / n
+        flat = vx <= 1e-12 * r["sxx"] or vy <= 1e-12 * r["syy"]
+        cov = r["sxy"] - r["sx"] * r["sy"] / n
+        out[r["i"], r["j"]] = None if flat else max(-1.0, min(1.0, cov / math.sqrt(vx * vy)))
+    return out
+
+
+def correlation_pairs(df: DataFrame, columns: list[str] | None = None) -> dict[tuple[str, str], float | None]:
+    """Pearson correlation of every pair over the rows that have both values; None without spread."""
+    names = columns or numeric_columns(df)
+    facts = {}
+    for i, c in enumerate(names):
+        facts |= {f"m{i}": F.avg(col(c).cast("double")), f"v{i}": F.min(col(c)) < F.max(col(c))}
+    seen = run_aggregates(df, facts)
+    if math.comb(len(names), 2) <= FEW_PAIRS:
+        found = _few_pairs(df, names)
+    else:
+        found = _many_pairs(df, names, [seen[f"m{i}"] for i in range(len(names))])
     out: dict[tuple[str, str], float | None] = {}
     for i, a in enumerate(names):
         for j, b in enumerate(names):
-            if i == j:
-                out[a, b] = 1.0 if seen[f"v{i}"] else None
-            else:
-                r = seen[f"r{min(i, j)}_{max(i, j)}"]
-                out[a, b] = None if r is None or r != r else r
+            # a column with itself is 1 wherever it varies
+            out[a, b] = (1.0 if seen[f"v{i}"] else None) if i == j else found.get((min(i, j), max(i, j)))
     return out
 
 

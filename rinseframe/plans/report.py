@@ -7,7 +7,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from rinseframe.frames import col, data_columns
+from rinseframe.frames import data_columns, quoted
 from rinseframe.model import ROW_ID, BadStep, Note, Recipe, Rulebook, Step
 from rinseframe.operators.profile import health_of, table_facts
 from rinseframe.operators.rules import DETAIL_ROWS, _type_name, resolve_rules, rule_counts, violation_hits
@@ -48,8 +48,8 @@ def describe_step(step: Step) -> str:
 
 def _state(frame: DataFrame, names: list[str], k: int) -> tuple[DataFrame, dict[str, Column]]:
     """Carry how many cells of step k's table hold a value, and whether the row is still there."""
-    held = reduce(lambda a, b: a + b, [col(c).isNotNull().cast("int") for c in names], F.lit(0))
-    flagged = frame.select("*", F.when(F.col(ALIVE), held).alias(f"_rf_held{k}"))
+    held = " + ".join(f"int({quoted(c)} IS NOT NULL)" for c in names) or "0"
+    flagged = frame.withColumn(f"_rf_held{k}", F.expr(f"CASE WHEN {ALIVE} THEN {held} END"))
     sums = {
         f"rows{k}": F.count(f"_rf_held{k}"),
         f"held{k}": F.coalesce(F.sum(f"_rf_held{k}"), F.lit(0)).cast("bigint"),
