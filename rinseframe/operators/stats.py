@@ -192,8 +192,10 @@ def adjusted_skewness(x: Column) -> Column:
 def correlation_of(x: Column, y: Column) -> Column:
     """Pearson correlation over the rows that have both; NULL without spread (``corr`` divides by zero there)."""
     both = x.isNotNull() & y.isNotNull()
-    spread = F.stddev_pop(F.when(both, x)) * F.stddev_pop(F.when(both, y))
-    return F.least(F.greatest(F.try_divide(F.covar_pop(x, y), spread), F.lit(-1.0)), F.lit(1.0))
+    x, y = F.when(both, x), F.when(both, y)
+    varies = (F.min(x) < F.max(x)) & (F.min(y) < F.max(y))
+    r = F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+    return F.when(varies, F.least(F.greatest(r, F.lit(-1.0)), F.lit(1.0)))
 
 
 # ------------------------------------------------------------- value counts
