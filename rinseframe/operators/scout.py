@@ -1,8 +1,8 @@
 """Automatic findings: what looks wrong with a table, and what would fix it.
 
-All detectors share their scans: one pass of plain aggregates over all columns, one for
-quartiles, one for outlier counts, and one shuffle for distinct texts - whatever the
-number of columns (very wide tables split a pass into groups).
+All detectors share their scans: one pass of plain aggregates over all columns, one or
+more (bounded memory) for quartiles, one for outlier counts, and one shuffle of distinct
+texts - whatever the number of columns (very wide tables split a pass into groups).
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from rinseframe.model import (
 )
 from rinseframe.operators.columns import needs_normalizing
 from rinseframe.operators.rows import all_missing, duplicate_count
-from rinseframe.operators.stats import adjusted_skewness, distinct_counts, quantiles, run_aggregates
+from rinseframe.operators.stats import adjusted_skewness, quantiles, run_aggregates, value_counts
 
 PROPOSAL_SCHEMA = "position int, column string, type string, reason string, measure double, remedy string"
 
@@ -45,16 +45,49 @@ def _plain_facts(df: DataFrame, names: list[str]) -> dict[str, Column]:
     for i, c in enumerate(names):
         x, t = col(c), dtype(df, c)
         facts[f"n{i}"] = F.count(x)
-        # one value at most: the smallest is the largest (both NULL when all are missing)
-        facts[f"same{i}"] = F.min(x).eqNullSafe(F.max(x))
+        if not is_text(t):
+            # one value at most: the smallest is the largest (both NULL when all are missing)
+            facts[f"same{i}"] = F.min(x).eqNullSafe(F.max(x))
         if is_numeric(t):
             facts[f"skew{i}"] = adjusted_skewness(x.cast("double"))
-        elif is_text(t):
-            facts[f"num{i}"] = F.count_if(number_from_text(x).isNotNull())
-            facts[f"pad{i}"] = F.coalesce(F.bool_or(is_padded(x)), F.lit(False))
     return facts
 
 
+@dataclass(frozen=True)
+class TextFacts:
+    unique: int = 0
+    numbers: int = 0
+    padded: bool = False
+
+
+def _text_facts(df: DataFrame, names: list[str], approx: bool) -> dict[str, TextFacts]:
+    """What the text detectors need. The patterns are matched once per distinct value, not per row."""
+    if not names:
+        return {}
+    if approx:
+        facts: dict[str, Column] = {}
+        for i, c in enumerate(names):
+            x = col(c)
+            facts[f"u{i}"] = F.approx_count_distinct(x)
+            facts[f"d{i}"] = F.count_if(number_from_text(x).isNotNull())
+            facts[f"p{i}"] = F.coalesce(F.bool_or(is_padded(x)), F.lit(False))
+        seen = run_aggregates(df, facts)
+        return {c: TextFacts(seen[f"u{i}"], seen[f"d{i}"], seen[f"p{i}"]) for i, c in enumerate(names)}
+    value = F.col("value")
+    rows = (
+        value_counts(df, names)
+        .groupBy("column")
+        .agg(
+            F.count("*").alias("unique"),
+            F.sum(F.when(number_from_text(value).isNotNull(), F.col("n")).otherwise(F.lit(0))).alias("numbers"),
+            F.bool_or(is_padded(value)).alias("padded"),
+        )
+        .collect()
+    )
+    found = {r["column"]: TextFacts(r["unique"], r["numbers"], r["padded"]) for r in rows}
+    return {c: found.get(c, TextFacts()) for c in names}
+
+
 def find_problems(
     df: DataFrame, skip: Iterable[str] = (), thresholds: Thresholds = DEFAULTS, approx: bool = False
 ) -> list[Proposal]:
@@ -80,7 +113,7 @@ def find_problems(
         c: F.count_if((col(c) < F.lit(low)) | (col(c) > F.lit(high))) for c, (low, high) in bounds.items()
     }
     outliers = run_aggregates(df, {f"o{i}": outside[names[i]] for i in numbers if names[i] in outside})
-    distinct = distinct_counts(df, [names[i] for i in texts], approx)
+    text = _text_facts(df, [names[i] for i in texts], approx)
 
     found: list[Proposal] = []
 
@@ -94,7 +127,8 @@ def find_problems(
         elif missing > 0:
             rule = NullCheck(col=c, desc=f"{c} is NOT NULL")
             report(c, "Null Check", f"{missing:.1f}% of the values are missing", missing, rule)
-        if seen[f"same{i}"]:
+        constant = seen[f"same{i}"] if f"same{i}" in seen else c not in text or text[c].unique == 1
+        if constant:
             report(c, "Constant Value", "all values are the same", float(seen[f"n{i}"] > 0), DropColumn(c))
         if outliers.get(f"o{i}"):
             low, high = bounds[c]
@@ -106,14 +140,14 @@ def find_problems(
             note = Note(desc=f"'{c}' is skewed: {skew:.2f}")
             report(c, "Distribution Warning", f"skewness is {skew:.2f}", skew, note)
         if i in texts:
-            share = seen[f"num{i}"] / seen[f"n{i}"]
+            share = text[c].numbers / seen[f"n{i}"]
             if thresholds.mixed_share_min <= share < thresholds.mixed_share_below:
                 report(c, "Type Cast", f"{share:.1%} of the texts are numbers", share, CastType(c, "float64"))
-            unique = 100.0 * distinct[c] / rows
+            unique = 100.0 * text[c].unique / rows
             if unique > thresholds.high_cardinality_percent:
-                note = Note(desc=f"'{c}' has {distinct[c]} unique values")
-                report(c, "High Cardinality", f"{distinct[c]} unique values, {unique:.1f}% of the rows", unique, note)
-            if seen[f"pad{i}"]:
+                note = Note(desc=f"'{c}' has {text[c].unique} unique values")
+                report(c, "High Cardinality", f"{text[c].unique} unique values, {unique:.1f}% of the rows", unique, note)
+            if text[c].padded:
                 report(c, "Formatting Issue", "leading or trailing white space", 1.0, StripWhitespace(c))
     return found
 

@@ -9,8 +9,9 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from rinseframe.frames import col, dtype, groups_of, is_numeric, is_text
 
@@ -18,9 +19,9 @@ AGGREGATE_WIDTH = 120
 
 # Up to this many rows the built-in exact percentile (one value map per column) is used;
 # beyond it, order statistics are narrowed down by repeated scans with bounded memory.
-PERCENTILE_ROWS = 250_000
+PERCENTILE_ROWS = 100_000
 BRACKET_ROWS = 200_000
-SKETCH_ACCURACY = 10_000
+SKETCH_SIZE = 4_000
 
 
 def run_aggregates(df: DataFrame, exprs: dict[str, Column]) -> dict[str, object]:
@@ -65,12 +66,18 @@ def _number(name: str) -> Column:
     return col(name).cast("double")
 
 
+def _sketched(x: Column, probs: list[float]) -> Column:
+    """Approximate quantiles from a sketch of bounded size (rank error about 1 / SKETCH_SIZE)."""
+    sketch = F.kll_sketch_agg_double(x, F.lit(SKETCH_SIZE))
+    return F.kll_sketch_get_quantile_double(sketch, F.array(*map(F.lit, probs)))
+
+
 def _narrow(df: DataFrame, open_searches: list[_Search]) -> None:
     """One round: sketch cut points on both sides of each rank, count exactly around them, keep the part in between.
 
     Searches in the same interval share a sketch, and equal cut points share their counts.
     """
-    margin = 2.0 / SKETCH_ACCURACY
+    margin = 6.0 / SKETCH_SIZE
     shared: dict[tuple, list[_Search]] = {}
     for s in open_searches:
         shared.setdefault((s.column, s.low, s.high), []).append(s)
@@ -79,7 +86,7 @@ def _narrow(df: DataFrame, open_searches: list[_Search]) -> None:
         at = [(s.rank - s.below) / max(s.inside - 1, 1) for s in searches]
         probs = sorted({min(max(p + d, 0.0), 1.0) for p in at for d in (-margin, margin)})
         x = F.when(_within(_number(name), low, high), _number(name))
-        sketches[f"c{i}"] = F.percentile_approx(x, probs, SKETCH_ACCURACY)
+        sketches[f"c{i}"] = _sketched(x, probs)
     found = run_aggregates(df, sketches)
     cuts = sorted({(name, v) for i, (name, _, _) in enumerate(shared) for v in found[f"c{i}"]})
     counts = {}
@@ -111,7 +118,8 @@ def _finish(df: DataFrame, searches: list[_Search]) -> None:
                 for i, s in enumerate(batch)
             ]
         )
-        hits = df.select(F.inline(F.filter(tagged, lambda t: t.isNotNull())))
+        near = reduce(lambda a, b: a | b, [_within(_number(s.column), s.low, s.high) for s in batch])
+        hits = df.filter(near).select(F.inline(F.filter(tagged, lambda t: t.isNotNull())))
         counted = hits.groupBy("i", "x").count()
         upto = F.sum("count").over(Window.partitionBy("i").orderBy("x"))
         wanted = F.element_at(F.array(*[F.lit(s.rank - s.below).cast("bigint") for s in batch]), F.col("i") + 1)
@@ -150,11 +158,11 @@ def quantiles(
     """
     if not columns:
         return {}
-    if approx:
-        found = run_aggregates(df, {c: F.percentile_approx(_number(c), probs, SKETCH_ACCURACY) for c in columns})
-        return {c: found[c] or [None] * len(probs) for c in columns}
     if counts is None:
         counts = run_aggregates(df, {c: F.count(col(c)) for c in columns})
+    if approx:
+        found = run_aggregates(df, {f"q{i}": _sketched(_number(c), probs) for i, c in enumerate(columns) if counts[c]})
+        return {c: found.get(f"q{i}") or [None] * len(probs) for i, c in enumerate(columns)}
     if max(counts[c] for c in columns) <= PERCENTILE_ROWS:
         found = run_aggregates(df, {c: F.percentile(_number(c), probs) for c in columns})
         return {c: found[c] or [None] * len(probs) for c in columns}
@@ -223,14 +231,30 @@ def value_counts(df: DataFrame, columns: list[str]) -> DataFrame:
     )
 
 
+def _distinct_of_type(df: DataFrame, columns: list[str], type_name: str) -> dict[str, int]:
+    """Distinct non-null values per column, all columns of one type in one shuffle of narrow keys."""
+    if not columns:
+        return {}
+    pairs = F.array(*[F.struct(F.lit(i).alias("c"), col(c).cast(type_name).alias("v")) for i, c in enumerate(columns)])
+    once = df.select(F.inline(pairs)).filter(F.col("v").isNotNull()).select("c", "v").distinct()
+    found = {r["c"]: r["count"] for r in once.groupBy("c").count().collect()}
+    return {c: found.get(i, 0) for i, c in enumerate(columns)}
+
+
 def distinct_counts(df: DataFrame, columns: list[str], approx: bool = False) -> dict[str, int]:
     if not columns:
         return {}
     if approx:
         return run_aggregates(df, {c: F.approx_count_distinct(col(c)) for c in columns})
-    rows = value_counts(df, columns).groupBy("column").agg(F.count("*").alias("n")).collect()
-    found = {r["column"]: r["n"] for r in rows}
-    return {c: found.get(c, 0) for c in columns}
+    kinds: dict[str, list[str]] = {}
+    for c in columns:
+        t = dtype(df, c)
+        kind = "bigint" if isinstance(t, T.IntegralType) else "double" if isinstance(t, T.FractionalType) else "string"
+        kinds.setdefault("string" if isinstance(t, T.DecimalType) else kind, []).append(c)
+    out: dict[str, int] = {}
+    for kind, names in kinds.items():
+        out |= _distinct_of_type(df, names, kind)
+    return out
 
 
 def value_facts(df: DataFrame, columns: list[str]) -> dict[str, dict[str, object]]:

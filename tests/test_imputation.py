@@ -172,11 +172,11 @@ def test_wide_table_uses_the_ten_best_predictors(spark):
     assert not np.isnan(_impute(df, "iterative")).any()
 
 
-@pytest.mark.parametrize("accuracy", [20, 10_000])
-def test_order_statistics_by_narrowing(spark, monkeypatch, accuracy):
+@pytest.mark.parametrize("size", [8, 4_000])
+def test_order_statistics_by_narrowing(spark, monkeypatch, size):
     monkeypatch.setattr(stats, "PERCENTILE_ROWS", 10)
     monkeypatch.setattr(stats, "BRACKET_ROWS", 10)
-    monkeypatch.setattr(stats, "SKETCH_ACCURACY", accuracy)
+    monkeypatch.setattr(stats, "SKETCH_SIZE", size)
     rng = np.random.default_rng(1)
     columns = [rng.normal(0, 1, 997), rng.integers(0, 3, 997), _gaps(rng.exponential(5, 997), 4), np.full(997, 7.0)]
     columns.append(np.where(rng.random(997) < 0.4, 2.0, rng.normal(0, 9, 997)))  # one hot value
