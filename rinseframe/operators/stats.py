@@ -72,21 +72,36 @@ def _sketched(x: Column, probs: list[float]) -> Column:
     return F.kll_sketch_get_quantile_double(sketch, F.array(*map(F.lit, probs)))
 
 
+def _by_interval(searches: list[_Search]) -> dict[tuple, list[_Search]]:
+    out: dict[tuple, list[_Search]] = {}
+    for s in searches:
+        out.setdefault((s.column, s.low, s.high), []).append(s)
+    return out
+
+
+def _cut_probs(searches: list[_Search]) -> list[float]:
+    """Probabilities a margin to either side of the ranks of one interval; close ranks share them."""
+    margin = 6.0 / SKETCH_SIZE
+    at = sorted((s.rank - s.below) / max(s.inside - 1, 1) for s in searches)
+    out = []
+    for i, p in enumerate(at):
+        if i == 0 or p - at[i - 1] > margin:
+            out.append(max(p - margin, 0.0))
+        if i + 1 == len(at) or at[i + 1] - p > margin:
+            out.append(min(p + margin, 1.0))
+    return out
+
+
 def _narrow(df: DataFrame, open_searches: list[_Search]) -> None:
     """One round: sketch cut points on both sides of each rank, count exactly around them, keep the part in between.
 
     Searches in the same interval share a sketch, and equal cut points share their counts.
     """
-    margin = 6.0 / SKETCH_SIZE
-    shared: dict[tuple, list[_Search]] = {}
-    for s in open_searches:
-        shared.setdefault((s.column, s.low, s.high), []).append(s)
+    shared = _by_interval(open_searches)
     sketches = {}
     for i, ((name, low, high), searches) in enumerate(shared.items()):
-        at = [(s.rank - s.below) / max(s.inside - 1, 1) for s in searches]
-        probs = sorted({min(max(p + d, 0.0), 1.0) for p in at for d in (-margin, margin)})
         x = F.when(_within(_number(name), low, high), _number(name))
-        sketches[f"c{i}"] = _sketched(x, probs)
+        sketches[f"c{i}"] = _sketched(x, _cut_probs(searches))
     found = run_aggregates(df, sketches)
     cuts = sorted({(name, v) for i, (name, _, _) in enumerate(shared) for v in found[f"c{i}"]})
     counts = {}
@@ -104,32 +119,38 @@ def _narrow(df: DataFrame, open_searches: list[_Search]) -> None:
                 s.value = v
             elif le <= s.rank and le >= s.below:
                 s.low, s.below = v, le
-            elif lt > s.rank and lt <= end:
+            elif lt > s.rank and lt < end:
                 s.high, end = v, lt
         s.inside = end - s.below
 
 
 def _finish(df: DataFrame, searches: list[_Search]) -> None:
     """Pick each rank from its interval, which by now holds at most BRACKET_ROWS rows."""
-    for batch in groups_of(searches, AGGREGATE_WIDTH):
+    for batch in groups_of(_by_interval(searches).items(), AGGREGATE_WIDTH // 4):
+        ranges = [(name, _within(_number(name), low, high)) for (name, low, high), _ in batch]
         tagged = F.array(
             *[
-                F.when(_within(_number(s.column), s.low, s.high), F.struct(F.lit(i).alias("i"), _number(s.column).alias("x")))
-                for i, s in enumerate(batch)
+                F.when(inside, F.struct(F.lit(i).alias("i"), _number(name).alias("x")))
+                for i, (name, inside) in enumerate(ranges)
             ]
         )
-        near = reduce(lambda a, b: a | b, [_within(_number(s.column), s.low, s.high) for s in batch])
-        hits = df.filter(near).select(F.inline(F.filter(tagged, lambda t: t.isNotNull())))
-        counted = hits.groupBy("i", "x").count()
+        # first drop, in generated code, the rows that are in none of the intervals
+        near = df.filter(reduce(lambda a, b: a | b, [inside for _, inside in ranges]))
+        counted = near.select(F.inline(F.filter(tagged, lambda t: t.isNotNull()))).groupBy("i", "x").count()
         upto = F.sum("count").over(Window.partitionBy("i").orderBy("x"))
-        wanted = F.element_at(F.array(*[F.lit(s.rank - s.below).cast("bigint") for s in batch]), F.col("i") + 1)
-        picked = (
-            counted.withColumn("upto", upto)
-            .withColumn("wanted", wanted)
-            .filter((F.col("wanted") < F.col("upto")) & (F.col("wanted") >= F.col("upto") - F.col("count")))
+        wanted = F.array(
+            *[
+                F.array(*[F.struct(F.lit(k).alias("k"), F.lit(s.rank - s.below).alias("r")) for k, s in enumerate(own)])
+                for _, own in batch
+            ]
         )
-        for row in picked.select("i", "x").collect():
-            batch[row["i"]].value = row["x"]
+        ranked = counted.withColumn("upto", upto).withColumn("from", F.col("upto") - F.col("count"))
+        picked = ranked.select(
+            "i", "x", F.filter(F.element_at(wanted, F.col("i") + 1), lambda w: (w["r"] >= F.col("from")) & (w["r"] < F.col("upto"))).alias("w")
+        ).filter(F.size("w") > 0)
+        for row in picked.collect():
+            for w in row["w"]:
+                batch[row["i"]][1][w["k"]].value = row["x"]
 
 
 def order_statistics(df: DataFrame, ranks: dict[str, list[int]], counts: dict[str, int]) -> dict[str, dict[int, float]]:
