@@ -5,18 +5,19 @@ predictors that both rows have, scaled up by (all features / shared features); t
 is the plain mean of the k nearest known targets, ties by the smaller row id; a row that
 shares no predictor with any donor gets the column mean.
 
-No pair of tables is crossed. One predictor per receiver pattern (the set of predictors
-a row has) cuts the donors into value ranges, *cells*, of bounded size:
+No pair of tables is crossed. Rows are matched per *class*: the set of predictors a
+receiver has, and the subset of it that a donor has. Within a class one shared predictor
+cuts the donors into value ranges, *cells*, of bounded size:
 
 1. donors with equal predictors are cut to the k with the smallest ids - no other can win;
-2. each receiver meets its own cell and gets an upper bound of its k-th distance;
-3. it then visits the other cells that the bound reaches along that predictor, and the
-   cells of donors that lack the predictor; farther cells cannot hold a nearer donor;
+2. each receiver meets its own cell of every class, which bounds its k-th distance;
+3. it then visits the other cells that the bound reaches along the cutting predictor;
+   farther cells cannot hold a nearer donor;
 4. the k best candidates over all visits win.
 
 A cell that is too large (many donors with one value) is split by a hash of the donor id,
-and receivers that crowd into one cell are split into chunks, so a task holds at most
-CELL_ROWS donors and CHUNK_ROWS receivers on average, whatever the data looks like.
+and receivers that crowd into one cell are split into chunks, so a task holds about
+CELL_ROWS donors and CHUNK_ROWS receivers at most, whatever the data looks like.
 """
 
 from __future__ import annotations
@@ -42,6 +43,10 @@ MAX_CELLS = 4_000
 # Inside a task: receivers measured together, and donors looked at first on either side of them.
 BLOCK = 32
 LOOK = 256
+# Widens a reach a little, against rounding.
+SLACK = 1.0 + 1e-9
+# A class is the receiver's predictors, shifted by this, and the shared ones; imputers use ten predictors at most.
+CLASS_BITS = 10
 # A lookup of cells is broadcast up to this many rows (about 30 bytes each), joined by key beyond.
 LOOKUP_ROWS = 200_000
 
@@ -59,14 +64,28 @@ def _points(df: DataFrame, predictors: list[str], *more: Column) -> DataFrame:
     return df.select(F.col(ROW_ID).alias("id"), *more, *xs)
 
 
-def _cut_patterns(patterns: list[int], spread: list[float], present: list[float]) -> dict[int, int]:
-    """For each receiver pattern the predictor that cuts its donors: wide, and seldom missing."""
-    cuts = {}
-    for p in patterns:
-        own = [i for i in range(len(spread)) if p >> i & 1]
-        if own:
-            cuts[p] = max(own, key=lambda i: (spread[i] * present[i] ** 4, present[i]))
-    return cuts
+def _class_of(p: int, q: int) -> int:
+    return p << CLASS_BITS | q
+
+
+def _shared(g: int, width: int) -> list[int]:
+    """The predictors that both sides of a class have."""
+    return [i for i in range(width) if g >> i & 1]
+
+
+def _classes(asked: dict[int, int], held: list, width: int) -> tuple[dict[int, int], dict[int, int]]:
+    """Donors per class, and the predictor that cuts each class: the one that spreads most."""
+    sizes: dict[int, int] = {}
+    spread: dict[int, np.ndarray] = {}
+    for p in sorted(asked):
+        for row in held:
+            q = p & row["p"]
+            if q:
+                g = _class_of(p, q)
+                sizes[g] = sizes.get(g, 0) + row["n"]
+                own = np.array([row["n"] * (row[f"s{i}"] or 0.0) for i in range(width)])
+                spread[g] = spread.get(g, 0.0) + own
+    return sizes, {g: max(_shared(g, width), key=lambda i: spread[g][i]) for g in sizes}
 
 
 def _k_smallest(d2: np.ndarray, k: int) -> np.ndarray:
@@ -76,66 +95,54 @@ def _k_smallest(d2: np.ndarray, k: int) -> np.ndarray:
     return np.partition(d2, k - 1, axis=1)[:, k - 1]
 
 
-def _best(receivers: pd.DataFrame, donors: pd.DataFrame, p: int, cut: int, width: int, k: int) -> pd.DataFrame:
+def _best(receivers: pd.DataFrame, donors: pd.DataFrame, own: list[int], cut: int, width: int, k: int) -> pd.DataFrame:
     """k nearest donors of every receiver of one group: (id, donor, d2, y).
 
     Donors are ordered by the cutting predictor. A first look at the donors around a block
     of receivers bounds how far along that predictor a nearer donor can be; only donors
     within that range are measured.
     """
-    own = [i for i in range(width) if p >> i & 1]
     columns = [f"x{i}" for i in own]
-    points = donors[columns].to_numpy(dtype=float)
-    usable = ~np.isnan(points).all(axis=1)
-    ids, ys, points = donors["id"].to_numpy()[usable], donors["y"].to_numpy(dtype=float)[usable], points[usable]
-    if not len(ids):
-        return pd.DataFrame({"id": [], "donor": [], "d2": [], "y": []})
-    axis = points[:, own.index(cut)]
-    order = np.lexsort((ids, axis))
-    ids, ys, points, axis = ids[order], ys[order], points[order], axis[order]
-    placed = len(axis) - int(np.isnan(axis).sum())  # donors without the cutting predictor come last
-    axis = axis[:placed]
-    has = ~np.isnan(points)
-    scale = (width + 1.0) / has.sum(axis=1)
-    complete = bool(has.all())
-    points = np.where(has, points, 0.0)
+    at = own.index(cut)
+    points, ids = donors[columns].to_numpy(dtype=float), donors["id"].to_numpy()
+    order = np.lexsort((ids, points[:, at]))
+    points, ids, ys = points[order], ids[order], donors["y"].to_numpy(dtype=float)[order]
+    axis = points[:, at]
+    scale = (width + 1.0) / len(own)
     # equal receivers are answered once, in the order of the cutting predictor
     wanted, back = np.unique(receivers[columns].to_numpy(dtype=float), axis=0, return_inverse=True)
-    along = np.argsort(wanted[:, own.index(cut)], kind="stable")
+    along = np.argsort(wanted[:, at], kind="stable")
 
     def measure(block: np.ndarray, start: int, stop: int) -> np.ndarray:
         d2 = np.zeros((len(block), stop - start))
         for j in range(len(own)):
             gap = block[:, j, None] - points[None, start:stop, j]
             gap *= gap
-            d2 += gap if complete else gap * has[None, start:stop, j]
-        d2 *= scale[None, start:stop]
+            d2 += gap
+        d2 *= scale
         return d2
 
     answers: list = [None] * len(wanted)
-    everywhere = np.arange(placed, len(ids))
     for first in range(0, len(wanted), BLOCK):
         members = along[first : first + BLOCK]
         block = wanted[members]
-        edge = block[:, own.index(cut)]
+        edge = block[:, at]
         start = max(np.searchsorted(axis, edge[0]) - LOOK, 0)
-        stop = min(np.searchsorted(axis, edge[-1], side="right") + LOOK, placed)
-        unplaced = measure(block, placed, len(ids))
-        d2 = np.hstack([measure(block, start, stop), unplaced])
+        stop = min(np.searchsorted(axis, edge[-1], side="right") + LOOK, len(ids))
+        d2 = measure(block, start, stop)
         kth = _k_smallest(d2, k)
-        if start > 0 or stop < placed:
-            reach = np.sqrt(kth * (len(own) / (width + 1.0))) * (1.0 + 1e-9)
+        if start > 0 or stop < len(ids):
+            reach = np.sqrt(kth / scale) * SLACK
             low = np.searchsorted(axis, (edge - reach).min())
             high = np.searchsorted(axis, (edge + reach).max(), side="right")
             if low < start or high > stop:
                 start, stop = min(low, start), max(high, stop)
-                d2 = np.hstack([measure(block, start, stop), unplaced])
+                d2 = measure(block, start, stop)
                 kth = _k_smallest(d2, k)
-        rows = np.concatenate([np.arange(start, stop), everywhere])
         for row, limit, member in zip(d2, kth, members):
             near = np.flatnonzero(row <= limit)
-            near = near[np.lexsort((ids[rows[near]], row[near]))][:k]
-            answers[member] = (rows[near], row[near])
+            near = near[np.lexsort((ids[start + near], row[near]))][:k]
+            answers[member] = (start + near, row[near])
     picked = [answers[b] for b in np.ravel(back)]
     places = np.concatenate([near for near, _ in picked])
     return pd.DataFrame(
@@ -152,17 +159,22 @@ _CANDIDATES = "id bigint, donor bigint, d2 double, y double"
 
 
 def _match(receivers: DataFrame, donors: DataFrame, key: list[str], cuts: dict[int, int], width: int, k: int) -> DataFrame:
-    """Candidates from groups of receivers and donors with equal ``key``, whose first column is the pattern."""
+    """Candidates from groups of receivers and donors with equal ``key``, whose first column is the class."""
 
     def best(group, asking: pd.DataFrame, near: pd.DataFrame) -> pd.DataFrame:
         if not len(asking) or not len(near):
             return pd.DataFrame({"id": [], "donor": [], "d2": [], "y": []})
-        p = int(group[0])
-        return _best(asking, near, p, cuts[p], width, k)
+        g = int(group[0])
+        return _best(asking, near, _shared(g, width), cuts[g], width, k)
 
     return receivers.groupBy(*key).cogroup(donors.groupBy(*key)).applyInPandas(best, _CANDIDATES)
 
 
+def _k_best(candidates: DataFrame, k: int) -> DataFrame:
+    order = Window.partitionBy("id").orderBy("d2", "donor")
+    return candidates.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= k).drop("n")
+
+
 def _chunk(chunks) -> Column:
     return F.pmod(F.xxhash64("id"), chunks).cast("int")
 
@@ -172,11 +184,11 @@ def _every_chunk(chunks) -> Column:
 
 
 def _meet(visits: DataFrame, donors: DataFrame, cuts: dict[int, int], width: int, k: int) -> DataFrame:
-    """Candidates of all receivers in the (pattern, cell, part) they visit.
+    """Candidates of all receivers in the (class, cell, part) they visit.
 
     The visitors of a cell are split into chunks, and its donors go to each chunk.
     """
-    place = ["p", "cell", "part"]
+    place = ["g", "cell", "part"]
     chunks = durable(visits.groupBy(*place).agg(F.ceil(F.count("*") / CHUNK_ROWS).cast("int").alias("chunks")))
     if chunks.count() <= LOOKUP_ROWS:
         chunks = F.broadcast(chunks)
@@ -186,23 +198,23 @@ def _meet(visits: DataFrame, donors: DataFrame, cuts: dict[int, int], width: int
 
 
 def _cell_finder(bounds: dict[int, list[float]]):
-    edges = {p: np.asarray(b, dtype=float) for p, b in bounds.items()}
+    edges = {g: np.asarray(b, dtype=float) for g, b in bounds.items()}
 
     @F.pandas_udf("int")
-    def find(p: pd.Series, x: pd.Series) -> pd.Series:
-        out = np.zeros(len(p), dtype=np.int32)
+    def find(g: pd.Series, x: pd.Series) -> pd.Series:
+        out = np.zeros(len(g), dtype=np.int32)
         xs = x.to_numpy(dtype=float)
-        for value in p.unique():
-            at = (p == value).to_numpy()
+        for value in g.unique():
+            at = (g == value).to_numpy()
             out[at] = np.searchsorted(edges[int(value)], xs[at], side="right")
         return pd.Series(out)
 
     return find
 
 
-def _number_by_pattern(numbers: dict[int, int]) -> Column:
+def _by_class(numbers: dict[int, int]) -> Column:
     table = F.create_map(*[F.lit(v) for pair in numbers.items() for v in pair])
-    return F.element_at(table, F.col("p"))
+    return F.element_at(table, F.col("g"))
 
 
 def nearest_mean(df: DataFrame, target: str, predictors: list[str], donor_rows: int, k: int = NEIGHBOURS) -> DataFrame:
@@ -211,84 +223,89 @@ def nearest_mean(df: DataFrame, target: str, predictors: list[str], donor_rows:
     xs = [f"x{i}" for i in range(width)]
     receivers = _points(df.filter(col(target).isNull()), predictors).withColumn("p", _pattern(predictors))
     donors = _points(df.filter(col(target).isNotNull()), predictors, col(target).cast("double").alias("y"))
+    donors = donors.withColumn("p", _pattern(predictors))
     one_cell = donor_rows <= CELL_ROWS
     if not one_cell:
         nearest_ids = Window.partitionBy(*xs).orderBy("id")
         donors = donors.withColumn("n", F.row_number().over(nearest_ids)).filter(F.col("n") <= k).drop("n")
         donors, receivers = durable(donors), durable(receivers)
 
-    facts = {f"s{i}": F.stddev_samp(x) for i, x in enumerate(xs)} | {f"n{i}": F.count(x) for i, x in enumerate(xs)}
-    seen = run_aggregates(donors, facts | {"n": F.count("*")})
-    total = max(seen["n"], 1)
-    asked = {r["p"]: r["count"] for r in receivers.groupBy("p").count().collect()}  # at most 2 ** 10 patterns
-    cuts = _cut_patterns(
-        sorted(asked), [seen[f"s{i}"] or 0.0 for i in range(width)], [seen[f"n{i}"] / total for i in range(width)]
-    )
+    # at most 2 ** 10 patterns on either side
+    asked = {r["p"]: r["count"] for r in receivers.groupBy("p").count().collect()}
+    spreads = [F.stddev_pop(x).alias(f"s{i}") for i, x in enumerate(xs)]
+    held = donors.groupBy("p").agg(F.count("*").alias("n"), *spreads).collect()
+    sizes, cuts = _classes(asked, held, width)
     if not cuts:
         return df.sparkSession.createDataFrame([], "id bigint, fill double")
-    asking = receivers.filter(F.col("p").isin(*cuts))
-    to_all = donors.withColumn("p", F.explode(F.array(*[F.lit(p) for p in cuts])))
+    of_pattern: dict[int, list[int]] = {}
+    for g in cuts:
+        of_pattern.setdefault(g >> CLASS_BITS, []).append(g)
+    to_classes = F.create_map(*[v for p, gs in of_pattern.items() for v in (F.lit(p), F.array(*map(F.lit, gs)))])
+    asking = receivers.withColumn("g", F.explode(F.try_element_at(to_classes, F.col("p")))).drop("p")
+    classes = F.transform(
+        F.array(*map(F.lit, of_pattern)), lambda p: F.shiftleft(p, CLASS_BITS).bitwiseOR(p.bitwiseAND(F.col("p")))
+    )
+    offered = F.filter(classes, lambda g: g.bitwiseAND((1 << CLASS_BITS) - 1) != 0)
+    donors = donors.withColumn("g", F.explode(offered)).drop("p")
     if one_cell:
-        chunks = _number_by_pattern({p: math.ceil(asked[p] / CHUNK_ROWS) for p in cuts})
+        chunks = _by_class({g: math.ceil(asked[g >> CLASS_BITS] / CHUNK_ROWS) for g in cuts})
         asking = asking.withColumn("chunk", _chunk(chunks))
-        to_all = to_all.withColumn("chunk", _every_chunk(chunks))
-        best = _match(asking, to_all, ["p", "chunk"], cuts, width, k)
+        donors = donors.withColumn("chunk", _every_chunk(chunks))
+        best = _match(asking, donors, ["g", "chunk"], cuts, width, k)
+        best = _k_best(best, k) if len(cuts) > len(of_pattern) else best
     else:
-        best = _best_over_cells(asking, to_all, cuts, total, xs, k)
+        best = _best_over_cells(asking, donors, sizes, cuts, xs, k)
     return best.groupBy("id").agg(F.avg("y").alias("fill"))
 
 
 def _best_over_cells(
-    asking: DataFrame, donors: DataFrame, cuts: dict[int, int], total: int, xs: list[str], k: int
+    asking: DataFrame, donors: DataFrame, sizes: dict[int, int], cuts: dict[int, int], xs: list[str], k: int
 ) -> DataFrame:
     width = len(xs)
-    # cell edges: quantiles of the cutting predictor among the donors
-    cells = max(1, min(MAX_CELLS, math.ceil(total / CELL_ROWS), LOOKUP_ROWS // (2 * len(cuts))))
-    bounds: dict[int, list[float]] = {p: [] for p in cuts}
-    if cells > 1:
-        probs = [i / cells for i in range(1, cells)]
-        one_pattern = donors.filter(F.col("p") == next(iter(cuts)))
-        marks = run_aggregates(
-            one_pattern, {f"q{i}": F.percentile_approx(f"x{i}", probs, 20 * cells) for i in sorted(set(cuts.values()))}
+    # cell edges: quantiles of the cutting predictor among the donors of the class
+    most = max(1, min(MAX_CELLS, LOOKUP_ROWS // (2 * len(cuts))))
+    cells = {g: min(most, math.ceil(n / CELL_ROWS)) for g, n in sizes.items()}
+    marks = {
+        f"q{g}": F.percentile_approx(
+            F.when(F.col("g") == g, F.col(f"x{cuts[g]}")), [i / n for i in range(1, n)], max(20 * n, 10_000)
         )
-        bounds = {p: sorted(set(marks[f"q{i}"] or [])) for p, i in cuts.items()}
-    find = _cell_finder(bounds)
-    cut_value = F.element_at(F.array(*xs), _number_by_pattern(cuts) + 1)
-
-    # donors without the cutting predictor share cell -1
-    placed = donors.withColumn("cut", cut_value)
-    cell = F.when(F.col("cut").isNotNull(), find("p", F.coalesce("cut", F.lit(0.0)))).otherwise(F.lit(-1))
-    placed = placed.withColumn("cell", cell)
-    parts = placed.groupBy("p", "cell").agg(F.ceil(F.count("*") / CELL_ROWS).cast("int").alias("parts"))
-    parts = durable(parts)  # one row per pattern and cell: at most LOOKUP_ROWS
-    placed = placed.join(F.broadcast(parts), ["p", "cell"])
-    placed = placed.withColumn("part", _chunk(F.col("parts"))).select("p", "cell", "part", "id", "y", *xs)
-
-    # every receiver first visits one part of its own cell
-    asking = asking.withColumn("cut", cut_value).withColumn("home", find("p", "cut"))
-    own = parts.select("p", F.col("cell").alias("home"), "parts")
-    asking = asking.join(F.broadcast(own), ["p", "home"], "left")
+        for g, n in cells.items()
+        if n > 1
+    }
+    seen = run_aggregates(donors, marks) if marks else {}
+    find = _cell_finder({g: sorted(set(seen.get(f"q{g}") or [])) for g in cuts})
+    cut_value = F.element_at(F.array(*xs), _by_class(cuts) + 1)
+
+    placed = donors.withColumn("cell", find("g", cut_value))
+    parts = placed.groupBy("g", "cell").agg(F.ceil(F.count("*") / CELL_ROWS).cast("int").alias("parts"))
+    parts = durable(parts)  # one row per class and cell: at most LOOKUP_ROWS
+    placed = placed.join(F.broadcast(parts), ["g", "cell"])
+    placed = placed.withColumn("part", _chunk(F.col("parts"))).select("g", "cell", "part", "id", "y", *xs)
+
+    # every receiver first visits one part of its own cell in each class
+    asking = asking.withColumn("cut", cut_value).withColumn("home", find("g", "cut"))
+    own = parts.select("g", F.col("cell").alias("home"), "parts")
+    asking = asking.join(F.broadcast(own), ["g", "home"], "left")
     asking = asking.withColumn("part", _chunk(F.coalesce("parts", F.lit(1)))).drop("parts")
-    first = durable(_meet(asking.withColumnRenamed("home", "cell"), placed, cuts, width, k))
+    first = durable(_k_best(_meet(asking.withColumnRenamed("home", "cell"), placed, cuts, width, k), k))
     reach = first.groupBy("id").agg(F.count("*").alias("found"), F.max("d2").alias("far"))
-    # d2 >= (width + 1) / (predictors of the receiver) * gap ** 2, whatever the donor lacks
-    radius = F.sqrt(F.col("far") * F.bit_count("p") / F.lit(width + 1.0)) * F.lit(1.0 + 1e-9)
+    # d2 >= (width + 1) / (shared predictors) * gap ** 2 for every donor of the class
+    shared = F.bit_count(F.col("g").bitwiseAND((1 << CLASS_BITS) - 1))
+    radius = F.sqrt(F.col("far") * shared / F.lit(width + 1.0)) * F.lit(SLACK)
     radius = F.when(F.col("found") >= k, radius).otherwise(F.lit(math.inf))
     reached = asking.join(reach, "id", "left").withColumn("radius", F.coalesce(radius, F.lit(math.inf)))
-    reached = reached.withColumn("low", find("p", F.col("cut") - F.col("radius"))).withColumn(
-        "high", find("p", F.col("cut") + F.col("radius"))
+    reached = reached.withColumn("low", find("g", F.col("cut") - F.col("radius"))).withColumn(
+        "high", find("g", F.col("cut") + F.col("radius"))
     )
     visits = (
         reached.withColumnRenamed("part", "home_part")
-        .withColumn("cell", F.explode(F.concat(F.sequence("low", "high"), F.array(F.lit(-1)))))
-        .join(F.broadcast(parts), ["p", "cell"])
+        .withColumn("cell", F.explode(F.sequence("low", "high")))
+        .join(F.broadcast(parts), ["g", "cell"])
         .withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
         .filter((F.col("cell") != F.col("home")) | (F.col("part") != F.col("home_part")))
-        .select("id", "p", "cell", "part", *xs)
+        .select("id", "g", "cell", "part", *xs)
     )
-    order = Window.partitionBy("id").orderBy("d2", "donor")
-    both = first.unionByName(_meet(visits, placed, cuts, width, k))
-    return both.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= k).drop("n")
+    return _k_best(first.unionByName(_meet(visits, placed, cuts, width, k)), k)
 
 
 def knn_effect(df: DataFrame, target: str, predictors: list[str], k: int = NEIGHBOURS) -> Effect:

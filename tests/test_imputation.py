@@ -63,7 +63,7 @@ def test_knn_in_one_cell(spark, cloud):
     assert np.allclose(got, _knn_by_hand(cloud[0], cloud[1:]))
 
 
-@pytest.mark.parametrize("cell, chunk", [(40, 7), (9, 50)])
+@pytest.mark.parametrize("cell, chunk", [(40, 7), (9, 50), (150, 1000)])
 def test_knn_over_many_cells_parts_and_chunks(spark, cloud, monkeypatch, cell, chunk):
     monkeypatch.setattr(knn, "CELL_ROWS", cell)
     monkeypatch.setattr(knn, "CHUNK_ROWS", chunk)
