@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from rinseframe.frames import col, data_columns
 from rinseframe.model import ROW_ID, DropDuplicates, DropEmptyRows, DropNulls, DropViolated, Note
-from rinseframe.operators.rules import RuleError, violation
+from rinseframe.operators.rules import RuleError, valid
 from rinseframe.plans.compile import Context, effect_of
 from rinseframe.plans.effects import Effect, missing_column, nothing
 from rinseframe.plans.skew import semi_join_counted
@@ -35,7 +35,7 @@ def _(step: DropViolated, df: DataFrame, ctx: Context) -> Effect:
     if step.rule is None or isinstance(step.rule, Note):
         return nothing()
     try:
-        return Effect(keep=~violation(df, step.rule))
+        return Effect(keep=valid(df, step.rule))
     except RuleError as exc:
         return nothing(f"Error: drop_violated was skipped: {exc}")
 

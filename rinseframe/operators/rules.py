@@ -9,12 +9,13 @@ from functools import reduce
 from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from rinseframe.frames import col, data_columns, dtype, is_numeric, is_text, is_time, quoted
+from rinseframe.frames import col, data_columns, dtype, groups_of, is_numeric, is_text, is_time, quoted
 from rinseframe.functions.casts import as_number
 from rinseframe.model import (
     BrokenRule, CapRange, DropNulls, DropViolated, ExpressionCheck, FillNull, LogTransform, Note, NullCheck,
     RangeCheck, RelationalCheck, ROW_ID, Rule, Rulebook, Step,
 )
+from rinseframe.operators.stats import AGGREGATE_WIDTH
 
 DETAIL_ROWS = 100
 
@@ -46,62 +47,81 @@ def _operand(df: DataFrame, name: str) -> Column:
     return col(name).cast("int") if isinstance(dtype(df, name), T.BooleanType) else col(name)
 
 
-def _literal(value, left_kind: str) -> tuple[Column, str]:
+def _bound(t: T.DataType, value: float) -> Column:
+    """A number to compare a column with; whole for whole columns, so that the scan can use it."""
+    if isinstance(t, T.IntegralType) and float(value).is_integer() and abs(value) < 2**53:
+        return F.lit(int(value))
+    return F.lit(value)
+
+
+def _literal(value, t: T.DataType) -> tuple[Column, str]:
     if isinstance(value, bool):
         return F.lit(int(value)), "number"
     if isinstance(value, (int, float)):
-        return F.lit(value), "number"
-    if left_kind == "time":
+        return _bound(t, value), "number"
+    if _kind(t) == "time":
         return F.lit(str(value)).try_cast("timestamp_ntz"), "time"
     return F.lit(str(value)), "text"
 
 
-def _relational_holds(df: DataFrame, rule: RelationalCheck) -> Column:
-    """True where the comparison holds. A comparison with NULL fails, except ``!=``, which holds."""
+def _relation(df: DataFrame, rule: RelationalCheck) -> Column:
+    """A comparison with NULL is unknown, except ``!=``, which holds."""
     _require(df, *rule.columns())
-    a, kind_a = _operand(df, rule.col_a), _kind(dtype(df, rule.col_a))
+    a, type_a = _operand(df, rule.col_a), dtype(df, rule.col_a)
+    kind_a = _kind(type_a)
     if rule.col_b is not None:
         b, kind_b = _operand(df, rule.col_b), _kind(dtype(df, rule.col_b))
     else:
-        b, kind_b = _literal(rule.value, kind_a)
+        b, kind_b = _literal(rule.value, type_a)
     if rule.op == "!=":
-        return F.lit(True) if kind_a != kind_b else F.coalesce(a != b, F.lit(True))
+        return F.lit(True) if kind_a != kind_b else (a != b) | a.isNull() | b.isNull()
     if rule.op == "==":
-        return F.lit(False) if kind_a != kind_b else F.coalesce(a == b, F.lit(False))
+        return F.lit(False) if kind_a != kind_b else a == b
     compare = {">": lambda: a > b, "<": lambda: a < b, ">=": lambda: a >= b, "<=": lambda: a <= b}.get(rule.op)
     if compare is None:
         return F.lit(False)
     if kind_a != kind_b or kind_a == "other":
         raise RuleError(f"'{rule.op}' cannot compare {kind_a} with {kind_b}")
-    return F.coalesce(compare(), F.lit(False))
+    return compare()
 
 
-def _mask(df: DataFrame, rule: Rule) -> Column:
-    if isinstance(rule, NullCheck):
-        _require(df, rule.col)
-        return col(rule.col).isNull()
-    if isinstance(rule, RangeCheck):
-        _require(df, rule.col)
+def _range(df: DataFrame, rule: RangeCheck) -> Column:
+    _require(df, rule.col)
+    t = dtype(df, rule.col)
+    if is_numeric(t):
+        x = col(rule.col)  # NaN is above every bound
+    else:
         try:
             x = as_number(df, rule.col)
         except TypeError as exc:
             raise RuleError(str(exc)) from exc
-        return F.coalesce((x < F.lit(rule.min)) | (x > F.lit(rule.max)), F.lit(True))
+    return (x >= _bound(t, rule.min)) & (x <= _bound(t, rule.max))
+
+
+def _valid(df: DataFrame, rule: Rule) -> Column:
+    if isinstance(rule, NullCheck):
+        _require(df, rule.col)
+        return col(rule.col).isNotNull()
+    if isinstance(rule, RangeCheck):
+        return _range(df, rule)
     if isinstance(rule, RelationalCheck):
-        return ~_relational_holds(df, rule)
+        return _relation(df, rule)
     if isinstance(rule, ExpressionCheck):
-        return ~F.coalesce(F.expr(rule.query), F.lit(False))
+        return F.expr(rule.query)
     if isinstance(rule, BrokenRule) and rule.problem:
         raise RuleError(rule.problem)
-    return F.lit(False)
+    return F.lit(True)
 
 
-def violation(df: DataFrame, rule: Rule) -> Column:
-    """A column that is true on violating rows and never NULL. Raises RuleError; runs no job."""
+def valid(df: DataFrame, rule: Rule) -> Column:
+    """A predicate that is true on exactly the rows that keep the rule (false or NULL on the others).
+
+    Left as plain as it is written, so that it can be pushed into a scan. Raises RuleError; runs no job.
+    """
     try:
-        mask = _mask(df, rule)
-        df.select(mask)
-        return mask
+        holds = _valid(df, rule)
+        df.filter(holds)
+        return holds
     except RuleError as exc:
         raise RuleError(f"{rule.type or 'rule'} ({rule.desc or 'no description'}): {exc}") from exc
     except PySparkException as exc:
@@ -109,6 +129,11 @@ def violation(df: DataFrame, rule: Rule) -> Column:
         raise RuleError(f"{rule.type} ({rule.desc or 'no description'}): {text}") from exc
 
 
+def violation(df: DataFrame, rule: Rule) -> Column:
+    """A column that is true on violating rows and never NULL. Raises RuleError; runs no job."""
+    return ~F.coalesce(valid(df, rule), F.lit(False))
+
+
 @dataclass(frozen=True)
 class Resolved:
     position: int
@@ -140,11 +165,17 @@ _RESULT_FIELDS = "position int, type string, desc string, violations bigint, err
 
 
 def _count_rows(df: DataFrame, checked: list[Resolved]) -> DataFrame:
-    """(position, type, desc, violations, error) for every checked rule, from one aggregate."""
+    """(position, type, desc, violations, error) for every checked rule, from one aggregate.
+
+    A book of very many rules takes a few, so that the generated code stays compilable.
+    """
     if not checked:
         return df.sparkSession.createDataFrame([], _RESULT_FIELDS)
-    good = [r for r in checked if r.mask is not None]
-    sums = [F.count_if(r.mask).alias(f"v{r.position}") for r in good] or [F.lit(0).alias("none")]
+    return reduce(DataFrame.unionByName, [_counted(df, part) for part in groups_of(checked, AGGREGATE_WIDTH)])
+
+
+def _counted(df: DataFrame, checked: list[Resolved]) -> DataFrame:
+    sums = [F.count_if(r.mask).alias(f"v{r.position}") for r in checked if r.mask is not None]
     lines = [
         F.struct(
             F.lit(r.position).alias("position"),
@@ -155,7 +186,7 @@ def _count_rows(df: DataFrame, checked: list[Resolved]) -> DataFrame:
         )
         for r in checked
     ]
-    totals = df.agg(*sums) if good else df.sparkSession.range(1).select(*sums)
+    totals = df.agg(*sums) if sums else df.sparkSession.range(1)
     return totals.select(F.inline(F.array(*lines)))
 
 

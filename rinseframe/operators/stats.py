@@ -24,19 +24,18 @@ BRACKET_ROWS = 200_000
 SKETCH_SIZE = 4_000
 
 
-def run_aggregates(df: DataFrame, exprs: dict[str, Column]) -> dict[str, object]:
-    """Evaluate named aggregates in as few passes as their number allows."""
+def run_aggregates(df: DataFrame, exprs: dict[str, Column], width: int = AGGREGATE_WIDTH) -> dict[str, object]:
+    """Evaluate named aggregates in as few passes as their number allows.
+
+    Callers list them column by column, so that each pass reads its own columns of a columnar file.
+    """
     out: dict[str, object] = {}
-    for names in groups_of(exprs, AGGREGATE_WIDTH):
+    for names in groups_of(exprs, width):
         row = df.agg(*[exprs[n].alias(n) for n in names]).first()
         out.update(row.asDict())
     return out
 
 
-def row_count(df: DataFrame) -> int:
-    return df.count()
-
-
 # ------------------------------------------------------------- order statistics
 
 

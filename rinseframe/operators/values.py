@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from rinseframe.frames import col, dtype, is_numeric, is_text, is_time, targets
@@ -59,23 +61,38 @@ def _replaced(df: DataFrame, name: str, step: Replace) -> Column | None:
     t = dtype(df, name)
     if is_text(t) and isinstance(step.find, str):
         if step.regex:
-            if not isinstance(step.replace, str):
-                return None
             return F.regexp_replace(col(name), text.java_pattern(step.find), text.java_replacement(step.replace))
         new = F.lit(None if step.replace is None else str(step.replace)).cast("string")
         return F.when(col(name) == F.lit(step.find), new).otherwise(col(name))
-    number = isinstance(step.find, (int, float)) and not isinstance(step.find, bool)
-    if is_numeric(t) and number and not step.regex:
+    numbers = all(isinstance(v, (int, float)) and not isinstance(v, bool) for v in (step.find, step.replace))
+    if is_numeric(t) and numbers and not step.regex:
         new = F.lit(step.replace).cast(t)
         return F.when(col(name) == F.lit(step.find), new).otherwise(col(name))
     return None  # text never equals a number: nothing matches
 
 
+def _pattern_problem(df: DataFrame, step: Replace) -> str | None:
+    """Why a pattern or its replacement cannot be used; found now rather than on the executors."""
+    if not isinstance(step.find, str) or not isinstance(step.replace, str):
+        return "a pattern and its replacement must be text"
+    try:
+        re.compile(step.find).sub(step.replace, "")
+    except re.error as exc:
+        return str(exc)
+    # Java may know less than Python; one row on the driver tells
+    pattern, new = text.java_pattern(step.find), text.java_replacement(step.replace)
+    df.sparkSession.range(1).select(F.regexp_replace(F.lit(""), pattern, new)).first()
+    return None
+
+
 @effect_of.register
 def _(step: Replace, df: DataFrame, ctx: Context) -> Effect:
     names = targets(df, step.column)
     if names is None:
         return missing_column(step)
+    problem = _pattern_problem(df, step) if step.regex else None
+    if problem:
+        return nothing(f"Error: replace was skipped: {problem}.")
     new = {c: _replaced(df, c, step) for c in names}
     return values({c: e for c, e in new.items() if e is not None})
 

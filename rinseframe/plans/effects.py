@@ -17,7 +17,7 @@ class Effect:
     """One of
 
     * ``project``: a row-wise change (columns only), no shuffle;
-    * ``keep``: a row filter, as a condition that is never NULL;
+    * ``keep``: a row filter; rows where it is false or NULL go;
     * ``rebuild``: anything that regroups rows or joins;
 
     or nothing at all, with a message. ``whole_table`` says that the effect was
@@ -44,7 +44,7 @@ class Effect:
         if self.project is not None:
             return self.project(df)
         if self.keep is not None:
-            return df.withColumn(ALIVE, F.col(ALIVE) & self.keep)
+            return df.withColumn(ALIVE, F.col(ALIVE) & F.coalesce(self.keep, F.lit(False)))
         return df
 
 

@@ -34,7 +34,7 @@ def _infer(df: DataFrame) -> DataFrame:
         tests[f"i{i}"] = F.count_if(x.rlike(r"^\s*[+-]?\d+\s*$") & x.try_cast("bigint").isNotNull())
         tests[f"d{i}"] = F.count_if(number_from_text(x).isNotNull())
         tests[f"b{i}"] = F.count_if(x.isin("True", "False", "TRUE", "FALSE", "true", "false"))
-    seen = run_aggregates(df, tests)
+    seen = run_aggregates(df, tests, width=len(tests))  # rows of text are read whole: one pass
     changed: dict[str, Column] = {}
     for i, c in enumerate(names):
         n = seen[f"n{i}"]

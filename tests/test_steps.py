@@ -59,6 +59,8 @@ def column(df, *steps, name="a"):
         ({"action": "rename_column", "column": "A", "value": "B"}, "already exists"),
         ({"action": "normalize_text", "column": "B", "value": "unknown_method"}, "unknown text method"),
         ({"action": "drop_empty_columns"}, "No empty columns"),
+        ({"action": "replace", "column": "B", "find": "(", "replace": "x", "regex": True}, "skipped"),
+        ({"action": "replace", "column": "B", "find": "a(p)", "replace": r"\\2", "regex": True}, "invalid group"),
     ],
 )
 def test_a_step_that_cannot_be_applied_says_so_and_changes_nothing(spark, step, words):
@@ -301,6 +303,16 @@ def test_drop_column_warns_about_rules(people):
     assert messages == ["Warning: dropped column 'age' is used by age is there, old enough."]
 
 
+def test_every_step_has_a_sentence():
+    from rinseframe.plans.report import describe_step
+
+    said = [describe_step(s) for s in RECIPE.steps]
+    assert said[0] == "Outer white space removed in name"
+    assert said[4] == "Removed rows that break the rule: id"
+    assert said[5] == "Column age is now called years"
+    assert describe_step(Recipe.of({"action": "magic", "column": "x"}).steps[0]) == "Step magic on x"
+
+
 def test_row_ids(spark):
     df = spark.range(0, 1000, 1, 7).selectExpr("id AS k")
     ids = with_row_id(df, contiguous=True).orderBy("_row_id").collect()
