@@ -22,6 +22,8 @@ AGGREGATE_WIDTH = 120
 PERCENTILE_ROWS = 100_000
 BRACKET_ROWS = 200_000
 SKETCH_SIZE = 4_000
+# Intervals finished in one pass, so that their condition stays compilable.
+FINISH_INTERVALS = 30
 
 
 def run_aggregates(df: DataFrame, exprs: dict[str, Column], width: int = AGGREGATE_WIDTH) -> dict[str, object]:
@@ -125,7 +127,7 @@ def _narrow(df: DataFrame, open_searches: list[_Search]) -> None:
 
 def _finish(df: DataFrame, searches: list[_Search]) -> None:
     """Pick each rank from its interval, which by now holds at most BRACKET_ROWS rows."""
-    for batch in groups_of(_by_interval(searches).items(), AGGREGATE_WIDTH // 4):
+    for batch in groups_of(_by_interval(searches).items(), FINISH_INTERVALS):
         ranges = [(name, _within(_number(name), low, high)) for (name, low, high), _ in batch]
         tagged = F.array(
             *[

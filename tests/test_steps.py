@@ -60,7 +60,7 @@ def column(df, *steps, name="a"):
         ({"action": "normalize_text", "column": "B", "value": "unknown_method"}, "unknown text method"),
         ({"action": "drop_empty_columns"}, "No empty columns"),
         ({"action": "replace", "column": "B", "find": "(", "replace": "x", "regex": True}, "skipped"),
-        ({"action": "replace", "column": "B", "find": "a(p)", "replace": r"\\2", "regex": True}, "invalid group"),
+        ({"action": "replace", "column": "B", "find": "a(p)", "replace": r"\2", "regex": True}, "invalid group"),
     ],
 )
 def test_a_step_that_cannot_be_applied_says_so_and_changes_nothing(spark, step, words):
