@@ -122,7 +122,10 @@ def describe(df: DataFrame, columns: list[str] | None = None, approx: bool = Fal
             facts |= {f"avg{i}": F.avg(x), f"std{i}": F.stddev_samp(x), f"lo{i}": F.min(x), f"hi{i}": F.max(x)}
     seen = run_aggregates(shown, facts)
     counts = {c: seen[f"n{i}"] for i, c in enumerate(names)}
-    inner = quantiles(shown, numbers, [0.25, 0.5, 0.75], counts, approx)
+    # apart, since a time has to be converted wherever it is compared
+    times = [c for c in names if is_time(dtype(df, c))]
+    inner = quantiles(df, [c for c in numbers if c not in times], [0.25, 0.5, 0.75], counts, approx)
+    inner |= quantiles(shown, times, [0.25, 0.5, 0.75], counts, approx)
     tops = value_facts(shown, [c for c in names if c not in numbers])
     rows = []
     for i, c in enumerate(names):

@@ -59,7 +59,11 @@ def working_sample_large(spark, folder):
     return src.working_sample(dirty_events(spark, folder), large=True).select("event_id", "value", "event_type")
 
 
-@query("downsample", EVENTS_SQL + f"SELECT event_id, value, true AS is_sampled FROM (SELECT * FROM d {_DRAW} 1000)")
+@query(
+    "downsample",
+    EVENTS_SQL
+    + f"""SELECT event_id, value, (SELECT count(*) FROM d) > 1000 AS is_sampled FROM (SELECT * FROM d {_DRAW} 1000)""",
+)
 def downsample(spark, folder):
     from pyspark.sql import functions as F
 
