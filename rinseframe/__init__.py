@@ -4,7 +4,6 @@ import sys
 
 from pyspark import cloudpickle
 
-from rinseframe import operators  # noqa: F401
 from rinseframe.frames import nan_to_null
 from rinseframe.model import ALL_TEXT, ROW_ID, Proposal, Recipe, Rulebook
 from rinseframe.operators import columns, fill, rows, rules, values  # noqa: F401  (registers the steps)

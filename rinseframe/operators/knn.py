@@ -23,7 +23,6 @@ CELL_ROWS donors and CHUNK_ROWS receivers at most, whatever the data looks like.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd

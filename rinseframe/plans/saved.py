@@ -7,11 +7,10 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 
-from rinseframe.model import Recipe, Rulebook
+from rinseframe.frames import data_columns
+from rinseframe.model import NormalizeColumnNames, Recipe, RenameColumn, Rulebook
 from rinseframe.operators.columns import normalized_names
 from rinseframe.operators.rules import rename_in_rules, validate
-from rinseframe.model import NormalizeColumnNames, RenameColumn
-from rinseframe.frames import data_columns
 from rinseframe.plans.compile import Context, apply_recipe, compile_step
 
 
@@ -37,7 +36,7 @@ class CleaningPlan:
 def follow_renames(df: DataFrame, recipe: Recipe, rulebook: Rulebook) -> tuple[Rulebook, list[str]]:
     """The rulebook as it reads after the recipe: rules written for ``df`` follow its column renames."""
     notes: list[str] = []
-    state, ctx = df, Context(eager=False)
+    state, ctx = df, Context()
     for step in recipe.steps:
         effect, after = compile_step(step, state, ctx)
         if isinstance(step, RenameColumn) and effect.project is not None:
