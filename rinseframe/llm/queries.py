@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rinseframe.llm import bpe, decontaminate, secrets
+from rinseframe.llm import bpe, decontaminate, neardup, secrets
 from rinseframe.llm.common import read
 
 #: The tokenizer file, by name.
@@ -38,6 +38,11 @@ def op6_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op8_minhash(spark: SparkSession, folder: str) -> DataFrame:
+    found = neardup.near_duplicates(read(spark, folder, "documents"), words_per_shingle=2)
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def op9_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.digests(read(spark, folder, "documents"), public_tokenizers.path(TOKENIZER), keep=["doc_id"])
 
@@ -45,6 +50,7 @@ def op9_bpe(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_decontaminate": op3_decontaminate,
     "op6_secret_scan": op6_secret_scan,
+    "op8_minhash": op8_minhash,
     "op9_bpe": op9_bpe,
 }
 ORACLES: dict[str, str] = {}
