@@ -8,13 +8,19 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rinseframe.llm import bpe, decontaminate, neardup, secrets
-from rinseframe.llm.common import read
+from rinseframe.llm import bpe, decontaminate, langid, neardup, secrets, toxicity
+from rinseframe.llm.common import read, remainder
 
 #: The tokenizer file, by name.
 TOKENIZER = "word_bpe_49k.json"
 
 
+def op1_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read(spark, folder, "documents").withColumn("held_out", remainder("doc_id", 5) == 0)
+    model = langid.fit(docs.where("NOT held_out"))
+    return langid.identify(docs, model, keep=["doc_id", "held_out"])
+
+
 def op3_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     found = decontaminate.decontaminate(read(spark, folder, "documents"), read(spark, folder, "benchmark"), keep=["doc_id"])
     return found.select(
@@ -38,6 +44,18 @@ def op6_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def toxicity_model(spark: SparkSession, folder: str) -> toxicity.Machine:
+    """Learned from the labels of the rows that are not held out."""
+    labels = read(spark, folder, "labels").where(remainder("doc_id", 4) != 2)
+    return toxicity.fit(read(spark, folder, "documents"), labels)
+
+
+def op7_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read(spark, folder, "documents").withColumn("held_out", remainder("doc_id", 4) == 2)
+    scored = toxicity.score(docs, toxicity_model(spark, folder), keep=["doc_id", "held_out"])
+    return scored.withColumn("predicted", (F.col("score") >= toxicity.THRESHOLD).cast("int"))
+
+
 def op8_minhash(spark: SparkSession, folder: str) -> DataFrame:
     found = neardup.near_duplicates(read(spark, folder, "documents"), words_per_shingle=2)
     return found.select("doc_id", "n_shingles", "component_id", "kept")
@@ -48,8 +66,10 @@ def op9_bpe(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_language_id": op1_language_id,
     "op3_decontaminate": op3_decontaminate,
     "op6_secret_scan": op6_secret_scan,
+    "op7_toxicity": op7_toxicity,
     "op8_minhash": op8_minhash,
     "op9_bpe": op9_bpe,
 }
