@@ -8,11 +8,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rinseframe.llm import bpe, decontaminate, langid, neardup, secrets, toxicity
+from rinseframe.llm import bpe, decontaminate, langid, neardup, pii, secrets, toxicity
 from rinseframe.llm.common import read, remainder
 
 #: The tokenizer file, by name.
 TOKENIZER = "word_bpe_49k.json"
+#: The key of the pseudonyms in the queries; in real use it comes from where secrets are kept.
+PSEUDONYM_KEY = "rinseframe queries"
 
 
 def op1_language_id(spark: SparkSession, folder: str) -> DataFrame:
@@ -29,6 +31,11 @@ def op3_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op5_pii(spark: SparkSession, folder: str) -> DataFrame:
+    found = pii.pseudonymize(read(spark, folder, "documents"), PSEUDONYM_KEY)
+    return found.select("doc_id", "text", *(f"n_{kind}" for kind in pii.KINDS))
+
+
 def op6_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     found = secrets.scan(read(spark, folder, "documents"), keep=["doc_id"])
     spans = F.arrays_zip("starts", "ends", "kinds")
@@ -68,6 +75,7 @@ def op9_bpe(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op3_decontaminate": op3_decontaminate,
+    "op5_pii": op5_pii,
     "op6_secret_scan": op6_secret_scan,
     "op7_toxicity": op7_toxicity,
     "op8_minhash": op8_minhash,
