@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rinseframe.llm import bpe, decontaminate, langid, neardup, pii, secrets, toxicity
+from rinseframe.llm import bpe, decontaminate, langid, neardup, pii, secrets, toxicity, vectors
 from rinseframe.llm.common import read, remainder
 
 #: The tokenizer file, by name.
@@ -72,6 +72,10 @@ def op9_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.digests(read(spark, folder, "documents"), public_tokenizers.path(TOKENIZER), keep=["doc_id"])
 
 
+def op10_embedding_neardup(spark: SparkSession, folder: str) -> DataFrame:
+    return vectors.near_duplicates(read(spark, folder, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op3_decontaminate": op3_decontaminate,
@@ -80,5 +84,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_toxicity": op7_toxicity,
     "op8_minhash": op8_minhash,
     "op9_bpe": op9_bpe,
+    "op10_embedding_neardup": op10_embedding_neardup,
 }
 ORACLES: dict[str, str] = {}
