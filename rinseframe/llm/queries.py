@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rinseframe.llm import bpe, decontaminate, langid, neardup, pii, secrets, toxicity, vectors
+from rinseframe.llm import bpe, decontaminate, langid, neardup, pii, secrets, suffixes, toxicity, vectors
 from rinseframe.llm.common import read, remainder
 
 #: The tokenizer file, by name.
@@ -23,6 +23,11 @@ def op1_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return langid.identify(docs, model, keep=["doc_id", "held_out"])
 
 
+def op2_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    found = suffixes.remove_repeats(read(spark, folder, "documents"), with_bytes=False)
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op3_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     found = decontaminate.decontaminate(read(spark, folder, "documents"), read(spark, folder, "benchmark"), keep=["doc_id"])
     return found.select(
@@ -78,6 +83,7 @@ def op10_embedding_neardup(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
+    "op2_suffix_dedup": op2_suffix_dedup,
     "op3_decontaminate": op3_decontaminate,
     "op5_pii": op5_pii,
     "op6_secret_scan": op6_secret_scan,
