@@ -4,30 +4,49 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-import public_tokenizers
-from rinseframe.llm import bpe, decontaminate
+from rinseframe.llm import bpe, decontaminate, neardup, pii, toxicity
 from rinseframe.llm.common import read, stored
-from rinseframe.llm.queries import TOKENIZER
+from rinseframe.llm.queries import PSEUDONYM_KEY, TOKENIZER, toxicity_model
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
 
-COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+def harmless(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    """Toxic documents go. A null text is kept as an empty one would be."""
+    scored = toxicity.score(docs, toxicity_model(spark, folder), name="__score")
+    return scored.where(F.col("__score") < toxicity.THRESHOLD).select(*docs.columns)
 
 
-def without_benchmark(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+def distinct(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    """Of each group of near-duplicates, by shingles of five words, the document of the smallest id stays."""
+    return neardup.deduplicate(docs)
+
+
+def unseen(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Passages of the benchmark are cut out of the text; a document that is mostly such passages goes."""
     found = decontaminate.decontaminate(docs, read(spark, folder, "benchmark"))
-    return found.where("NOT rejected").withColumnRenamed("clean_text", "text").select(*docs.columns)
+    columns = [F.col("clean_text").alias("text") if name == "text" else F.col(name) for name in docs.columns]
+    return found.where("NOT rejected").select(*columns)
+
+
+def private(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    """Personal numbers, addresses and dates become pseudonyms."""
+    return pii.pseudonymize(docs, PSEUDONYM_KEY, counts=False)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    return bpe.encode(docs, public_tokenizers.path(TOKENIZER))
+    """doc_id, n_tokens, token_ids and decoded."""
+    return bpe.encode(docs, public_tokenizers.path(TOKENIZER), keep=["doc_id"])
 
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
-    ("decontaminate", without_benchmark),
-    ("tokens", tokens),
-]
+STAGES: list[tuple[str, Stage]] = [
+    ("toxicity", harmless), ("near_dedup", distinct), ("decontaminate", unseen), ("pii", private), ("tokens", tokens),
+]
+#: A fitted model and tokenizer files have no SQL; tests/llm/test_pipeline.py has the brute-force version.
 ORACLE_SQL = None
 
 
