@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rinseframe.llm import bpe, decontaminate, langid, neardup, pii, secrets, suffixes, toxicity, vectors
+from rinseframe.llm import bpe, decontaminate, langid, neardup, pii, quality, secrets, suffixes, toxicity, vectors
 from rinseframe.llm.common import read, remainder
 
 #: The tokenizer file, by name.
@@ -36,6 +36,10 @@ def op3_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op4_quality(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.classify(read(spark, folder, "documents"), read(spark, folder, "labels"))
+
+
 def op5_pii(spark: SparkSession, folder: str) -> DataFrame:
     found = pii.pseudonymize(read(spark, folder, "documents"), PSEUDONYM_KEY)
     return found.select("doc_id", "text", *(f"n_{kind}" for kind in pii.KINDS))
@@ -85,6 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_suffix_dedup": op2_suffix_dedup,
     "op3_decontaminate": op3_decontaminate,
+    "op4_quality": op4_quality,
     "op5_pii": op5_pii,
     "op6_secret_scan": op6_secret_scan,
     "op7_toxicity": op7_toxicity,
