@@ -5,8 +5,8 @@ the second, shifted around by one place per coordinate, gives the values whose m
 one shingle are therefore neighbours in memory.
 
 Documents with the same set of shingles are one class, which is compared once. In every bucket of a band the classes
-are first compared with a hub, the one that meets most others; buckets whose classes are not all connected by then are
-compared further, until every pair of a bucket is either compared or connected.
+are first compared with a hub, the one that meets most others. Buckets whose classes are not all connected by then are
+compared further, block by block, so that every pair of a bucket is in the end either compared or connected.
 """
 
 from __future__ import annotations
@@ -31,6 +31,8 @@ BANDS, ROWS = 48, 6
 UNIVERSE, SEED = 20, 20_011
 
 _SLICE = 2048
+#: What a comparison of blocks holds: classes outside the largest component, shingles of a family.
+OUTSIDE, INSIDE = 128, 500_000
 
 
 def words(text: bytes | None) -> list[bytes]:
@@ -184,25 +186,10 @@ def near_duplicates(
     done = stored(compare(_new(meets.select(*_pair("set_key", "hub.set_key")), None), bodies, k, percent), "compared")
     roots = _roots(done)
 
-    # The best of those that the hub left out, against all that are not connected with it.
     open_ = _open(members, roots)
     if not open_.isEmpty():
-        apart = open_.join(open_.groupBy("band").agg(best), "band")
-        second = apart.join(roots.select(F.col("node").alias("hub_key"), F.col("root").alias("hub_root")), F.col("hub.set_key") == F.col("hub_key"), "left")
-        second = second.where(F.col("root") != F.coalesce("hub_root", "hub.set_key")).groupBy("band").agg(F.max(F.struct("degree", "set_key", "n", "root")).alias("hub"))
-        meets = open_.join(second, "band").where("root <> hub.root").where(_alike("n", "hub.n", percent))
-        more = stored(compare(_new(meets.select(*_pair("set_key", "hub.set_key")), done), bodies, k, percent), "compared")
-        done = done.unionByName(more)
-        roots = _roots(done)
-        open_ = _open(members, roots)
-    if not open_.isEmpty():
-        # All pairs between components that share a bucket; one end of each is outside the bucket's largest component.
-        sizes = open_.groupBy("band", "root").agg(F.count("*").alias("size"))
-        largest = sizes.groupBy("band").agg(F.max(F.struct("size", "root")).alias("largest"))
-        outside = open_.join(largest, "band").where("root <> largest.root").select("band", F.col("set_key").alias("x"), F.col("root").alias("x_root"), F.col("n").alias("x_n"))
-        meets = outside.join(open_, "band").where("root <> x_root").where(_alike("n", "x_n", percent))
-        more = stored(compare(_new(meets.select(*_pair("set_key", "x")), done), bodies, k, percent), "compared")
-        done = done.unionByName(more)
+        likely = stored(_rest(open_, bodies, k, percent), "likely")
+        done = done.unionByName(stored(compare(_new(likely, done), bodies, k, percent), "compared"))
         roots = _roots(done)
 
     named = classes.select("set_key", F.col("first.id").alias("id")).join(roots.withColumnRenamed("node", "set_key"), "set_key", "left")
@@ -228,6 +215,65 @@ def _open(members: DataFrame, roots: DataFrame) -> DataFrame:
     return stored(rooted.join(mixed.select("band"), "band", "left_semi"), "open")
 
 
+def _rest(open_: DataFrame, bodies: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links (a, b) that join components of the buckets in ``open_``, enough of them to connect all that can be.
+
+    Buckets that share classes form a family. In each, the classes outside its largest component are compared with all
+    that are not of their own component. Both sides are dealt into blocks of bounded size, and a job counts the common
+    shingles of two blocks at once; what it returns is a forest, so it has fewer rows than classes.
+    """
+    least = open_.groupBy("band").agg(F.min("set_key").alias("b"))
+    families = stored(components(open_.join(stored(least, "least"), "band").select(F.col("set_key").alias("a"), "b")), "families")
+    own = open_.select("set_key", "n", "root").distinct().join(families.select(F.col("node").alias("set_key"), F.col("root").alias("family")), "set_key")
+    own = stored(own, "own")
+    sizes = own.groupBy("family", "root").agg(F.count("*").alias("size"), F.sum("n").alias("weight"))
+    sizes = sizes.groupBy("family").agg(
+        F.max(F.struct("size", "root")).alias("largest"), F.sum("size").alias("size"), F.sum("weight").alias("weight")
+    )
+    sizes = stored(sizes.select(
+        "family", F.col("largest.root").alias("largest"), F.ceil((F.col("size") - F.col("largest.size")) / OUTSIDE).alias("outside"),
+        F.ceil(F.col("weight") / INSIDE).alias("inside"),
+    ), "sizes")
+    spec = {"hashes": "binary"}
+    sets = map_texts(bodies.join(own.select("set_key"), "set_key", "left_semi"), lambda: lambda texts: {"hashes": [shingle_hashes(words(t), k).tobytes() for t in texts]}, spec, ["set_key"], "body")
+    rows = own.join(sizes, "family").join(sets, "set_key")
+    dealt = F.xxhash64("set_key")
+    inner = rows.withColumns({"block": F.pmod(dealt, "inside"), "part": F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("outside") - 1)), "outer": F.lit(False)})
+    outer = rows.where("root <> largest").withColumns({"part": F.pmod(dealt, "outside"), "block": F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("inside") - 1)), "outer": F.lit(True)})
+    columns = ["family", "part", "block", "outer", "set_key", "root", "hashes"]
+
+    def job(group: pa.Table) -> pa.Table:
+        found = []
+        rows = sorted(zip(*(group.column(c).to_pylist() for c in ("outer", "set_key", "root", "hashes")), strict=True), key=lambda r: r[:2])
+        inside, outside = [r for r in rows if not r[0]], [r for r in rows if r[0]]
+        if inside and outside:
+            sets = [np.frombuffer(r[3], dtype=np.uint64) for r in inside]
+            sizes = np.array([len(x) for x in sets])
+            flat, holder = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+            order = np.argsort(flat, kind="stable")
+            flat, holder = flat[order], holder[order]
+            up: dict[bytes, bytes] = {}
+
+            def root(x: bytes) -> bytes:
+                while x in up:
+                    x = up[x]
+                return x
+
+            for _, key, label, own in outside:
+                own = np.frombuffer(own, dtype=np.uint64)
+                starts, ends = np.searchsorted(flat, own, "left"), np.searchsorted(flat, own, "right")
+                at = np.repeat(starts - np.concatenate(([0], np.cumsum(ends - starts)[:-1])), ends - starts) + np.arange((ends - starts).sum())
+                common = np.bincount(holder[at], minlength=len(sets))
+                for j in np.flatnonzero(100 * common >= percent * (len(own) + sizes - common)):
+                    a, b = root(label), root(inside[j][2])
+                    if a != b:
+                        up[max(a, b)] = min(a, b)
+                        found.append((key, inside[j][1]))
+        return pa.table({"a": pa.array([f[0] for f in found], pa.binary()), "b": pa.array([f[1] for f in found], pa.binary())})
+
+    return inner.select(columns).unionByName(outer.select(columns)).groupBy("family", "part", "block").applyInArrow(job, "a binary, b binary")
+
+
 def deduplicate(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """The documents that ``near_duplicates`` keeps, with all their columns."""
     found = near_duplicates(docs, doc_id=doc_id, text=text, with_text_key=True, **options)
