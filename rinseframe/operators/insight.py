@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -12,29 +11,18 @@ from pyspark.sql import DataFrame, functions as F
 
 from rinseframe.frames import assign, col, data_columns, numeric_columns
 from rinseframe.model import ROW_ID
-from rinseframe.operators.stats import AGGREGATE_WIDTH, correlation_of, run_aggregates
+from rinseframe.operators.stats import finite, run_aggregates
 from rinseframe.sources.tables import downsample
 
 _PAIRS = "a string, b string, r double"
 
-# Up to this many pairs (seven aggregates each) one scan of plain aggregates does.
-FEW_PAIRS = AGGREGATE_WIDTH // 7
+def _pairs(df: DataFrame, names: list[str], means: list[float | None]) -> dict[tuple[int, int], float | None]:
+    """All pairs from one pass of matrix products per Arrow batch, summed per partition and then by Spark.
 
-
-def _few_pairs(df: DataFrame, names: list[str]) -> dict[tuple[int, int], float | None]:
-    """One aggregate per pair: stays in generated code."""
-    pairs = list(combinations(range(len(names)), 2))
-    facts = {
-        f"r{i}_{j}": correlation_of(col(names[i]).cast("double"), col(names[j]).cast("double")) for i, j in pairs
-    }
-    seen = df.agg(*[e.alias(n) for n, e in facts.items()]).first() if facts else {}
-    return {(i, j): seen[f"r{i}_{j}"] for i, j in pairs}
-
-
-def _many_pairs(df: DataFrame, names: list[str], means: list[float | None]) -> dict[tuple[int, int], float | None]:
-    """All pairs from one pass of matrix products per Arrow batch, summed per partition and then by Spark."""
+    Numbers that are not finite count as missing, here and in the means.
+    """
     width = len(names)
-    centred = df.select(*[(col(c).cast("double") - F.lit(m)).alias(f"x{i}") for i, (c, m) in enumerate(zip(names, means))])
+    centred = df.select(*[(finite(col(c)) - F.lit(m)).alias(f"x{i}") for i, (c, m) in enumerate(zip(names, means))])
 
     def products(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         totals = np.zeros((4, width, width))
@@ -58,21 +46,19 @@ def _many_pairs(df: DataFrame, names: list[str], means: list[float | None]) -> d
         vx, vy = r["sxx"] - r["sx"] ** 2 / n, r["syy"] - r["sy"] ** 2 / n
         flat = vx <= 1e-12 * r["sxx"] or vy <= 1e-12 * r["syy"]
         cov = r["sxy"] - r["sx"] * r["sy"] / n
-        out[r["i"], r["j"]] = None if flat else max(-1.0, min(1.0, cov / math.sqrt(vx * vy)))
+        found = math.nan if flat else cov / (math.sqrt(vx) * math.sqrt(vy))
+        out[r["i"], r["j"]] = max(-1.0, min(1.0, found)) if math.isfinite(found) else None
     return out
 
 
 def correlation_pairs(df: DataFrame, columns: list[str] | None = None) -> dict[tuple[str, str], float | None]:
-    """Pearson correlation of every pair over the rows that have both values; None without spread."""
+    """Pearson correlation of every pair over the rows that have two finite values; None without spread."""
     names = columns or numeric_columns(df)
     facts = {}
     for i, c in enumerate(names):
-        facts |= {f"m{i}": F.avg(col(c).cast("double")), f"v{i}": F.min(col(c)) < F.max(col(c))}
+        facts |= {f"m{i}": F.avg(finite(col(c))), f"v{i}": F.min(finite(col(c))) < F.max(finite(col(c)))}
     seen = run_aggregates(df, facts)
-    if math.comb(len(names), 2) <= FEW_PAIRS:
-        found = _few_pairs(df, names)
-    else:
-        found = _many_pairs(df, names, [seen[f"m{i}"] for i in range(len(names))])
+    found = _pairs(df, names, [seen[f"m{i}"] for i in range(len(names))]) if len(names) > 1 else {}
     out: dict[tuple[str, str], float | None] = {}
     for i, a in enumerate(names):
         for j, b in enumerate(names):

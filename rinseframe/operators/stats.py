@@ -64,7 +64,9 @@ def _within(x: Column, low: float | None, high: float | None) -> Column:
 
 
 def _number(name: str) -> Column:
-    return col(name).cast("double")
+    """As double; NaN counts as missing."""
+    x = col(name).cast("double")
+    return F.when(~F.isnan(x), x)
 
 
 def _sketched(x: Column, probs: list[float]) -> Column:
@@ -159,9 +161,12 @@ def order_statistics(df: DataFrame, ranks: dict[str, list[int]], counts: dict[st
     searches = [_Search(c, r, inside=counts[c]) for c, rs in ranks.items() for r in sorted(set(rs))]
     while True:
         wide = [s for s in searches if s.value is None and s.inside > BRACKET_ROWS]
+        before = sum(s.inside for s in wide)
         if not wide:
             break
         _narrow(df, wide)
+        if sum(s.inside for s in wide if s.value is None) >= before:
+            break  # nothing got narrower: the last step takes intervals of any size
     left = [s for s in searches if s.value is None]
     if left:
         _finish(df, left)
@@ -188,6 +193,9 @@ def quantiles(
     if max(counts[c] for c in columns) <= PERCENTILE_ROWS:
         found = run_aggregates(df, {c: F.percentile(_number(c), probs) for c in columns})
         return {c: found[c] or [None] * len(probs) for c in columns}
+    # Counts that callers bring include NaN, which has no rank here.
+    if fractional := [c for c in columns if isinstance(dtype(df, c), (T.DoubleType, T.FloatType))]:
+        counts = counts | run_aggregates(df, {c: F.count(_number(c)) for c in fractional})
     ranks: dict[str, list[int]] = {}
     for c in columns:
         if counts[c]:
@@ -203,7 +211,7 @@ def quantiles(
         for p in probs:
             h = p * (counts[c] - 1)
             low, high = values[c][math.floor(h)], values[c][math.ceil(h)]
-            row.append(low + (high - low) * (h - math.floor(h)))
+            row.append(low if low == high else low + (high - low) * (h - math.floor(h)))
         out[c] = row
     return out
 
@@ -219,13 +227,20 @@ def adjusted_skewness(x: Column) -> Column:
     )
 
 
+def finite(x: Column) -> Column:
+    """A number as double; NULL where it is NaN or infinite."""
+    x = x.cast("double")
+    return F.when(~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))), x)
+
+
 def correlation_of(x: Column, y: Column) -> Column:
-    """Pearson correlation over the rows that have both; NULL without spread (``corr`` divides by zero there)."""
+    """Pearson correlation over the rows that have two finite values; NULL without spread or beyond double precision."""
+    x, y = finite(x), finite(y)
     both = x.isNotNull() & y.isNotNull()
     x, y = F.when(both, x), F.when(both, y)
     varies = (F.min(x) < F.max(x)) & (F.min(y) < F.max(y))
-    r = F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
-    return F.when(varies, F.least(F.greatest(r, F.lit(-1.0)), F.lit(1.0)))
+    r = finite(F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y)))
+    return F.when(varies & r.isNotNull(), F.least(F.greatest(r, F.lit(-1.0)), F.lit(1.0)))
 
 
 # ------------------------------------------------------------- value counts
