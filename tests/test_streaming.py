@@ -27,7 +27,8 @@ def _stream(spark, static, folder):
 @pytest.mark.parametrize("steps, frozen", [(STEPS, False), ([FILL, *STEPS], True)])
 def test_a_stream_is_cleaned_like_the_table(spark, source, steps, frozen):
     static, folder = source
-    out = clean_stream(_stream(spark, static, folder), steps, fit_on=static if frozen else None)
+    out, messages = clean_stream(_stream(spark, static, folder), steps, fit_on=static if frozen else None)
+    assert messages == []
     query = (
         out.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/cp")
     )
@@ -40,12 +41,23 @@ def test_a_stream_is_cleaned_like_the_table(spark, source, steps, frozen):
 def test_steps_without_meaning_on_a_stream_are_refused(spark, source):
     static, folder = source
     stream = _stream(spark, static, folder)
-    with pytest.raises(NotStreamable):
-        clean_stream(stream, [FILL])
+    for step in [
+        *(FILL | {"value": how} for how in ("mean", "median", "mode", "knn", "iterative")),
+        {"action": "normalize_text", "column": "event_type", "value": "fuzzy_dedupe"},
+        {"action": "drop_empty_columns"},
+    ]:
+        with pytest.raises(NotStreamable):
+            clean_stream(stream, [step])
     with pytest.raises(NotStreamable):
         clean_stream(stream, [{"action": "drop_duplicates"}], fit_on=static)
 
 
+def test_messages_of_steps_are_returned(spark, source):
+    static, folder = source
+    _, messages = clean_stream(_stream(spark, static, folder), [{"action": "drop_nulls", "column": "nowhere"}])
+    assert len(messages) == 1 and "nowhere" in messages[0]
+
+
 def test_violations_per_batch(spark, source):
     static, folder = source
     rules = [{"type": "Null Check", "col": "value", "desc": "value is there"}]
