@@ -159,9 +159,9 @@ def sample_rows(df: DataFrame, n: int = DEFAULT_SAMPLE_ROWS, seed: int = DEFAULT
     return df.orderBy(_draw(seed), ROW_ID).limit(n)
 
 
-def working_sample(df: DataFrame, n: int = DEFAULT_SAMPLE_ROWS, seed: int = DEFAULT_SEED, large: bool = False) -> DataFrame:
-    """A working set of n rows: the first n of a large input, n random ones otherwise."""
-    return preview(df, "first", n) if large else sample_rows(df, n, seed)
+def working_sample(df: DataFrame, n: int = DEFAULT_SAMPLE_ROWS, seed: int = DEFAULT_SEED) -> DataFrame:
+    """A working set: n rows drawn by a hash of the row id, however large the table is."""
+    return sample_rows(df, n, seed)
 
 
 def downsample(df: DataFrame, n: int = DEFAULT_PLOT_ROWS, seed: int = DEFAULT_SEED) -> tuple[DataFrame, bool]:

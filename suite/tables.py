@@ -49,14 +49,14 @@ def row_id(spark, folder):
 _DRAW = "ORDER BY md5(concat(cast(event_id AS varchar), ':42')), event_id LIMIT"
 
 
-@query("sample_hash", EVENTS_SQL + f"SELECT event_id, value, event_type FROM d {_DRAW} 10000")
+@query("sample_hash", EVENTS_SQL + f"SELECT event_id, value, event_type FROM d {_DRAW} 1000")
 def sample_hash(spark, folder):
-    return src.sample_rows(dirty_events(spark, folder), 10_000).select("event_id", "value", "event_type")
+    return src.sample_rows(dirty_events(spark, folder), 1000).select("event_id", "value", "event_type")
 
 
-@query("working_sample_large", EVENTS_SQL + "SELECT event_id, value, event_type FROM d ORDER BY event_id LIMIT 10000")
+@query("working_sample_large", EVENTS_SQL + f"SELECT event_id, value, event_type FROM d {_DRAW} 1000")
 def working_sample_large(spark, folder):
-    return src.working_sample(dirty_events(spark, folder), large=True).select("event_id", "value", "event_type")
+    return src.working_sample(dirty_events(spark, folder), 1000).select("event_id", "value", "event_type")
 
 
 @query(
