@@ -88,9 +88,9 @@ def _(step: DropEmptyColumns, df: DataFrame, ctx: Context) -> Effect:
     counts = run_aggregates(df, {f"c{i}": F.count(col(c)) for i, c in enumerate(names)})
     empty = [c for i, c in enumerate(names) if counts[f"c{i}"] == 0]
     if not empty:
-        return Effect(messages=("No empty columns found.",), whole_table=True)
+        return Effect(messages=("Every column has values, none was removed.",), whole_table=True)
     return Effect(
         project=lambda f: f.drop(*map(col, empty)),
-        messages=(f"Dropped empty columns: {', '.join(empty)}.",),
+        messages=(f"Columns without any value were removed: {', '.join(empty)}.",),
         whole_table=True,
     )

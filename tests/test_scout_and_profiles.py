@@ -13,59 +13,60 @@ from rinseframe.sources import tables
 
 
 @pytest.fixture
-def messy(spark):
-    rows = []
-    for i in range(20):
-        rows.append(
-            (
-                i,
-                1.0 if i == 19 else None,
-                [1.0, 2.0, 3.0, 4.0, None][i % 5],
-                42,
-                [10.0, 11.0, 10.5, 10.2, 10.8, 11.1, 10.9, 10.4, 10.6, 1000.0][i % 10],
-                [1.0, 1.1, 1.2, 1.3, 1.0, 1.2, 1.1, 1.3, 1.2, 100.0][i % 10],
-                ["1.5", "2.6", "3.7", "4.8", "not_a_number"][i % 5],
-                ["  apple  ", "banana", "orange  ", "grape", "  melon"][i % 5],
-                f"name {i}",
-                i % 2 == 0,
-            )
+def crates(spark):
+    """24 crates, one fault to a column."""
+    ports = ["oslo ", "  rio", "lima", "  cairo  ", "perth", "baku"]
+    rows = [
+        (
+            i,
+            0.5 if i == 11 else None,
+            2.0 * (i % 6) if i % 6 else None,
+            7,
+            2400.0 if i % 12 == 3 else 50 + i * 5 % 12 / 4,
+            300.0 if i % 12 == 5 else 2 + i % 4 / 10,
+            "n.a." if i % 8 == 7 else f"{i % 4}.25",
+            ports[i % 6],
+            f"crate-{i:03d}",
+            i % 3 == 0,
         )
+        for i in range(24)
+    ]
     return spark.createDataFrame(
         rows,
-        "_row_id bigint, mostly_null double, some_null double, constant_col int, outliers_col double, "
-        "skewed_col double, mixed_col string, whitespace_col string, who string, flag boolean",
+        "_row_id bigint, lost double, gap double, lane int, mass double, wait double, code string, port string, "
+        "tag string, sealed boolean",
     ).repartition(4)
 
 
-def test_every_detector(messy):
+def test_every_detector(crates):
     found = {}
-    for p in find_problems(messy):
+    for p in find_problems(crates):
         found.setdefault(p.type, []).append(p.column)
     assert found == {
-        "Redundant Column": ["mostly_null"],
-        "Null Check": ["some_null"],
-        "Constant Value": ["mostly_null", "constant_col"],
-        "Range Check": ["outliers_col", "skewed_col"],
-        "Distribution Warning": ["outliers_col", "skewed_col"],
-        "Type Cast": ["mixed_col"],
-        "Formatting Issue": ["whitespace_col"],
-        "High Cardinality": ["who"],
+        "Redundant Column": ["lost"],
+        "Null Check": ["gap"],
+        "Constant Value": ["lost", "lane"],
+        "Range Check": ["mass", "wait"],
+        "Distribution Warning": ["mass", "wait"],
+        "Type Cast": ["code"],
+        "Formatting Issue": ["port"],
+        "High Cardinality": ["tag"],
     }
-    assert {p.column for p in find_problems(messy, skip={"mostly_null", "constant_col"})}.isdisjoint(
-        {"mostly_null", "constant_col"}
+    assert {p.column for p in find_problems(crates, skip={"lost", "lane"})}.isdisjoint(
+        {"lost", "lane"}
     )
-    assert find_problems(messy.limit(0)) == []
-    table = scout(messy).orderBy("position").collect()
+    assert find_problems(crates.limit(0)) == []
+    table = scout(crates).orderBy("position").collect()
     assert [r["position"] for r in table] == list(range(len(table)))
 
 
-def test_accept_and_dismiss(messy):
-    found = find_problems(messy)
+def test_accept_and_dismiss(crates):
+    found = find_problems(crates)
     recipe, book, columns = accept(found)
-    assert DropColumn("mostly_null") in recipe.steps and len(book) == 6
+    assert DropColumn("lost") in recipe.steps and len(book) == 6
     assert columns == {p.column for p in found}
     rest, column = dismiss(found, 0)
-    assert column == "mostly_null" and len(rest) == len(found) - 1
+    assert column == "lost" and len(rest) == len(found) - 1
 
 
 def test_quick_actions(spark):
@@ -91,25 +92,27 @@ def test_health(spark, cells, health):
     assert profile.health(df).first()[0] == health
 
 
-def test_overview_and_summary(messy):
-    row = profile.overview(messy, [{"type": "Null Check", "col": "some_null", "desc": "x"}]).first()
-    assert (row["rows"], row["columns"], row["duplicates"], row["violations"]) == (20, 9, 0, 4)
-    summary = {r["column"]: r for r in profile.column_summary(messy).collect()}
-    assert summary["some_null"]["nulls"] == 4 and summary["some_null"]["mean"] == 2.5
-    assert summary["mixed_col"]["mode"] == "1.5" and summary["mixed_col"]["mean"] is None
-    assert summary["flag"]["mode"] == "false" and summary["flag"]["unique"] == 2
-    assert profile.type_composition(messy) == {"double": 4, "int": 1, "string": 3, "boolean": 1}
-    described = {r["column"]: r for r in profile.describe(messy).collect()}
-    assert described["whitespace_col"]["unique"] == 5 and described["whitespace_col"]["freq"] == 4
-    assert described["some_null"]["median"] == 2.5 and described["constant_col"]["std"] == 0.0
+def test_overview_and_summary(crates):
+    row = profile.overview(crates, [{"type": "Null Check", "col": "gap", "desc": "x"}]).first()
+    assert (row["rows"], row["columns"], row["duplicates"], row["violations"]) == (24, 9, 0, 4)
+    summary = {r["column"]: r for r in profile.column_summary(crates).collect()}
+    assert summary["gap"]["nulls"] == 4 and summary["gap"]["mean"] == 6.0
+    assert summary["code"]["mode"] == "0.25" and summary["code"]["mean"] is None
+    assert summary["sealed"]["mode"] == "false" and summary["sealed"]["unique"] == 2
+    assert profile.type_composition(crates) == {"double": 4, "int": 1, "string": 3, "boolean": 1}
+    described = {r["column"]: r for r in profile.describe(crates).collect()}
+    assert described["port"]["unique"] == 6 and described["port"]["freq"] == 4
+    assert described["gap"]["median"] == 6.0 and described["lane"]["std"] == 0.0
 
 
 def test_top_values(spark):
-    df = spark.createDataFrame([(f"val_{i:02d}",) for i in range(15)] + [("val_14",)], "a string")
+    """Value k of a to r occurs 1 + k // 6 times: nine stand for themselves, the rest together."""
+    letters = "abcdefghijklmnopqr"
+    df = spark.createDataFrame([(c,) for k, c in enumerate(letters) for _ in range(1 + k // 6)], "a string")
     found = {r["value"]: r["n"] for r in profile.top_values(df, ["a"]).collect()}
-    assert len(found) == 10 and found["Other"] == 6 and found["val_14"] == 2
-    few = df.filter("a <= 'val_09'")
-    assert {r["value"] for r in profile.top_values(few, ["a"]).collect()} == {f"val_{i:02d}" for i in range(10)}
+    assert found == {c: 3 for c in "mnopqr"} | {c: 2 for c in "ghi"} | {"Other": 12}
+    few = df.filter("a > 'h'")
+    assert {r["value"] for r in profile.top_values(few, ["a"]).collect()} == set("ijklmnopqr")
 
 
 def test_correlation(spark):
@@ -123,24 +126,34 @@ def test_correlation(spark):
     assert insight.correlation_range(df, 0.99, 1.0, ["A", "C"]).count() == 0
 
 
-def test_many_pairs_equal_few_pairs(spark, monkeypatch):
+def test_correlation_of_odd_columns(spark):
+    """Missing, NaN and infinite values are left out of a pair; a column without spread correlates with nothing."""
+    from rinseframe.frames import col
+    from rinseframe.operators.stats import correlation_of
+
     rng = np.random.default_rng(2)
-    columns = [rng.normal(1000 * i, i + 1, 300) for i in range(6)]
+    columns = [rng.normal(1000 * i, i + 1, 300) for i in range(8)]
     columns[2] = columns[1] * 3 + rng.normal(0, 2, 300)
     columns[4] = np.full(300, 5.5)
     table = np.column_stack(columns)
     table[rng.random(table.shape) < 0.2] = np.nan
     table[:, 5] = np.where(np.isnan(table[:, 0]), table[:, 5], np.where(np.isnan(table[:, 5]), np.nan, 3.0))
-    rows = [tuple(None if math.isnan(v) else float(v) for v in r) for r in table]
-    df = spark.createDataFrame(rows, ", ".join(f"c{i} double" for i in range(6))).repartition(4)
-    few = insight.correlation_pairs(df)
-    monkeypatch.setattr(insight, "FEW_PAIRS", 1)
-    many = insight.correlation_pairs(df)
-    assert few.keys() == many.keys()
-    for pair in few:
-        assert (few[pair] is None) == (many[pair] is None), pair
-        assert few[pair] is None or many[pair] == pytest.approx(few[pair], abs=1e-9)
-    assert few["c0", "c5"] is None and few["c4", "c1"] is None
+    rows = [[None if math.isnan(v) else float(v) for v in r] for r in table]
+    for at, odd in ((3, math.inf), (40, -math.inf), (77, math.nan)):
+        rows[at][6] = rows[at][7] = odd
+    df = spark.createDataFrame([tuple(r) for r in rows], ", ".join(f"c{i} double" for i in range(8))).repartition(4)
+    found = insight.correlation_pairs(df)
+    plain = np.array([[math.nan if v is None or not math.isfinite(v) else v for v in r] for r in rows])
+    single = df.agg(*[correlation_of(col(f"c{i}"), col(f"c{j}")).alias(f"r{i}_{j}") for i in range(8) for j in range(i)]).first()
+    for i in range(8):
+        for j in range(i):
+            x, y = plain[~np.isnan(plain[:, [i, j]]).any(axis=1)][:, [i, j]].T
+            flat = np.ptp(x) == 0 or np.ptp(y) == 0
+            for r in (found[f"c{i}", f"c{j}"], single[f"r{i}_{j}"]):
+                assert r is None if flat else r == pytest.approx(np.corrcoef(x, y)[0, 1], abs=1e-9), (i, j)
+    assert found["c0", "c5"] is None and found["c4", "c1"] is None and found["c6", "c6"] == 1.0
+    alone = spark.createDataFrame([(1.0, 2.0), (2.0, math.inf)], "a double, b double")
+    assert insight.correlation_pairs(alone)["a", "b"] is None and insight.correlation_pairs(alone, ["a"])["a", "a"] == 1.0
 
 
 def test_missingness_and_zscores(spark):
@@ -164,7 +177,7 @@ def test_samples(spark):
     assert not tables.downsample(df.limit(5))[1]
     assert [r["v"] for r in tables.preview(df, "last", 3).collect()] == [1997, 1998, 1999]
     assert tables.preview(df, "all").count() == 2000
-    assert [r["v"] for r in tables.working_sample(df, 3, large=True).collect()] == [0, 1, 2]
+    assert tables.working_sample(df, 3).collect() == tables.sample_rows(df, 3).collect()
 
 
 def test_audit_trail_and_impact(spark):

@@ -32,39 +32,39 @@ def column(df, *steps, name="a"):
 @pytest.mark.parametrize(
     "step, words",
     [
-        ({"action": "unsupported_magic"}, "Unknown action"),
-        ({"action": "drop_column", "column": "zzz"}, "not found"),
-        ({"action": "drop_nulls", "column": "zzz"}, "not found"),
-        ({"action": "fill_null", "column": "zzz", "value": "mean"}, "not found"),
-        ({"action": "cap_range", "column": "zzz", "min": 0, "max": 1}, "not found"),
-        ({"action": "cast_type", "column": "zzz", "dtype": "int64"}, "not found"),
-        ({"action": "rename_column", "column": "zzz", "value": "n"}, "not found"),
-        ({"action": "replace", "column": "zzz", "find": "a", "replace": "b"}, "not found"),
-        ({"action": "strip_whitespace", "column": "zzz"}, "not found"),
-        ({"action": "normalize_text", "column": "zzz"}, "not found"),
-        ({"action": "log_transform", "column": "zzz"}, "not found"),
-        ({"action": "extract_datetime", "column": "zzz", "component": "year", "new_column": "y"}, "not found"),
-        ({"action": "reorder_columns", "value": "not_a_list"}, "requires a list of column names"),
+        ({"action": "polish"}, "Unknown action"),
+        ({"action": "drop_column", "column": "absent"}, "not found"),
+        ({"action": "drop_nulls", "column": "absent"}, "not found"),
+        ({"action": "fill_null", "column": "absent", "value": "mean"}, "not found"),
+        ({"action": "cap_range", "column": "absent", "min": 0, "max": 1}, "not found"),
+        ({"action": "cast_type", "column": "absent", "dtype": "int64"}, "not found"),
+        ({"action": "rename_column", "column": "absent", "value": "n"}, "not found"),
+        ({"action": "replace", "column": "absent", "find": "a", "replace": "b"}, "not found"),
+        ({"action": "strip_whitespace", "column": "absent"}, "not found"),
+        ({"action": "normalize_text", "column": "absent"}, "not found"),
+        ({"action": "log_transform", "column": "absent"}, "not found"),
+        ({"action": "extract_datetime", "column": "absent", "component": "year", "new_column": "y"}, "not found"),
+        ({"action": "reorder_columns", "value": "x, y"}, "requires a list of column names"),
         ({"action": "log_transform", "column": "B"}, "requires a numeric column"),
         ({"action": "cap_range", "column": "B", "min": 0, "max": 1}, "requires a numeric column"),
         ({"action": "cap_range", "column": "A"}, "incomplete"),
         ({"action": "fill_null", "column": "B", "value": "mean"}, "requires a numeric column"),
         ({"action": "fill_null", "column": "A"}, "no fill value"),
-        ({"action": "cast_type", "column": "A", "dtype": "float_nonexistent"}, "Error"),
-        ({"action": "drop_violated", "rule": {"type": "Range Check", "desc": "Bad rule"}}, "Error"),
-        ({"action": "drop_violated", "rule": {"type": "Null Check", "col": "zzz"}}, "Error"),
+        ({"action": "cast_type", "column": "A", "dtype": "quaternion"}, "Error"),
+        ({"action": "drop_violated", "rule": {"type": "Range Check", "desc": "no bounds"}}, "Error"),
+        ({"action": "drop_violated", "rule": {"type": "Null Check", "col": "absent"}}, "Error"),
         ({"action": "extract_datetime", "column": "B", "component": "year"}, "Error"),
         ({"action": "extract_datetime", "column": "B", "component": "millisecond", "new_column": "m"}, "Error"),
         ({"action": "rename_column", "column": "A", "value": " "}, "Error"),
         ({"action": "rename_column", "column": "A", "value": "B"}, "already exists"),
-        ({"action": "normalize_text", "column": "B", "value": "unknown_method"}, "unknown text method"),
-        ({"action": "drop_empty_columns"}, "No empty columns"),
+        ({"action": "normalize_text", "column": "B", "value": "rot13"}, "unknown text method"),
+        ({"action": "drop_empty_columns"}, "Every column has values"),
         ({"action": "replace", "column": "B", "find": "(", "replace": "x", "regex": True}, "skipped"),
         ({"action": "replace", "column": "B", "find": "a(p)", "replace": r"\2", "regex": True}, "invalid group"),
     ],
 )
 def test_a_step_that_cannot_be_applied_says_so_and_changes_nothing(spark, step, words):
-    df = table(spark, "A double, B string", (1.0, "apple"), (2.0, "banana"), (None, "orange"))
+    df = table(spark, "A double, B string", (0.75, "tin"), (-3.0, "zinc"), (None, "lead"))
     before, _ = run(df)
     after, messages = run(df, step, {"action": "drop_violated", "rule": {"type": "Informational", "desc": "x"}})
     assert after == before
@@ -124,7 +124,7 @@ def test_shape_steps_together(spark):
         {"action": "normalize_column_names", "value": "snake_case"},
     )
     assert rows == [(1.0, "a"), (2.0, "b"), (None, "c")]
-    assert messages == ["Dropped empty columns: Empty Col."]
+    assert messages == ["Columns without any value were removed: Empty Col."]
 
 
 def test_duplicates_without_row_id(spark):
@@ -170,13 +170,13 @@ def test_cast_to_time_text_and_others(spark):
 
 
 def test_replace(spark):
-    df = table(spark, "a string, n bigint", ("apple", 5), ("banana", 6), ("apricot", 5), (None, None))
-    step = {"action": "replace", "column": "a", "find": "^ap.*", "replace": "X", "regex": True}
-    assert column(df, step)[0] == ["X", "banana", "X", None]
-    assert column(df, Replace("a", "app", "X"))[0] == ["apple", "banana", "apricot", None]
-    assert column(df, Replace(ALL_TEXT, "apple", "$1"))[0] == ["$1", "banana", "apricot", None]
-    assert column(df, Replace("a", r"(?P<x>an)(?P=x)", r"[\g<x>$]", regex=True))[0][1] == "b[an$]a"
-    assert column(df, Replace("a", r"(a)(p)", r"\2\1", regex=True))[0][0] == "paple"
+    df = table(spark, "a string, n bigint", ("alder", 5), ("papaya", 6), ("almond", 5), (None, None))
+    step = {"action": "replace", "column": "a", "find": "^al.*", "replace": "tree", "regex": True}
+    assert column(df, step)[0] == ["tree", "papaya", "tree", None]
+    assert column(df, Replace("a", "al", "X"))[0] == ["alder", "papaya", "almond", None]
+    assert column(df, Replace(ALL_TEXT, "alder", "$1"))[0] == ["$1", "papaya", "almond", None]
+    assert column(df, Replace("a", r"(?P<x>pa)(?P=x)", r"[\g<x>$]", regex=True))[0][1] == "[pa$]ya"
+    assert column(df, Replace("a", r"(a)(l)", r"\2\1", regex=True))[0][0] == "lader"
     assert column(df, Replace("n", "5", "9"), name="n")[0] == [5, 6, 5, None]
     assert column(df, Replace("n", 5, 9), name="n")[0] == [9, 6, 9, None]
 
@@ -225,18 +225,18 @@ def test_date_parts(spark):
 
 
 def test_fill(spark):
-    df = table(spark, "a double, b double, c bigint, t string",
-               (1.0, None, 1, "x"), (2.0, None, 2, None), (None, None, None, "y"), (4.0, None, 4, "x"), (2.0, None, 5, "y"))
+    df = table(spark, "debt double, void double, term bigint, grade string",
+               (8.0, None, 12, "C"), (None, None, 24, "B"), (3.5, None, None, None), (8.0, None, 60, "C"), (0.5, None, 36, "B"), (30.0, None, 48, None))
     fill = lambda c, v: column(df, {"action": "fill_null", "column": c, "value": v}, name=c)
-    assert fill("a", "mean")[0][2] == 2.25
-    assert fill("a", "median")[0][2] == 2.0
-    assert fill("a", "mode")[0][2] == 2.0
-    assert fill("t", "mode")[0][1] == "x"  # a tie: the smaller value
-    assert fill("c", "mean")[0][2] == 3.0
-    assert fill("a", "custom_val_99")[0] == ["1.0", "2.0", "custom_val_99", "4.0", "2.0"]
-    assert fill("c", 7)[0] == [1, 2, 7, 4, 5]
-    values, messages = fill("b", "mode")
-    assert values == [None] * 5 and "no values" in messages[0]
+    assert fill("debt", "mean")[0][1] == 10.0
+    assert fill("debt", "median")[0][1] == 8.0
+    assert fill("debt", "mode")[0][1] == 8.0
+    assert [fill("grade", "mode")[0][i] for i in (2, 5)] == ["B", "B"]  # a tie: the smaller value
+    assert fill("term", "mean")[0][2] == 36.0
+    assert fill("debt", "unpaid")[0] == ["8.0", "unpaid", "3.5", "8.0", "0.5", "30.0"]
+    assert fill("term", 18)[0] == [12, 24, 18, 60, 36, 48]
+    values, messages = fill("void", "mode")
+    assert values == [None] * 6 and "no values" in messages[0]
 
 
 # ------------------------------------------------------------------ recipes
