@@ -278,14 +278,12 @@ class NormalizeText(Step):
     column: str | _AllText
     value: str = "lowercase"
     threshold: int = 85
-    limit: int = 10
-    max_values: int = 1000
     action: ClassVar[str] = "normalize_text"
 
     def to_dict(self):
         out = super().to_dict()
         for f in fields(self):
-            if f.name in ("threshold", "limit", "max_values") and out[f.name] == f.default:
+            if f.name == "threshold" and out[f.name] == f.default:
                 out.pop(f.name)
         return out
 
@@ -314,11 +312,16 @@ class ExtractDatetime(Step):
 
 @dataclass(frozen=True)
 class FillNull(Step):
-    """``strategy`` is one of FILL_STRATEGIES or ``constant`` (then ``value`` is used)."""
+    """``strategy`` is one of FILL_STRATEGIES or ``constant`` (then ``value`` is used).
+
+    ``predictors`` names the columns that knn and iterative go by; without it they take all other numeric ones, or the
+    ten that correlate best (a message says so).
+    """
 
     column: str
     strategy: str
     value: Any = None
+    predictors: tuple[str, ...] | None = None
     action: ClassVar[str] = "fill_null"
 
     def to_dict(self):
@@ -327,6 +330,8 @@ class FillNull(Step):
             out["value"] = self.value
             if self.value in FILL_STRATEGIES:
                 out["strategy"] = "constant"
+        if self.predictors is not None:
+            out["predictors"] = list(self.predictors)
         return out
 
 
@@ -373,6 +378,8 @@ def step_from_dict(data: dict[str, Any]) -> Step:
         args = {"column": data.get("column"), "strategy": named}
         if named == "constant":
             args["value"] = value
+        if data.get("predictors") is not None:
+            args["predictors"] = tuple(data["predictors"])
     if cls is ReorderColumns:
         if not isinstance(args.get("value"), (list, tuple)):
             return BadStep(json.dumps(data), "Error: reorder_columns requires a list of column names.")

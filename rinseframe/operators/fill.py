@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from rinseframe.frames import col, dtype, is_numeric, is_text, numeric_columns
@@ -11,6 +13,8 @@ from rinseframe.plans.compile import Context, effect_of
 from rinseframe.plans.effects import Effect, missing_column, nothing, values
 
 PREDICTORS = 10
+# Named ones; more do not fit the bits by which knn tells gap patterns apart.
+MOST_PREDICTORS = 15
 
 
 def _statistic(frame: DataFrame, ctx: Context) -> Column:
@@ -67,11 +71,15 @@ def _(step: FillNull, df: DataFrame, ctx: Context) -> Effect:
     if step.strategy == "knn":
         from rinseframe.operators.knn import knn_effect
 
-        return knn_effect(df, step.column, predictors_for(df, step.column))
+        names, notes = predictors_for(df, step)
+        effect = knn_effect(df, step.column, names)
+        return replace(effect, messages=(*notes, *effect.messages))
     if step.strategy == "iterative":
         from rinseframe.operators.chained import chained_effect
 
-        return chained_effect(df, step.column, predictors_for(df, step.column))
+        names, notes = predictors_for(df, step)
+        effect = chained_effect(df, step.column, names)
+        return replace(effect, messages=(*notes, *effect.messages))
     return nothing(f"Error: fill strategy '{step.strategy}' is unknown.")
 
 
@@ -90,9 +98,16 @@ def top_predictors(df: DataFrame, target: str, k: int = PREDICTORS) -> list[tupl
     return sorted(scored, key=lambda item: -item[1])[:k]
 
 
-def predictors_for(df: DataFrame, target: str) -> list[str]:
-    """Columns an imputer uses besides the target: all numeric ones, or the best ten."""
-    others = [c for c in numeric_columns(df) if c != target]
+def predictors_for(df: DataFrame, step: FillNull) -> tuple[list[str], tuple[str, ...]]:
+    """Columns an imputer uses besides the target, and a message if it leaves out some by itself."""
+    others = [c for c in numeric_columns(df) if c != step.column]
+    if step.predictors is not None:
+        if unfit := [c for c in step.predictors if c not in others]:
+            raise ValueError(f"no numeric predictors: {', '.join(unfit)}")
+        if len(step.predictors) > MOST_PREDICTORS:
+            raise ValueError(f"at most {MOST_PREDICTORS} predictors can be named")
+        return list(step.predictors), ()
     if len(others) <= PREDICTORS:
-        return others
-    return [c for c, _ in top_predictors(df, target)]
+        return others, ()
+    chosen = [c for c, _ in top_predictors(df, step.column)]
+    return chosen, (f"'{step.column}' is filled by the {PREDICTORS} best of {len(others)} columns: {', '.join(chosen)}.",)

@@ -44,8 +44,8 @@ BLOCK = 32
 LOOK = 256
 # Widens a reach a little, against rounding.
 SLACK = 1.0 + 1e-9
-# A class is the receiver's predictors, shifted by this, and the shared ones; imputers use ten predictors at most.
-CLASS_BITS = 10
+# A class is the receiver's predictors, shifted by this, and the shared ones; fifteen predictors fit an int.
+CLASS_BITS = 15
 # A lookup of cells is broadcast up to this many rows (about 30 bytes each), joined by key beyond.
 LOOKUP_ROWS = 200_000
 

@@ -152,3 +152,12 @@ def violation_details(df: DataFrame, rules: Rulebook | Iterable, limit: int = DE
     order = Window.partitionBy("position").orderBy(ROW_ID)
     ranked = violation_hits(df, rules).withColumn("place", F.row_number().over(order))
     return ranked.filter(F.col("place") <= limit).select("position", ROW_ID)
+
+
+def details_shown(df: DataFrame, rules: Rulebook | Iterable, limit: int = DETAIL_ROWS) -> DataFrame:
+    """(position, violations, shown, truncated) of each failed rule: whether ``violation_details`` leaves rows out."""
+    failed = rule_counts(df, rules).filter(F.col("violations") > 0)
+    return failed.select(
+        "position", "violations", F.least("violations", F.lit(limit).cast("bigint")).alias("shown"),
+        (F.col("violations") > limit).alias("truncated"),
+    )

@@ -168,7 +168,8 @@ def test_wide_table_uses_the_ten_best_predictors(spark):
     df = _frame(spark, [y, *columns], ["y", *[f"c{i}" for i in range(15)]])
     best = top_predictors(df, "y")
     assert len(best) == 10 and best[0][0] == "c3"
-    assert not np.isnan(_impute(df, "knn")).any()
+    out, messages = apply_recipe(df, [{"action": "fill_null", "column": "y", "value": "knn"}])
+    assert out.filter("y IS NULL").count() == 0 and "10 best of 15" in messages[0]
     assert not np.isnan(_impute(df, "iterative")).any()
 
 
@@ -198,3 +199,26 @@ def test_recipe_of_imputers_survives_json(spark, cloud):
     again, _ = apply_recipe(df.repartition(1), Recipe.from_json(recipe.to_json()))
     rounded = [F.round(c, 9).alias(c) for c in ("y", "a", "b")]
     assert sorted(once.select("_row_id", *rounded).collect()) == sorted(again.select("_row_id", *rounded).collect())
+
+
+def test_predictors_can_be_named_and_a_choice_is_told(spark):
+    import numpy as np
+
+    from rinseframe import apply_recipe
+
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(60, 12))
+    rows = [(i, None if i % 7 == 0 else float(x[i, :11].sum()), *map(float, x[i])) for i in range(60)]
+    df = spark.createDataFrame(rows, "_row_id bigint, t double, " + ", ".join(f"c{i} double" for i in range(12)))
+    for how in ("knn", "iterative"):
+        step = {"action": "fill_null", "column": "t", "value": how}
+        out, messages = apply_recipe(df, [step])
+        assert len(messages) == 1 and "10 best of 12" in messages[0]
+        assert out.filter("t IS NULL").count() == 0
+        out, messages = apply_recipe(df, [step | {"predictors": [f"c{i}" for i in range(11)]}])
+        assert messages == [] and out.filter("t IS NULL").count() == 0
+        if how == "iterative":
+            filled = {r["_row_id"]: r["t"] for r in out.collect()}
+            assert all(abs(filled[i] - x[i, :11].sum()) < 1e-6 for i in range(0, 60, 7))
+        _, messages = apply_recipe(df, [step | {"predictors": ["nowhere"]}])
+        assert "nowhere" in messages[0]
