@@ -1,75 +1,128 @@
-"""Merging near-equal spellings of a text column."""
+"""Merging near-equal spellings of a text column.
+
+Values are taken in the order of their first appearance (by row id; alphabetically on a table without one). A value
+that no earlier leader has merged leads all values that score above the threshold; a later leader takes over what
+an earlier one holds. Any number of distinct values: they stay on the cluster, and the undecided ones become leaders
+in blocks of bounded size, each compared with all values in one pass.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from rinseframe.frames import col, quoted
-from rinseframe.functions.similarity import comparable, weighted_ratio
+from rinseframe.frames import col
+from rinseframe.functions.similarity import (
+    LONG_FROM, LONG_WEIGHT, PARTIAL_FROM, PARTIAL_WEIGHT, TOKEN_WEIGHT, comparable, weighted_ratio,
+)
 from rinseframe.model import ROW_ID, NormalizeText
 from rinseframe.plans.effects import Effect
+from rinseframe.plans.runtime import written
+
+# Undecided values that a round takes, and values that a task compares with its leaders at once.
+LEADERS = 1000
+AT_ONCE = 4000
+
+
+class Spellings:
+    """A block of texts, prepared so that most that cannot match a given one are told by counting characters."""
+
+    def __init__(self, texts: list[str], threshold: int):
+        self.threshold = threshold
+        self.least = threshold + 0.5 - 1e-9  # scores are rounded before they are compared
+        self.cleaned = [comparable(t) for t in texts]
+        letters = sorted(set("".join(self.cleaned)))
+        self.place = {c: i for i, c in enumerate(letters)}
+        self.counts = np.zeros((len(texts), len(letters)), dtype=np.uint16)
+        self.holders: dict[str, list[int]] = {}
+        for i, text in enumerate(self.cleaned):
+            for c in text:
+                self.counts[i, self.place[c]] += 1
+            for token in set(text.split()):
+                self.holders.setdefault(token, []).append(i)
+        self.length = np.array([len(t) for t in self.cleaned], dtype=float)
+        self.once = np.array([len(" ".join(set(t.split()))) for t in self.cleaned], dtype=float)
+
+    def matches(self, text: str) -> list[int]:
+        """Places of the texts whose weighted ratio with ``text`` rounds to more than the threshold."""
+        text = comparable(text)
+        if not text or not len(self.length):
+            return []
+        own = np.zeros(len(self.place), dtype=np.uint16)
+        for c in text:
+            if c in self.place:
+                own[self.place[c]] += 1
+        # No common subsequence, of any order or part of the words, is longer than the common characters.
+        common = np.minimum(self.counts, own).sum(axis=1, dtype=float)
+        n, once = float(len(text)), float(len(" ".join(set(text.split()))))
+        longer = np.maximum(self.length, n) / np.maximum(np.minimum(self.length, n), 1)
+        weight = np.where(longer <= LONG_FROM, PARTIAL_WEIGHT, LONG_WEIGHT)
+        whole = 200 * common / (self.length + n)
+        tokens = TOKEN_WEIGHT * 200 * common / np.maximum(self.once + once, 1)
+        part = weight * 200 * common / np.maximum(np.minimum(self.once, once) + common, 1)
+        close = longer < PARTIAL_FROM
+        likely = (whole >= self.least) | (np.where(close, tokens, part) >= self.least)
+        shares = np.zeros(len(likely), dtype=bool)
+        for token in set(text.split()):
+            shares[self.holders.get(token, [])] = True
+        likely |= shares & (close | (100 * weight >= self.least))
+        # A shared word makes the partial token ratio 100.
+        sure = shares & ~close & (100 * TOKEN_WEIGHT * weight >= self.least)
+        likely &= ~sure & (self.length > 0)
+        exact = [i for i in np.flatnonzero(likely) if round(weighted_ratio(text, self.cleaned[i])) > self.threshold]
+        return sorted([*np.flatnonzero(sure & (self.length > 0)).tolist(), *map(int, exact)])
+
+
+def leaders_of(block: list[str], threshold: int) -> list[str]:
+    """Those of a block, in order, that no earlier leader of the block merges."""
+    spellings, merged, leaders = Spellings(block, threshold), np.zeros(len(block), dtype=bool), []
+    for i, value in enumerate(block):
+        if not merged[i]:
+            leaders.append(value)
+            merged[i] = True
+            merged[spellings.matches(value)] = True
+    return leaders
+
+
+def _led(batches: Iterator[pa.RecordBatch], leaders: list[str], threshold: int) -> Iterator[pa.RecordBatch]:
+    """``lead`` of each value: the last of the leaders that merges it, else the one it had."""
+    ranks = {value: i for i, value in enumerate(leaders)}
+    for whole in batches:
+        for start in range(0, whole.num_rows, AT_ONCE):
+            batch = whole.slice(start, AT_ONCE)
+            values, leads = batch.column("v").to_pylist(), batch.column("lead").to_pylist()
+            spellings = Spellings(values, threshold)
+            for leader in leaders:
+                for i in spellings.matches(leader):
+                    leads[i] = leader
+            leads = [v if v in ranks else lead for v, lead in zip(values, leads)]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("v"), batch.column("at"), pa.array(leads, pa.string())], names=["v", "at", "lead"]
+            )
 
 
-def distinct_in_order(df: DataFrame, name: str, at_most: int) -> list[str] | None:
-    """Distinct values by first appearance; None when there are more than ``at_most``.
-
-    The driver never receives more than at_most + 1 values.
-    """
+def merge_table(df: DataFrame, name: str, threshold: int) -> DataFrame:
+    """(v, lead) for every value that another one replaces."""
     seen = df.filter(col(name).isNotNull()).groupBy(col(name).alias("v"))
-    first = seen.agg(F.min(ROW_ID).alias("at")) if ROW_ID in df.columns else seen.agg(F.first("v").alias("at"))
-    head = first.limit(at_most + 1).collect()
-    if len(head) > at_most:
-        return None
-    return [r["v"] for r in sorted(head, key=lambda r: (r["at"], r["v"]))]
-
-
-def close_matches(df: DataFrame, names: list[str], threshold: int, limit: int) -> dict[str, list[str]]:
-    """Leader -> its best ``limit`` matches that score above ``threshold``.
-
-    ``names`` is the checked list of at most ``max_values`` texts. Leaders are spread over
-    the cluster; each task scores its leaders against the list.
-    """
-    cleaned = [comparable(v) for v in names]
-
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for i in batch["i"]:
-                scored = [(weighted_ratio(cleaned[i], other), j) for j, other in enumerate(cleaned)]
-                scored.sort(key=lambda pair: (-pair[0], pair[1]))
-                out += [(i, k, j) for k, (s, j) in enumerate(scored[:limit]) if round(s) > threshold]
-            yield pd.DataFrame(out, columns=["leader", "place", "match"])
-
-    tasks = max(1, min(len(names), 4 * df.sparkSession.sparkContext.defaultParallelism))
-    leaders = df.sparkSession.range(0, len(names), 1, tasks).withColumnRenamed("id", "i")
-    edges = leaders.mapInPandas(score, "leader bigint, place bigint, match bigint").collect()
-    found: dict[str, list[str]] = {}
-    for row in sorted(edges, key=lambda r: (r["leader"], r["place"])):
-        found.setdefault(names[row["leader"]], []).append(names[row["match"]])
-    return found
-
-
-def merge_map(names: list[str], matches: dict[str, list[str]]) -> dict[str, str]:
-    """Value -> canonical value. In order of appearance, each value not yet merged leads its matches.
-
-    A later leader may take over a value that an earlier one already holds.
-    """
-    into: dict[str, str] = {}
-    for leader in names:
-        if leader not in into:
-            into.update({match: leader for match in matches.get(leader, [])})
-    return {v: c for v, c in into.items() if v != c}
-
-
-def _translated(df: DataFrame, tables: dict[str, dict[str, str]]) -> DataFrame:
-    """Replace values through broadcast lookups; each holds fewer than ``max_values`` pairs."""
+    at = F.min(col(ROW_ID).cast("bigint")) if ROW_ID in df.columns else F.lit(None).cast("bigint")
+    values = written(seen.agg(at.alias("at")).withColumn("lead", F.lit(None).cast("string")), "spellings")
+    while block := values.filter("lead IS NULL").orderBy("at", "v").limit(LEADERS).select("v").collect():
+        leaders = leaders_of([r["v"] for r in block], threshold)
+        task = partial(_led, leaders=leaders, threshold=threshold)
+        values = written(values.mapInArrow(task, values.schema), "spellings")
+    return values.filter("lead <> v").select("v", "lead")
+
+
+def _translated(df: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
+    """Values replaced by a join with their table; Spark sends the table to all tasks if it is small."""
     out = df
     for i, (name, into) in enumerate(tables.items()):
-        lookup = df.sparkSession.createDataFrame(list(into.items()), f"_rf_from{i} string, _rf_to{i} string")
-        out = out.join(F.broadcast(lookup), out[quoted(name)] == lookup[f"_rf_from{i}"], "left")
+        lookup = into.select(F.col("v").alias(f"_rf_from{i}"), F.col("lead").alias(f"_rf_to{i}"))
+        out = out.join(lookup, col(name) == F.col(f"_rf_from{i}"), "left")
     numbers = {name: i for i, name in enumerate(tables)}
     return out.select(
         *[
@@ -80,17 +133,5 @@ def _translated(df: DataFrame, tables: dict[str, dict[str, str]]) -> DataFrame:
 
 
 def fuzzy_effect(df: DataFrame, names: list[str], step: NormalizeText) -> Effect:
-    tables, notes = {}, []
-    for c in names:
-        distinct = distinct_in_order(df, c, step.max_values)
-        if distinct is None:
-            notes.append(
-                f"Warning: fuzzy merging of '{c}' was skipped, it has too many unique values (over {step.max_values})."
-            )
-            continue
-        into = merge_map(distinct, close_matches(df, distinct, step.threshold, step.limit))
-        if into:
-            tables[c] = into
-    if not tables:
-        return Effect(messages=tuple(notes), whole_table=True)
-    return Effect(project=lambda f: _translated(f, tables), messages=tuple(notes), whole_table=True)
+    tables = {c: merge_table(df, c, step.threshold) for c in names}
+    return Effect(project=lambda f: _translated(f, tables), whole_table=True)
