@@ -1,12 +1,13 @@
-"""All registered queries against their SQL on the smallest tables."""
+"""All queries of the suite against their SQL on the smallest tables."""
 
 import pytest
 
 import __spark_entry__ as entry
+import suite
 from tests.oracle import compare, connect
 
 FOLDER = "/root/testdata/sf0.001"
-SQL = entry.oracle_sql()
+SQL = suite.ORACLES
 
 
 @pytest.fixture(scope="module")
@@ -14,9 +15,9 @@ def con():
     return connect(FOLDER)
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(suite.QUERIES))
 def test_query(spark, con, name):
-    assert compare(spark, con, FOLDER, name, entry.queries()[name], SQL.get(name)) == []
+    assert compare(spark, con, FOLDER, name, suite.QUERIES[name], SQL.get(name)) == []
 
 
 def test_entry(spark):
@@ -24,6 +25,6 @@ def test_entry(spark):
 
 
 def test_the_comparison_notices_differences(spark, con):
-    fn = entry.queries()["health"]
+    fn = suite.QUERIES["health"]
     assert compare(spark, con, FOLDER, "health", fn, "SELECT 1::bigint AS health")
     assert compare(spark, con, FOLDER, "health", fn, "SELECT 81::bigint AS other")
