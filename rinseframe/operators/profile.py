@@ -163,15 +163,15 @@ def numeric_diagnostics(df: DataFrame, columns: list[str] | None = None, approx:
     return df.sparkSession.createDataFrame(rows, "column string, type string, nulls bigint, unique bigint, skew double")
 
 
-def five_number(df: DataFrame, columns: list[str] | None = None, approx: bool = False) -> DataFrame:
-    """(column, min, q1, median, q3, max, mean) of numeric columns."""
+def five_number(df: DataFrame, columns: list[str] | None = None, approx: bool = False, **plan: int) -> DataFrame:
+    """(column, min, q1, median, q3, max, mean) of numeric columns. ``plan``: see ``quantiles``."""
     names = columns or numeric_columns(df)
     facts: dict[str, Column] = {}
     for i, c in enumerate(names):
         x = col(c).cast("double")
         facts |= {f"n{i}": F.count(x), f"a{i}": F.avg(x), f"lo{i}": F.min(x), f"hi{i}": F.max(x)}
     seen = run_aggregates(df, facts)
-    inner = quantiles(df, names, [0.25, 0.5, 0.75], {c: seen[f"n{i}"] for i, c in enumerate(names)}, approx)
+    inner = quantiles(df, names, [0.25, 0.5, 0.75], {c: seen[f"n{i}"] for i, c in enumerate(names)}, approx, **plan)
     rows = [(c, seen[f"lo{i}"], *inner[c], seen[f"hi{i}"], seen[f"a{i}"]) for i, c in enumerate(names)]
     return df.sparkSession.createDataFrame(
         rows, "column string, min double, q1 double, median double, q3 double, max double, mean double"

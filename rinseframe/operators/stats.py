@@ -156,11 +156,13 @@ def _finish(df: DataFrame, searches: list[_Search]) -> None:
                 batch[row["i"]][1][w["k"]].value = row["x"]
 
 
-def order_statistics(df: DataFrame, ranks: dict[str, list[int]], counts: dict[str, int]) -> dict[str, dict[int, float]]:
+def order_statistics(
+    df: DataFrame, ranks: dict[str, list[int]], counts: dict[str, int], bracket: int | None = None
+) -> dict[str, dict[int, float]]:
     """Exact values at 0-based ranks among the non-null values of each numeric column."""
     searches = [_Search(c, r, inside=counts[c]) for c, rs in ranks.items() for r in sorted(set(rs))]
     while True:
-        wide = [s for s in searches if s.value is None and s.inside > BRACKET_ROWS]
+        wide = [s for s in searches if s.value is None and s.inside > (BRACKET_ROWS if bracket is None else bracket)]
         before = sum(s.inside for s in wide)
         if not wide:
             break
@@ -177,10 +179,14 @@ def order_statistics(df: DataFrame, ranks: dict[str, list[int]], counts: dict[st
 
 
 def quantiles(
-    df: DataFrame, columns: list[str], probs: list[float], counts: dict[str, int] | None = None, approx: bool = False
-) -> dict[str, list[float | None]]:
+    df: DataFrame, columns: list[str], probs: list[float], counts: dict[str, int] | None = None, approx: bool = False,
+    small: int | None = None, bracket: int | None = None,
+) -> dict[str, list[float | None]]:
     """Quantiles with linear interpolation, exact unless ``approx``.
 
+    ``small`` and ``bracket`` (PERCENTILE_ROWS and BRACKET_ROWS without them) choose the plan, not the result: columns of
+    up to ``small`` values take the built-in percentile, others are narrowed until ``bracket`` rows are left.
+
     ``counts`` are non-null counts per column, when the caller already has them.
     """
     if not columns:
@@ -190,7 +196,7 @@ def quantiles(
     if approx:
         found = run_aggregates(df, {f"q{i}": _sketched(_number(c), probs) for i, c in enumerate(columns) if counts[c]})
         return {c: found.get(f"q{i}") or [None] * len(probs) for i, c in enumerate(columns)}
-    if max(counts[c] for c in columns) <= PERCENTILE_ROWS:
+    if max(counts[c] for c in columns) <= (PERCENTILE_ROWS if small is None else small):
         found = run_aggregates(df, {c: F.percentile(_number(c), probs) for c in columns})
         return {c: found[c] or [None] * len(probs) for c in columns}
     # Counts that callers bring include NaN, which has no rank here.
@@ -201,7 +207,7 @@ def quantiles(
         if counts[c]:
             at = [p * (counts[c] - 1) for p in probs]
             ranks[c] = [math.floor(h) for h in at] + [math.ceil(h) for h in at]
-    values = order_statistics(df, ranks, counts)
+    values = order_statistics(df, ranks, counts, bracket)
     out: dict[str, list[float | None]] = {}
     for c in columns:
         if c not in ranks:

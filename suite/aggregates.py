@@ -138,16 +138,19 @@ def _quartiles(c: str) -> str:
     )
 
 
-@query(
-    "five_number",
-    _each(
-        _MEASURES,
-        lambda c: f"SELECT '{c}' AS name, min({c})::double AS low, {_quartiles(c)}, max({c})::double AS high, "
-        f"round(avg({c})::double, 4) AS mean FROM lineitem",
-    ),
+_LINEITEM = [
+    "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax",
+]
+
+
+_FIVE = _each(
+    _LINEITEM,
+    lambda c: f"SELECT '{c}' AS name, min({c})::double AS low, {_quartiles(c)}, max({c})::double AS high, "
+    f"round(avg({c})::double, 4) AS mean FROM lineitem",
 )
-def five_number(spark, folder):
-    found = P.five_number(table(spark, folder, "lineitem"), _MEASURES)
+
+
+def _five(found):
     inner = [F.round(c, 6).alias(c) for c in ("q1", "median", "q3")]
     return found.select(
         F.col("column").alias("name"), F.col("min").alias("low"), *inner, F.col("max").alias("high"),
@@ -155,6 +158,17 @@ def five_number(spark, folder):
     )
 
 
+@query("five_number", _FIVE)
+def five_number(spark, folder):
+    return _five(P.five_number(table(spark, folder, "lineitem")))
+
+
+@query("five_number_narrowed", _FIVE)
+def five_number_narrowed(spark, folder):
+    """The same by the plan for large tables."""
+    return _five(P.five_number(table(spark, folder, "lineitem"), small=0, bracket=500))
+
+
 _BOX = ["value", "value2"]
 
 
@@ -241,6 +255,12 @@ def correlation(spark, folder):
     return found.withColumn("r", F.round("r", 6))
 
 
+@query("correlation_lineitem", f"WITH d AS (SELECT * FROM lineitem) {_matrix(_LINEITEM)}")
+def correlation_lineitem(spark, folder):
+    """All numeric columns of a table."""
+    return I.correlation(table(spark, folder, "lineitem")).withColumn("r", F.round("r", 6))
+
+
 @query(
     "correlation_range",
     EVENTS_SQL
