@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rinseframe.llm.common import map_texts
+from rinseframe.llm.common import map_texts, stored
 
 #: Consecutive words that count as leaked.
 WINDOW = 10
@@ -185,7 +185,6 @@ def decontaminate(
     id count as one. An empty benchmark leaves every document as it is.
     """
     keep = [c for c in docs.columns if c != text] if keep is None else keep
-    found = {"n_words": "long", "items": "strings", "starts": "longs", "ends": "longs"}
     blocks = list(item_blocks(benchmark, item, item_text, block_words)) if benchmark is not None else []
     if len(blocks) <= 1:
         items = blocks[0] if blocks else []
@@ -212,44 +211,30 @@ def decontaminate(
         spec = {"n_words": "long", "n_hit": "long", "items": "strings", "clean_text": "string", "rejected": "boolean"}
         return map_texts(docs, make, spec, keep, text)
 
-    # A long benchmark: the documents pass one automaton after another and carry what was found.
-    carried = docs.select(*keep, F.col(text).alias("__body"), *(F.array().cast(t).alias(f"__{n}") for n, t in
-                                                               (("items", "array<string>"), ("starts", "array<bigint>"), ("ends", "array<bigint>"))))
+    # A long benchmark: the documents pass one automaton after another and carry what was found. Each pass is written,
+    # so that no task holds two automata.
+    lists = {"__items": "array<string>", "__starts": "array<bigint>", "__ends": "array<bigint>"}
+    columns = [*keep, "__body", *lists]
+    carried = docs.select(*keep, F.col(text).alias("__body"), *(F.array().cast(kind).alias(name) for name, kind in lists.items()))
 
-    def pass_block(df: DataFrame, items: list[tuple[str, list[bytes]]]) -> DataFrame:
+    def passed(df: DataFrame, items: list[tuple[str, list[bytes]]]) -> DataFrame:
         def make():
             automaton = Automaton(items, window)
 
             def work(texts):
-                out = {name: [] for name in found}
-                for value in texts:
-                    ws = words(value)
-                    spans, keys = automaton.find(ws)
-                    spans = merged(spans)
-                    out["n_words"].append(len(ws))
-                    out["items"].append(sorted(keys))
-                    out["starts"].append([a for a, _ in spans])
-                    out["ends"].append([b for _, b in spans])
-                return out
+                found = [automaton.find(words(value)) for value in texts]
+                spans = [merged(ranges) for ranges, _ in found]
+                return {"__i": [sorted(keys) for _, keys in found], "__s": [[a for a, _ in x] for x in spans], "__e": [[b for _, b in x] for x in spans]}
 
             return work
 
-        names = [*keep, "__body", "__items", "__starts", "__ends"]
-        spec = {"__n_words": "long", "__i": "strings", "__s": "longs", "__e": "longs"}
-        rename = dict(zip(found, spec, strict=True))
-        plain = make
-
-        def renamed():
-            inner = plain()
-            return lambda texts: {rename[k]: v for k, v in inner(texts).items()}
-
-        seen = map_texts(df.select(*names), renamed, spec, names, "__body")
-        return seen.select(
+        seen = map_texts(df, make, {"__i": "strings", "__s": "longs", "__e": "longs"}, columns, "__body")
+        return stored(seen.select(
             *keep, "__body", F.array_union("__items", "__i").alias("__items"),
             F.concat("__starts", "__s").alias("__starts"), F.concat("__ends", "__e").alias("__ends"),
-        )
+        ), "passed")
 
-    carried = reduce(pass_block, blocks, carried)
+    carried = reduce(passed, blocks, carried)
 
     def finish(batches):
         import pyarrow as pa
