@@ -111,9 +111,6 @@ def describe_times(spark, folder):
     return found.select(F.col("count").alias("n"), *[F.round(c, 2).alias(n) for c, n in names.items()])
 
 
-_MEASURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linenumber"]
-
-
 def _each(columns, line):
     return " UNION ALL ".join(line(c) for c in columns)
 
