@@ -28,9 +28,11 @@ def distinct(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
 
 def unseen(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Passages of the benchmark are cut out of the text; a document that is mostly such passages goes."""
-    found = decontaminate.decontaminate(docs, read(spark, folder, "benchmark"))
-    columns = [F.col("clean_text").alias("text") if name == "text" else F.col(name) for name in docs.columns]
-    return found.where("NOT rejected").select(*columns)
+    held = {name: f"__column{i}" for i, name in enumerate(docs.columns)}  # so that no name meets one of the operator's
+    source = docs.select(*(F.col(f"`{name}`").alias(place) for name, place in held.items()))
+    found = decontaminate.decontaminate(source, read(spark, folder, "benchmark"), text=held["text"])
+    kept = found.where("NOT rejected")
+    return kept.select(*(F.col("clean_text" if name == "text" else place).alias(name) for name, place in held.items()))
 
 
 def private(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
