@@ -15,7 +15,9 @@ def test_stages_keep_the_columns(spark):
         assert out.columns == docs.columns, name
         assert stage(spark, docs.limit(0), FOLDER).count() == 0
         docs = out
-    assert {r.doc_id for r in docs.collect()} >= {1, 2, 3, 5, 6, None}
+    rows = docs.collect()
+    assert {r.doc_id for r in rows} >= {1, 2, 3, 5, 6, None}
+    assert {(r.n_words, r["items"], r.starts, r.kept, r.component_id) for r in rows} == {("x", 1, "y", "k", 0)}
     assert corpus_pipeline.STAGES[-1][1](spark, docs, FOLDER).columns == ["doc_id", "n_tokens", "token_ids", "decoded"]
 
 
