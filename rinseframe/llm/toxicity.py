@@ -104,19 +104,20 @@ def fit(
 ) -> Machine:
     """A model of ``label`` (0 or 1) from at most ``most_labelled`` labelled ids, drawn by a hash of the id.
 
-    Labels of other values or without an id, and ids without a document, are left out. Without labels, or with one
+    Labels of other values or without an id, and ids without a document, are left out; of rows with one id one counts. Without labels, or with one
     value only, the model knows nothing but a smoothed share. Terms: those of the highest chi-square, at most
     ``most_terms``, and none that chance explains.
     """
     labelled = labels.select(F.col(doc_id).alias("__id"), F.col(label).cast("int").alias("__label")).where("__id IS NOT NULL AND __label IN (0, 1)")
     drawn = labelled.groupBy("__id").agg(F.max("__label").alias("__label")).orderBy(F.xxhash64("__id"), "__id").limit(most_labelled)
-    # At most most_labelled rows: small enough to send to every executor.
-    own = docs.select(F.col(doc_id).alias("__id"), F.col(text).alias("__text")).join(F.broadcast(drawn), "__id").limit(2 * most_labelled)
+    # At most most_labelled rows: small enough to send to every executor. Their texts become terms where they are read.
+    own = docs.select(F.col(doc_id).alias("__id"), F.col(text).alias("__text")).join(F.broadcast(drawn), "__id")
 
     def make():
         return lambda texts: {"buckets": [terms(value).astype(np.int32) for value in texts]}
 
-    rows = stored(map_texts(own, make, {"buckets": "ints"}, ["__label"], "__text"), "labelled")
+    found = map_texts(own, make, {"buckets": "ints"}, ["__id", "__label"], "__text")
+    rows = stored(found.groupBy("__id").agg(F.first("__label").alias("__label"), F.first("buckets").alias("buckets")), "labelled")
     total, positive = rows.agg(F.count("*"), F.coalesce(F.sum("__label"), F.lit(0))).first()
     counts = rows.select("__label", F.explode("buckets").alias("b")).groupBy("b").agg(F.count("*").cast("double").alias("n"), F.sum("__label").cast("double").alias("p"))
     # Chi-square of the two-by-two table of term and label.
@@ -126,8 +127,9 @@ def fit(
     best = ranked.where(F.col("chi") >= LEAST_CHI).orderBy(F.desc("chi"), "b").limit(most_terms).select("b").collect()
     chosen = np.array(sorted(r.b for r in best), dtype=np.int64)
     model, documents, values = Machine(chosen, 0.0, np.zeros(0), np.zeros(0)), [], []
-    for r in rows.select("__label", "buckets").toLocalIterator():
-        documents.append(model.rows(np.array(r.buckets, dtype=np.int64)))
+    used = F.array_intersect("buckets", F.lit(chosen.tolist()).cast("array<int>")) if len(chosen) else F.array().cast("array<int>")
+    for r in rows.select("__id", "__label", used.alias("buckets")).orderBy("__id").toLocalIterator():
+        documents.append(np.sort(model.rows(np.array(r.buckets, dtype=np.int64))))
         values.append(r["__label"])
     return train(documents, np.array(values, dtype=float), chosen)
 
