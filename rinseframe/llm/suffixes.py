@@ -25,6 +25,8 @@ from rinseframe.llm.common import map_texts, stored
 LENGTH, GRAM = 400, 40
 #: Contexts of one anchor that are sorted in one job, and contexts sorted at once.
 MOST_CONTEXTS, AT_ONCE = 256, 1500
+#: Windows of a context that are counted together where it has more.
+BLOCK = 16
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
@@ -267,24 +269,52 @@ def _by_sorting(contexts: DataFrame, length: int) -> DataFrame:
 
 
 def _by_counting(contexts: DataFrame, length: int) -> DataFrame:
-    """Ranges from 128-bit digests of the single windows, summed before they move."""
-    spec = {"digest": "binary", "at": "int"}
+    """Ranges from 128-bit digests, for anchors with very many contexts; all counts are summed before they move.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    The windows of a context are taken in blocks of BLOCK places of the anchor. What all windows of a block share, its
+    core, must occur twice for any of them to repeat; where all that a block covers occurs twice, all of them do. Only
+    blocks that neither settles, at the edges of passages, are taken apart, one of each content.
+    """
+    names = ["k1", "k2", "h", "n", "lo", "windows", "place", "context"]
+
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            out = []
             for k1, k2, h, n, lo, windows, place, body in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
-                digests = [xxhash.xxh3_128_digest(body[w : w + length]) for w in range(windows)]
-                same = [[v] * windows for v in (k1, k2, h, n)]
-                yield pa.RecordBatch.from_arrays(
-                    [*(pa.array(v, pa.int64()) for v in same), pa.array([place - w for w in range(windows)], pa.int32()), pa.array(digests, pa.binary()), pa.array([lo + w for w in range(windows)], pa.int32())],
-                    names=["k1", "k2", "h", "n", "offset", "digest", "at"],
-                )
-
-    names = ["k1", "k2", "h", "n", "lo", "windows", "place", "context"]
-    windows = contexts.select(*names).mapInArrow(run, "k1 long, k2 long, h long, n long, offset int, digest binary, at int")
-    windows = stored(windows, "windows")
-    twice = stored(windows.groupBy("h", "offset", "digest").agg(F.count("*").alias("times")).where("times > 1").drop("times"), "twice")
-    return windows.where("n = 1").join(twice, ["h", "offset", "digest"]).select("k1", "k2", F.col("at").alias("start"), (F.col("at") + length).alias("end"))
+                for j in range((place - windows + 1) // BLOCK, place // BLOCK + 1):
+                    first, last = max(place - (j + 1) * BLOCK + 1, 0), min(place - j * BLOCK, windows - 1)
+                    core = body[place - j * BLOCK : place - j * BLOCK + length - BLOCK + 1]
+                    covered = body[first : last + length]
+                    # The offsets are part of the content, so that only equal runs of windows count as equal.
+                    whole = xxhash.xxh3_128_digest(b"%d,%d," % (place - first, place - last) + covered)
+                    out.append((k1, k2, h, n, lo + first, place - first, last - first + 1, j, xxhash.xxh3_128_digest(core), whole, covered))
+            columns = list(zip(*out, strict=True)) if out else [()] * 11
+            kinds = [pa.int64()] * 4 + [pa.int32()] * 4 + [pa.binary()] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["k1", "k2", "h", "n", "at", "offset", "count", "j", "core", "whole", "covered"])
+
+    schema = "k1 long, k2 long, h long, n long, at int, offset int, count int, j int, core binary, whole binary, covered binary"
+    rows = stored(contexts.select(*names).mapInArrow(blocks, schema), "blocks")
+    key = ["h", "j", "core", "whole"]
+    one = F.min(F.struct("k1", "k2", "n", "at", "offset", "count", "covered")).alias("one")
+    kinds = stored(rows.groupBy(*key).agg(F.count("*").alias("times"), one), "kinds")
+    settled = rows.where("n = 1").join(stored(kinds.where("times > 1").select(*key), "settled"), key)
+    settled = settled.select("k1", "k2", F.col("at").alias("start"), (F.col("at") + F.col("count") - 1 + length).alias("end"))
+    mixed = kinds.groupBy("h", "j", "core").agg(F.count("*").alias("kinds"), F.min("times").alias("least")).where("kinds > 1 AND least = 1")
+    apart = kinds.join(stored(mixed.select("h", "j", "core"), "mixed"), ["h", "j", "core"]).select("h", (F.col("times") == 1).alias("asked"), "one.*")
+
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for h, asked, k1, k2, n, at, offset, count, covered in zip(*(batch.column(c).to_pylist() for c in ("h", "asked", "k1", "k2", "n", "at", "offset", "count", "covered")), strict=True):
+                out += [(k1, k2, h, asked and n == 1, offset - w, xxhash.xxh3_128_digest(covered[w : w + length]), at + w) for w in range(count)]
+            columns = list(zip(*out, strict=True)) if out else [()] * 7
+            kinds = [pa.int64()] * 3 + [pa.bool_(), pa.int32(), pa.binary(), pa.int32()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["k1", "k2", "h", "asked", "offset", "digest", "at"])
+
+    single = stored(apart.mapInArrow(windows, "k1 long, k2 long, h long, asked boolean, offset int, digest binary, at int"), "windows")
+    twice = stored(single.groupBy("h", "offset", "digest").agg(F.count("*").alias("times")).where("times > 1").drop("times"), "twice")
+    found = single.where("asked").join(twice, ["h", "offset", "digest"]).select("k1", "k2", F.col("at").alias("start"), (F.col("at") + length).alias("end"))
+    return settled.unionByName(found)
 
 
 def merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
