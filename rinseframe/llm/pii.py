@@ -19,19 +19,31 @@ ROUNDS = 8
 
 # The forms in which the kinds are written.
 _EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+"
-_ISO, _DAY_FIRST = r"[0-9]{4}-[0-9]{2}-[0-9]{2}", r"[0-9]{2}[./][0-9]{2}[./][0-9]{4}"
+_YEAR_FIRST, _YEAR_LAST = r"[0-9]{4}[-/][0-9]{1,2}[-/][0-9]{1,2}", r"[0-9]{1,2}[./-][0-9]{1,2}[./-][0-9]{4}"
 _IP = r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}"
 _SSN = r"[0-9]{3}-[0-9]{2}-[0-9]{4}"
-_CARD = r"[0-9](?:[ -]?[0-9]){12,18}"
-_NANP = r"(?:\+1[ .-]?)?(?:\([2-9][0-9]{2}\) ?|[2-9][0-9]{2}[ .-])[2-9][0-9]{2}[ .-][0-9]{4}"
-_NANP_PLAIN = r"\+1[2-9][0-9]{2}[2-9][0-9]{6}"
-_ABROAD = r"\+[2-9][0-9](?:[ .-]?\(?[0-9]\)?){6,12}"
-_CANDIDATE = (
-    f"{_EMAIL}|(?<![0-9.])(?:{_IP})(?![0-9]|\\.[0-9])|(?<![0-9./-])(?:{_ISO}|{_DAY_FIRST})(?![0-9]|[./-][0-9])"
-    f"|(?<![0-9-])(?:{_SSN})(?![0-9]|-[0-9])|(?<![0-9])(?:{_NANP}|{_NANP_PLAIN}|{_ABROAD})(?![0-9])|(?<![0-9])(?:{_CARD})(?![0-9])"
+#: Cards as they are mostly written, and as longer and shorter ones are.
+_USUAL = r"[0-9]{4}[ -](?:[0-9]{4}[ -][0-9]{4}[ -][0-9]{4}|[0-9]{6}[ -][0-9]{4,5})"
+_CARD_FORMS = (
+    r"^(?:[0-9]{13,19}|[0-9]{4}([ -])(?:[0-9]{4}\1[0-9]{4}\1[0-9]{4}|[0-9]{6}\1[0-9]{4,5}))$",
+    r"^[0-9]{4}([ -])(?:[0-9]{4}\1){2}(?:[0-9]{4}\1)?[0-9]{1,3}$",
+    r"^[0-9]+(?:(?:-[0-9]+)*|(?: [0-9]+)*)$",
 )
-#: Dates from 1800 to 2199 make one cycle of the calendar: 146,097 = 27 * 5411 days.
-_FIRST_DAY, _LAST_DAY, _DATE_LEFT, _DATE_RIGHT = "1800-01-01", "2199-12-31", 27, 5411
+_NANP = r"(?:\+1[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}"
+_NANP_PLAIN = r"\+1[0-9]{10}"
+_ABROAD = rf"\+[2-9][0-9](?:(?:[ .-](?!{_USUAL}(?![0-9])))?\(?[0-9]\)?){{6,12}}"
+_FORMED = (
+    f"{_EMAIL}|(?<![0-9.])(?:{_IP})(?![0-9]|\\.[0-9])|(?<![0-9./-])(?:{_YEAR_FIRST}|{_YEAR_LAST})(?![0-9]|[./-][0-9])"
+    f"|(?<![0-9-])(?:{_SSN})(?![0-9]|-[0-9])|(?<![0-9])(?:{_NANP}|{_NANP_PLAIN}|{_ABROAD})(?![0-9])"
+)
+#: Groups of digits with single blanks or hyphens between them, up to where another kind begins.
+_RUN = f"(?<![0-9])(?=[0-9](?:[ -]?[0-9]){{12}})[0-9]++(?:[ -](?!{_FORMED})[0-9]++)*+"
+_CANDIDATE = f"{_FORMED}|{_RUN}"
+LEAST_CARD, MOST_CARD = 13, 19
+#: Dates from 1800 to 2199 make one cycle of the calendar of 4,800 months. Days up to the 12th (240 * 240 of them) and
+#: later ones (9 * 9,833) are permuted among themselves, so that what can only be read as month first stays so.
+_FIRST_YEAR, _FIRST_DAY, _LAST_DAY, _MONTHS, _EARLY = 1800, "1800-01-01", "2199-12-31", 4800, 12
+_EARLY_SIDE, _LATE_LEFT, _LATE_RIGHT = 240, 9, 9833
 
 
 def _digest(key: str, kind: str | Column, turn: Column, value: Column) -> Column:
@@ -131,10 +143,61 @@ def _card(key: str, x: Column) -> Column:
     return _refill(x, _let(_digits(x), made))
 
 
+def _cards(key: str, x: Column) -> Column:
+    """struct(out, n): a run of groups with its cards replaced, and their number.
+
+    A card is a stretch of whole groups of 13 to 19 digits with a right check digit. Of those that begin with a group the
+    one of the most usual form counts, then the longest; it gives way to one of a more usual form that it overlaps.
+    """
+
+    def stretch(tokens: Column, i: Column, k: Column) -> Column:
+        written = F.regexp_replace(F.array_join(F.slice(tokens, i + 1, k), ""), "[ -]$", "")
+        form = F.lit(len(_CARD_FORMS))
+        for at, pattern in reversed([*enumerate(_CARD_FORMS)]):
+            form = F.when(written.rlike(pattern), at).otherwise(form)
+        return F.struct(form.alias("form"), (-k).alias("k"), written.alias("card"))
+
+    def valid(w: Column) -> Column:
+        return _let(_digits(w["card"]), lambda d: F.length(d).between(LEAST_CARD, MOST_CARD) & (luhn_sum(d) % 10 == 0))
+
+    def best(tokens: Column) -> Column:
+        def at(i: Column) -> Column:
+            lengths = F.sequence(F.lit(1), F.least(F.lit(MOST_CARD), F.size(tokens) - i))
+            return F.array_min(F.filter(F.transform(lengths, lambda k: stretch(tokens, i, k)), valid))
+
+        return F.transform(F.sequence(F.lit(0), F.size(tokens) - 1), at)
+
+    def made(tokens: Column) -> Column:
+        def replaced(found: Column) -> Column:
+            def put(acc: Column, i: Column) -> Column:
+                w = F.get(found, i)
+                inner = F.slice(found, i + 2, F.greatest(-w["k"] - 1, F.lit(0)))
+                takes = w.isNotNull() & ~F.coalesce(F.exists(inner, lambda o: o.isNotNull() & (o["form"] < w["form"])), F.lit(False))
+                token = F.get(tokens, i)
+                card = F.concat(_card(key, w["card"]), F.regexp_extract(F.get(tokens, i - w["k"] - 1), "[ -]$", 0))
+                return (
+                    F.when(i < acc["end"], acc)
+                    .when(takes, F.struct(F.concat(acc["out"], card).alias("out"), (acc["n"] + 1).alias("n"), (i - w["k"]).alias("end")))
+                    .otherwise(F.struct(F.concat(acc["out"], token).alias("out"), acc["n"].alias("n"), acc["end"].alias("end")))
+                )
+
+            start = F.struct(F.lit("").alias("out"), F.lit(0).alias("n"), F.lit(0).alias("end"))
+            return F.aggregate(F.sequence(F.lit(0), F.size(tokens) - 1), start, put)
+
+        return _let(best(tokens), replaced)
+
+    return _let(F.regexp_extract_all(x, F.lit("[0-9]+[ -]?"), F.lit(0)), made)
+
+
 def _nanp(key: str, x: Column) -> Column:
+    """Ten digits; whether area and exchange begin with 0 or 1 stays."""
+
     def made(d: Column) -> Column:
-        out = _permuted(key, "nanp", _number(d, 1, 3) - 200, _number(d, 4, 7) - 2_000_000, F.lit(800), F.lit(8_000_000))
-        return _let(out, lambda p: F.concat((p["l"] + 200).cast("string"), (p["r"] + 2_000_000).cast("string")))
+        area, rest = _number(d, 1, 3), _number(d, 4, 7)
+        a, b = F.when(area < 200, 0).otherwise(200), F.when(rest < 2_000_000, 0).otherwise(2_000_000)
+        kind = F.when((a > 0) & (b > 0), "nanp").otherwise(F.concat_ws(".", F.lit("nanp"), a.cast("string"), b.cast("string")))
+        out = _permuted(key, kind, area - a, rest - b, F.when(a > 0, 800).otherwise(200), F.when(b > 0, 8_000_000).otherwise(2_000_000))
+        return _let(out, lambda p: F.concat(_pad(p["l"] + a, 3), _pad(p["r"] + b, 7)))
 
     return _refill(x, _let(F.right(_digits(x), F.lit(10)), made))
 
@@ -165,21 +228,64 @@ def _ip(key: str, x: Column) -> Column:
     return _let(F.split(x, r"\."), made)
 
 
+def _read(year: Column, month: Column, day: Column) -> Column:
+    return F.concat_ws("-", year, _pad(month, 2), _pad(day, 2)).try_cast("date")
+
+
 def _as_date(x: Column) -> Column:
-    iso = F.when(x.rlike("^[0-9]{4}-"), x).otherwise(F.concat_ws("-", _part(x, 7, 4), _part(x, 4, 2), _part(x, 1, 2)))
-    return iso.try_cast("date")
+    """struct(date, month_first): year first, else day first, else month first where only that is a date."""
+
+    def made(p: Column) -> Column:
+        a, b, c = (F.get(p, F.lit(i)) for i in range(3))
+        day_first = F.when(F.length(a) == 4, _read(a, b, c)).otherwise(_read(c, b, a))
+        month_first = F.when(F.length(a) < 4, _read(c, a, b))
+        return F.struct(F.coalesce(day_first, month_first).alias("date"), day_first.isNull().alias("month_first"))
+
+    return _let(F.split(x, "[./-]"), made)
+
+
+def _month_start(month: Column) -> Column:
+    return F.make_date((F.floor(month / 12) + _FIRST_YEAR).cast("int"), (month % 12 + 1).cast("int"), F.lit(1))
+
+
+def _late_before(month: Column) -> Column:
+    """Days after the 12th in the months before."""
+    return F.datediff(_month_start(month), F.lit(_FIRST_DAY).cast("date")) - _EARLY * month
 
 
 def _date(key: str, x: Column) -> Column:
-    def made(day: Column) -> Column:
-        out = _permuted(key, "date", F.floor(day / _DATE_RIGHT), day % _DATE_RIGHT, F.lit(_DATE_LEFT), F.lit(_DATE_RIGHT))
-        return _let(out, lambda p: F.date_add(F.lit(_FIRST_DAY).cast("date"), (p["l"] * _DATE_RIGHT + p["r"]).cast("int")))
+    def early(month: Column, day: Column) -> Column:
+        at, side = month * _EARLY + day - 1, F.lit(_EARLY_SIDE)
+        out = _permuted(key, "date", F.floor(at / _EARLY_SIDE), at % _EARLY_SIDE, side, side)
+        return _let(_let(out, lambda p: p["l"] * _EARLY_SIDE + p["r"]), lambda k: F.date_add(_month_start(F.floor(k / _EARLY)), (k % _EARLY).cast("int")))
+
+    def late(month: Column, day: Column) -> Column:
+        at = _late_before(month) + day - 1 - _EARLY
+        out = _permuted(key, "date.late", F.floor(at / _LATE_RIGHT), at % _LATE_RIGHT, F.lit(_LATE_LEFT), F.lit(_LATE_RIGHT))
+
+        def day_of(k: Column) -> Column:
+            near = F.floor(k * _MONTHS / (_LATE_LEFT * _LATE_RIGHT)).cast("int")  # true to a month or two
+            months = F.sequence(F.greatest(near - 2, F.lit(0)), F.least(near + 2, F.lit(_MONTHS - 1)))
+            month = F.array_max(F.filter(months, lambda m: _late_before(m) <= k))
+            return _let(month, lambda m: F.date_add(_month_start(m), (k - _late_before(m) + _EARLY).cast("int")))
+
+        return _let(_let(out, lambda p: p["l"] * _LATE_RIGHT + p["r"]), day_of)
+
+    def made(old: Column) -> Column:
+        month, day = (F.year(old["date"]) - _FIRST_YEAR) * 12 + F.month(old["date"]) - 1, F.dayofmonth(old["date"])
+        new = F.when(day <= _EARLY, early(month, day)).otherwise(late(month, day))
+        return _let(new, lambda d: written(d, old["month_first"]))
 
-    def written(d: Column) -> Column:
-        day_first = F.concat(F.date_format(d, "dd"), _part(x, 3, 1), F.date_format(d, "MM"), _part(x, 6, 1), F.date_format(d, "yyyy"))
-        return F.when(x.rlike("^[0-9]{4}-"), F.date_format(d, "yyyy-MM-dd")).otherwise(day_first)
+    def written(d: Column, month_first: Column) -> Column:
+        short = x.rlike("(?<![0-9])[0-9](?![0-9])")
+        year, month, day = (F.date_format(d, form) for form in ("yyyy", "MM", "dd"))
+        month, day = (F.when(short, F.regexp_replace(v, "^0", "")).otherwise(v) for v in (month, day))
+        between = F.regexp_replace(x, "[0-9]", "")
+        one, two = _part(between, 1, 1), _part(between, 2, 1)
+        year_last = F.when(month_first, F.concat(month, one, day, two, year)).otherwise(F.concat(day, one, month, two, year))
+        return F.when(x.rlike("^[0-9]{4}"), F.concat(year, one, month, two, day)).otherwise(year_last)
 
-    return _let(_let(F.datediff(_as_date(x), F.lit(_FIRST_DAY).cast("date")), made), written)
+    return _let(_as_date(x), made)
 
 
 def _shifted(key: str, turn: int, half: Column, other: Column) -> Column:
@@ -217,29 +323,31 @@ def _email(key: str, x: Column) -> Column:
 
 
 def _kind(x: Column) -> Column:
-    """What a candidate is, null if it is not valid."""
-    d = _digits(x)
-    date = _as_date(x)
+    """What a candidate is, null if it is not valid; ``card`` is a run of digits that may hold cards."""
     octets = F.forall(F.split(x, r"\."), lambda o: o.cast("int") < 256)
+    dated = _as_date(x)["date"].between(F.lit(_FIRST_DAY).cast("date"), F.lit(_LAST_DAY).cast("date"))
     return (
         F.when(x.contains("@"), "email")
         .when(x.rlike(f"^(?:{_IP})$"), F.when(octets, "ip"))
-        .when(x.rlike(f"^(?:{_ISO}|{_DAY_FIRST})$"), F.when(date.between(F.lit(_FIRST_DAY).cast("date"), F.lit(_LAST_DAY).cast("date")), "date"))
+        .when(x.rlike(f"^(?:{_YEAR_FIRST}|{_YEAR_LAST})$"), F.when(dated, "date"))
         .when(x.rlike(f"^(?:{_SSN})$"), F.when(~x.rlike("^(?:000|666|9..)|-00-|-0000$"), "ssn"))
         .when(x.rlike(f"^(?:{_NANP}|{_NANP_PLAIN}|{_ABROAD})$"), "phone")
-        .when(luhn_sum(d) % 10 == 0, "card")
+        .otherwise("card")
     )
 
 
 def _pseudonym(key: str, x: Column) -> Column:
+    """struct(kind, value, n): what takes the place of a candidate, and for how many values."""
     abroad = x.rlike(r"^\+[2-9]")
-    new = {"email": _email, "date": _date, "ip": _ip, "ssn": _ssn, "card": _card}
+    new = {"email": _email, "date": _date, "ip": _ip, "ssn": _ssn}
 
     def made(kind: Column) -> Column:
         value = F.when(kind == "phone", F.when(abroad, _abroad(key, x)).otherwise(_nanp(key, x)))
         for name, make in new.items():
             value = value.when(kind == name, make(key, x))
-        return F.struct(kind.alias("kind"), value.otherwise(x).alias("value"))
+        one = F.struct(kind.alias("kind"), value.otherwise(x).alias("value"), F.lit(1).alias("n"))
+        run = _let(_cards(key, x), lambda r: F.struct(F.when(r["n"] > 0, "card").alias("kind"), r["out"].alias("value"), r["n"].alias("n")))
+        return F.when(kind == "card", run).otherwise(one)
 
     return _let(_kind(x), made)
 
@@ -253,17 +361,17 @@ def pseudonymize(docs: DataFrame, key: str, *, text: str = "text", counts: bool
     """
     has = F.col(text).rlike("[0-9@]")
     found, kinds = "__found", "__kinds"
-    none = "array<struct<kind:string,value:string>>"
+    none = "array<struct<kind:string,value:string,n:int>>"
     names = docs.columns
     looked = docs.withColumn(found, F.when(has, F.transform(F.regexp_extract_all(F.col(text), F.lit(_CANDIDATE), F.lit(0)), lambda x: _pseudonym(key, x))).otherwise(F.array().cast(none)))
     gaps = F.split(F.col(text), _CANDIDATE, -1)
     pieces = F.zip_with(gaps, F.col(f"{found}.value"), lambda gap, value: F.concat(gap, F.coalesce(value, F.lit(""))))
     new = F.when(F.size(found) > 0, F.array_join(pieces, "")).otherwise(F.col(text))
-    out = looked.withColumns({text: new, kinds: F.col(f"{found}.kind")})
-    made = [F.coalesce(F.size(F.filter(kinds, _is(kind))), F.lit(0)).cast("bigint").alias(f"n_{kind}") for kind in KINDS] if counts else []
+    out = looked.withColumns({text: new, kinds: F.col(found)})
+    made = [F.coalesce(F.aggregate(F.filter(kinds, _is(kind)), F.lit(0), lambda total, k: total + k["n"]), F.lit(0)).cast("bigint").alias(f"n_{kind}") for kind in KINDS] if counts else []
     taken = {f"n_{kind}" for kind in KINDS} if counts else set()
     return out.select(*(F.col(f"`{name}`") for name in names if name not in taken), *made)
 
 
 def _is(kind: str) -> Callable[[Column], Column]:
-    return lambda k: k == F.lit(kind)
+    return lambda k: k["kind"] == F.lit(kind)

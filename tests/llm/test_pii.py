@@ -87,6 +87,63 @@ def test_what_is_not_valid_stays(spark, text):
     assert run(spark, [text])[0].text == text
 
 
+def test_phones_with_any_area_code(spark):
+    rng = random.Random(5)
+    old = ["+1 (017) 555-7713", "+1 (132) 555-1352", "017-155-7713", "+10171557713"]
+    old += [f"+1 ({rng.randrange(1000):03d}) {rng.randrange(1000):03d}-{rng.randrange(10000):04d}" for _ in range(60)]
+    rows = run(spark, [f"call {v}." for v in old])
+    new = [r.text[5:-1] for r in rows]
+    assert all(r.n_phone == 1 for r in rows) and all(a != b for a, b in zip(old, new, strict=True))
+    assert [re.sub(r"\d", "0", v) for v in new] == [re.sub(r"\d", "0", v) for v in old]
+    assert re.sub(r"\D", "", new[2]) == new[3][2:]
+    assert len({re.sub(r"\D", "", v)[-10:] for v in new}) == len({re.sub(r"\D", "", v)[-10:] for v in old})
+
+
+CARD = "4111 1111 1111 1111"
+
+
+@pytest.mark.parametrize(
+    ("before", "card", "after"),
+    [
+        ("", CARD, " 12/25"), ("", CARD, " 123"), ("No. 7 ", CARD.replace(" ", "-"), ""), ("7 ", CARD, " 123 and more"), ("12-34 ", CARD.replace(" ", ""), " 99"),
+        ("1 2 3 ", "3782 822463 10005", " 4 5"), ("a ", CARD, " 10.5"),
+    ],
+)
+def test_cards_beside_other_digits(spark, before, card, after):
+    alone, row = run(spark, [card, before + card + after])
+    assert alone.n_card == row.n_card == 1 and alone.text != card
+    assert row.text == before + alone.text + after
+
+
+def test_two_cards_and_other_kinds_in_one_run_of_digits(spark):
+    parts = [CARD, "5500 0000 0000 0004", "123-45-6789", "555-123-4567", "12 34", "2024-12-25", "+49 30 123456", CARD]
+    *alone, row = run(spark, [*parts, " ".join(parts)])
+    assert row.text == " ".join(r.text for r in alone)
+    assert (row.n_card, row.n_ssn, row.n_phone, row.n_date) == (3, 1, 2, 1)
+
+
+def test_dates_in_all_their_forms(spark):
+    forms = ["2024-12-25", "25.12.2024", "25/12/2024", "12/25/2024", "2024/12/25", "25-12-2024"]
+    rows = run(spark, forms)
+    assert all(r.n_date == 1 for r in rows)
+    new = datetime.date.fromisoformat(rows[0].text)
+    assert [r.text for r in rows] == [new.strftime(f) for f in ("%Y-%m-%d", "%d.%m.%Y", "%d/%m/%Y", "%m/%d/%Y", "%Y/%m/%d", "%d-%m-%Y")]
+    short = run(spark, ["5/4/2024", "05/04/2024", "2024-4-5", "1/31/1999", "01/31/1999"])
+    assert all(r.n_date == 1 for r in short)
+    read = [tuple(map(int, re.split("[/-]", r.text))) for r in short]
+    assert read[0] == read[1] == read[2][::-1] and read[3] == read[4] and read[3][1] > 12
+    assert not any(re.search(r"(?<!\d)0", r.text) for r in (short[0], short[2], short[3]))
+
+
+def test_the_calendar_is_permuted_once(spark):
+    from pyspark.sql import functions as F
+
+    days = spark.range(146_097).select(F.date_add(F.lit(op._FIRST_DAY).cast("date"), F.col("id").cast("int")).alias("d"))
+    new = days.select("d", op._date(KEY, F.date_format("d", "yyyy-MM-dd")).cast("date").alias("n"))
+    row = new.agg(F.count_distinct("n"), F.min("n"), F.max("n"), F.sum(((F.dayofmonth("n") > 12) != (F.dayofmonth("d") > 12)).cast("int"))).first()
+    assert tuple(map(str, row)) == ("146097", "1800-01-01", "2199-12-31", "0")
+
+
 def test_given_documents(spark):
     before = {r.doc_id: r.text for r in documents(spark).collect()}
     emails, cards = re.compile(r"[\w.+-]+@[\w-]+\.[\w.]*\w"), re.compile(r"(?<!\d)\d{13,19}(?!\d)")
