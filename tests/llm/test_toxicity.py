@@ -46,6 +46,21 @@ def test_pairs_say_what_sums_cannot():
     assert np.mean(right) > 0.9
 
 
+@pytest.mark.parametrize(("n", "others"), [(1500, 40), (4500, 400)])
+def test_terms_that_count_only_together_are_learned_by_fit(spark, n, others):
+    """Label 1 when exactly one of two terms is there, among words that say nothing: no term is strong alone."""
+    rng, rows = random.Random(2), []
+    for i in range(n):
+        one, two = (i // 3) % 2, (i // 6) % 2  # in all four ways equally often
+        ws = [f"w{rng.randrange(others)}" for _ in range(rng.randrange(5, 20))] + ["grubling"] * one + ["martians"] * two
+        rng.shuffle(ws)
+        rows.append((i, " ".join(ws), int(one != two)))
+    docs = spark.createDataFrame([(i, x, "en", "s", 1) for i, x, _ in rows], SCHEMA)
+    model = op.fit(docs, spark.createDataFrame([(i, y) for i, _, y in rows if i % 3], "doc_id long, toxic int"))
+    scores = {r.doc_id: r.score for r in op.score(docs.where("doc_id % 3 = 0"), model, keep=["doc_id"]).collect()}
+    assert np.mean([(scores[i] >= 0.5) == bool(y) for i, _, y in rows if i % 3 == 0]) > 0.9
+
+
 def test_held_out_rows_of_given_tables(spark):
     folder = "/root/testdata/sf0.1"
     out = queries.op7_toxicity(spark, folder)
