@@ -8,11 +8,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rinseframe.llm import bpe, decontaminate, langid, neardup, pii, quality, secrets, suffixes, toxicity, vectors
+from rinseframe.llm import alignment, bpe, bytebpe, decontaminate, langid, neardup, pii, quality, secrets, suffixes, toxicity, vectors
 from rinseframe.llm.common import read, remainder
 
-#: The tokenizer file, by name.
-TOKENIZER = "word_bpe_49k.json"
+#: The tokenizer files, by name: of words, of bytes as ranks and as a vocabulary, of pieces.
+TOKENIZER, RANKS, BYTES, PIECES = "word_bpe_49k.json", "byte_bpe_50k.tiktoken", "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: The key of the pseudonyms in the queries; in real use it comes from where secrets are kept.
 PSEUDONYM_KEY = "rinseframe queries"
 
@@ -85,6 +85,16 @@ def op10_embedding_neardup(spark: SparkSession, folder: str) -> DataFrame:
     return vectors.near_duplicates(read(spark, folder, "embeddings"))
 
 
+def op11_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read(spark, folder, "documents")
+    return bytebpe.digests(docs, public_tokenizers.path(RANKS), public_tokenizers.PATTERN, keep=["doc_id"])
+
+
+def op12_token_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    paths = public_tokenizers.path(BYTES), public_tokenizers.PATTERN, public_tokenizers.path(PIECES)
+    return alignment.align(read(spark, folder, "documents"), *paths, keep=["doc_id"])
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -96,5 +106,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_minhash": op8_minhash,
     "op9_bpe": op9_bpe,
     "op10_embedding_neardup": op10_embedding_neardup,
+    "op11_byte_bpe": op11_byte_bpe,
+    "op12_token_alignment": op12_token_alignment,
 }
 ORACLES: dict[str, str] = {}
