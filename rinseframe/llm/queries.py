@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rinseframe.llm import alignment, bpe, bytebpe, decontaminate, langid, neardup, pii, quality, secrets, suffixes, toxicity, vectors
+from rinseframe.llm import alignment, bpe, bytebpe, conversations, decontaminate, langid, neardup, pii, quality, secrets, suffixes, toxicity, vectors
 from rinseframe.llm.common import read, remainder
 
 #: The tokenizer files, by name: of words, of bytes as ranks and as a vocabulary, of pieces.
@@ -95,6 +95,21 @@ def op12_token_alignment(spark: SparkSession, folder: str) -> DataFrame:
     return alignment.align(read(spark, folder, "documents"), *paths, keep=["doc_id"])
 
 
+def damaged(rows: DataFrame) -> DataFrame:
+    """Conversations with faults, by a digest of their keys; a null counts as one blank. ``dropped`` marks rows that go."""
+    shown = lambda name: F.coalesce(F.col(name).cast("string"), F.lit(" "))
+    fault = F.pmod(F.crc32(F.concat(shown("conv_id"), F.lit(":"), shown("turn")).cast("binary")), F.lit(20))
+    text = F.when(fault == 1, F.lit("")).when(fault == 2, F.regexp_replace(shown("text"), "[.!?]", "")).otherwise(shown("text"))
+    return rows.select(
+        "conv_id", "turn", F.when(fault == 4, F.lit("user")).otherwise(shown("role")).alias("role"), text.alias("text"),
+        (fault == 0).alias("dropped"), F.explode(F.when(fault == 3, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))).alias("copy"),
+    ).drop("copy")
+
+
+def op13_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    return conversations.repair(damaged(read(spark, folder, "conversations")), absent="dropped").report
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -108,5 +123,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_embedding_neardup": op10_embedding_neardup,
     "op11_byte_bpe": op11_byte_bpe,
     "op12_token_alignment": op12_token_alignment,
+    "op13_conversation_repair": op13_conversation_repair,
 }
 ORACLES: dict[str, str] = {}
