@@ -73,12 +73,43 @@ def test_no_match_is_lost_by_counting_characters(threshold):
         assert block.matches(v) == [i for i, o in enumerate(names) if round(weighted_ratio(comparable(v), comparable(o))) > threshold]
 
 
-def test_leaders_in_blocks(spark, monkeypatch):
-    monkeypatch.setattr(fuzzy, "LEADERS", 40)
-    names = _names(300, 5)
+@pytest.mark.parametrize("alone, block, threshold", [(4096, 2048, 90), (40, 25, 90), (0, 60, 80), (3, 7, 95)])
+def test_leaders_in_blocks(spark, monkeypatch, alone, block, threshold):
+    """One task, and rounds of pairs of blocks, down to blocks of a few values and no task that settles a rest."""
+    monkeypatch.setattr(fuzzy, "ALONE", alone)
+    monkeypatch.setattr(fuzzy, "BLOCK", block)
+    names = _names(100, 5)
     df = spark.createDataFrame(list(enumerate(names)), "_row_id bigint, a string").repartition(4)
-    found = {r["v"]: r["lead"] for r in merge_table(df, "a", 90).collect()}
-    assert found == plain_merge(list(dict.fromkeys(names)), 90) and len(found) > 30
+    found = {r["v"]: r["lead"] for r in merge_table(df, "a", threshold).collect()}
+    assert found == plain_merge(list(dict.fromkeys(names)), threshold) and len(found) > 2
+
+
+def test_chains_take_rounds(spark, monkeypatch):
+    """Each value matches its neighbours only: every second one leads, and that is known round by round."""
+    monkeypatch.setattr(fuzzy, "ALONE", 2)
+    monkeypatch.setattr(fuzzy, "BLOCK", 4)
+    chain = ["".join("b" if j < i else "a" for j in range(9)) for i in range(10)]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(chain)], "_row_id bigint, a string")
+    found = {r["v"]: r["lead"] for r in merge_table(df, "a", 85).collect()}
+    assert found == plain_merge(chain, 85) and found
+
+
+def test_unlike_values_take_one_round(spark, monkeypatch):
+    monkeypatch.setattr(fuzzy, "ALONE", 100)
+    monkeypatch.setattr(fuzzy, "BLOCK", 300)
+    rounds = []
+    matched = fuzzy._matched
+    monkeypatch.setattr(fuzzy, "_matched", lambda *a, **b: rounds.append(1) or matched(*a, **b))
+    rng = random.Random(2)
+    unlike = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz0123456789", k=12)) for _ in range(1000)]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate([*unlike, "one thing more", "one thing more!"])], "_row_id bigint, a string")
+    found = {r["v"]: r["lead"] for r in merge_table(df, "a", 85).collect()}
+    assert found == {"one thing more!": "one thing more"} and len(rounds) == 3
+
+
+def test_empty_and_missing_only(spark):
+    for rows in ([], [(1, None)], [(1, ""), (2, "--")]):
+        assert merge_table(spark.createDataFrame(rows, "_row_id bigint, a string"), "a", 85).count() == 0
 
 
 def test_merging_a_column(spark):
