@@ -314,8 +314,8 @@ class ExtractDatetime(Step):
 class FillNull(Step):
     """``strategy`` is one of FILL_STRATEGIES or ``constant`` (then ``value`` is used).
 
-    ``predictors`` names the columns that knn and iterative go by; without it they take all other numeric ones, or the
-    ten that correlate best (a message says so).
+    ``predictors`` names the columns that knn and iterative go by; without it they take all other numeric ones. Only where
+    the gaps of these form too many patterns to tell apart they take the ten that correlate best, and a message says so.
     """
 
     column: str

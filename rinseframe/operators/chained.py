@@ -5,7 +5,7 @@ re-predicted, and this goes round until the largest change is small, ten rounds
 
 Within one pattern of missing cells, every filled value is an affine function of the
 row's known values, and stays one through all rounds. So the sums and cross-products of
-the known values per pattern (one grouped aggregate over the table; at most 11 columns)
+the known values per pattern (grouped aggregates over the table; at most MOST_PATTERNS patterns)
 are enough to run all rounds on small matrices, and the table itself is read only
 
 1. for means and maxima, 2. for the sums per pattern, 3. when needed, once more for the
@@ -30,6 +30,10 @@ PRIOR = 1e-6
 RIDGE_ROUNDS = 300
 RIDGE_TOLERANCE = 1e-3
 
+#: Patterns of gaps that are told apart at most, and sums of one aggregate.
+MOST_PATTERNS = 4096
+SUMS_AT_ONCE = 600
+
 
 def bayesian_ridge(xtx: np.ndarray, xty: np.ndarray, yty: float, n: float) -> np.ndarray:
     """Coefficients from centred cross-products; noise and weight precision by evidence updates."""
@@ -57,11 +61,17 @@ def bayesian_ridge(xtx: np.ndarray, xty: np.ndarray, yty: float, n: float) -> np
     return solve()
 
 
-def _gap_pattern(names: list[str]) -> Column:
-    bits = F.lit(0)
-    for i, c in enumerate(names):
-        bits = bits + F.when(col(c).isNull(), F.lit(1 << i)).otherwise(F.lit(0))
-    return bits.cast("int")
+def gap_pattern(names: list[str]) -> Column:
+    """A letter for each column: 1 where its value is missing."""
+    return F.concat(*[F.when(col(c).isNull(), F.lit("1")).otherwise(F.lit("0")) for c in names])
+
+
+def _bits(pattern: str) -> int:
+    return int(pattern[::-1], 2)
+
+
+def _letters(bits: int, d: int) -> str:
+    return f"{bits:0{d}b}"[::-1]
 
 
 def _centred(names: list[str], means: list[float]) -> list[Column]:
@@ -69,19 +79,19 @@ def _centred(names: list[str], means: list[float]) -> list[Column]:
 
 
 def _pattern_sums(df: DataFrame, names: list[str], means: list[float]) -> dict[int, np.ndarray]:
-    """Pattern of gaps -> cross-products of (1, known values), from one grouped aggregate."""
+    """Pattern of gaps -> cross-products of (1, known values), from grouped aggregates."""
     d = len(names)
-    z = df.select(_gap_pattern(names).alias("p"), *[e.alias(f"z{i}") for i, e in enumerate(_centred(names, means))])
-    sums = [F.count("*").cast("double").alias("s_0_0")]
-    sums += [F.sum(f"z{i}").alias(f"s_0_{i + 1}") for i in range(d)]
-    sums += [F.sum(F.col(f"z{i}") * F.col(f"z{j}")).alias(f"s_{i + 1}_{j + 1}") for i in range(d) for j in range(i, d)]
-    out = {}
-    for row in z.groupBy("p").agg(*sums).collect():
-        g = np.zeros((d + 1, d + 1))
-        for i in range(d + 1):
-            for j in range(i, d + 1):
+    z = df.select(gap_pattern(names).alias("p"), *[e.alias(f"z{i}") for i, e in enumerate(_centred(names, means))])
+    sums = {(0, 0): F.count("*").cast("double")}
+    sums |= {(0, i + 1): F.sum(f"z{i}") for i in range(d)}
+    sums |= {(i + 1, j + 1): F.sum(F.col(f"z{i}") * F.col(f"z{j}")) for i in range(d) for j in range(i, d)}
+    out: dict[int, np.ndarray] = {}
+    places = list(sums)
+    for some in (places[i : i + SUMS_AT_ONCE] for i in range(0, len(places), SUMS_AT_ONCE)):
+        for row in z.groupBy("p").agg(*[sums[at].alias(f"s_{at[0]}_{at[1]}") for at in some]).collect():
+            g = out.setdefault(_bits(row["p"]), np.zeros((d + 1, d + 1)))
+            for i, j in some:
                 g[i, j] = g[j, i] = row[f"s_{i}_{j}"]
-        out[row["p"]] = g
     return out
 
 
@@ -118,10 +128,11 @@ def _rounds(sums: dict[int, np.ndarray], d: int) -> list[dict[int, np.ndarray]]:
 
 def _row_changes(df: DataFrame, names: list[str], means: list[float], steps: list[dict[int, np.ndarray]]) -> list[float]:
     """Largest sum of absolute changes in a row, for each of the given map differences, in one pass."""
-    rows = [(p, [m[1:].tolist() for m in (s[p] for s in steps)]) for p in steps[0] if p]
-    table = df.sparkSession.createDataFrame(rows, "_rf_p int, _rf_m array<array<array<double>>>")
+    d = len(names)
+    rows = [(_letters(p, d), [m[1:].tolist() for m in (s[p] for s in steps)]) for p in steps[0] if p]
+    table = df.sparkSession.createDataFrame(rows, "_rf_p string, _rf_m array<array<array<double>>>")
     u = F.array(F.lit(1.0), *_centred(names, means))
-    gaps = df.select(_gap_pattern(names).alias("_rf_p"), u.alias("_rf_u")).filter("_rf_p > 0")
+    gaps = df.select(gap_pattern(names).alias("_rf_p"), u.alias("_rf_u")).filter(F.col("_rf_p").contains("1"))
     joined = gaps.join(F.broadcast(table), "_rf_p")
 
     def dot(line):
@@ -169,11 +180,11 @@ def chained_effect(df: DataFrame, target: str, predictors: list[str]) -> Effect:
     if counts[f"n{at}"] == counts["rows"]:
         return Effect(whole_table=True)
     maps, means, _ = fitted_maps(df, names)
-    rows = [(p, m[at + 1].tolist()) for p, m in maps.items() if p >> at & 1]  # at most 2 ** 10 patterns
+    rows = [(_letters(p, len(names)), m[at + 1].tolist()) for p, m in maps.items() if p >> at & 1]
 
     def fill(frame: DataFrame) -> DataFrame:
-        table = frame.sparkSession.createDataFrame(rows, "_rf_p int, _rf_w array<double>")
-        joined = frame.withColumn("_rf_p", _gap_pattern(names)).join(F.broadcast(table), "_rf_p", "left")
+        table = frame.sparkSession.createDataFrame(rows, "_rf_p string, _rf_w array<double>")
+        joined = frame.withColumn("_rf_p", gap_pattern(names)).join(F.broadcast(table), "_rf_p", "left")
         value = F.col("_rf_w")[0] + F.lit(means[at])
         for i, z in enumerate(_centred(names, means)):
             value = value + F.col("_rf_w")[i + 1] * z

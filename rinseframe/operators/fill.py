@@ -12,9 +12,8 @@ from rinseframe.operators.stats import correlation_of, quantiles, run_aggregates
 from rinseframe.plans.compile import Context, effect_of
 from rinseframe.plans.effects import Effect, missing_column, nothing, values
 
+# The best ones, where gaps come in too many patterns for all.
 PREDICTORS = 10
-# Named ones; more do not fit the bits by which knn tells gap patterns apart.
-MOST_PREDICTORS = 15
 
 
 def _statistic(frame: DataFrame, ctx: Context) -> Column:
@@ -98,16 +97,33 @@ def top_predictors(df: DataFrame, target: str, k: int = PREDICTORS) -> list[tupl
     return sorted(scored, key=lambda item: -item[1])[:k]
 
 
+def _patterns_fit(df: DataFrame, step: FillNull, others: list[str]) -> bool:
+    """Whether the imputer can tell apart the patterns that the gaps of all columns form."""
+    from rinseframe.operators.chained import MOST_PATTERNS, gap_pattern
+    from rinseframe.operators.knn import MOST_PAIRS
+
+    missing = col(step.column).isNull()
+    pattern = gap_pattern(others)
+    found = df.agg(
+        F.count_distinct(F.when(missing, pattern)).alias("asked"), F.count_distinct(F.when(~missing, pattern)).alias("held"),
+        F.count_distinct(F.concat(pattern, missing.cast("string"))).alias("all"),
+    ).first()
+    return found["all"] <= MOST_PATTERNS if step.strategy == "iterative" else found["asked"] * found["held"] <= MOST_PAIRS
+
+
 def predictors_for(df: DataFrame, step: FillNull) -> tuple[list[str], tuple[str, ...]]:
-    """Columns an imputer uses besides the target, and a message if it leaves out some by itself."""
+    """Columns an imputer uses besides the target: the named ones, else all other numeric ones.
+
+    The ten that correlate best take the place of all where the gaps form too many patterns; a message says so.
+    """
     others = [c for c in numeric_columns(df) if c != step.column]
     if step.predictors is not None:
         if unfit := [c for c in step.predictors if c not in others]:
             raise ValueError(f"no numeric predictors: {', '.join(unfit)}")
-        if len(step.predictors) > MOST_PREDICTORS:
-            raise ValueError(f"at most {MOST_PREDICTORS} predictors can be named")
-        return list(step.predictors), ()
-    if len(others) <= PREDICTORS:
+        others = list(step.predictors)
+    if len(others) <= PREDICTORS or _patterns_fit(df, step, others):
         return others, ()
+    if step.predictors is not None:
+        raise ValueError(f"the gaps of the {len(others)} predictors of '{step.column}' form too many patterns")
     chosen = [c for c, _ in top_predictors(df, step.column)]
     return chosen, (f"'{step.column}' is filled by the {PREDICTORS} best of {len(others)} columns: {', '.join(chosen)}.",)

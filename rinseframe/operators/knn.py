@@ -44,18 +44,19 @@ BLOCK = 32
 LOOK = 256
 # Widens a reach a little, against rounding.
 SLACK = 1.0 + 1e-9
-# A class is the receiver's predictors, shifted by this, and the shared ones; fifteen predictors fit an int.
-CLASS_BITS = 15
+# Pairs of a receiver's and a donor's set of present predictors that are told apart at most.
+MOST_PAIRS = 1 << 20
 # A lookup of cells is broadcast up to this many rows (about 30 bytes each), joined by key beyond.
 LOOKUP_ROWS = 200_000
 
 
+class TooManyPatterns(ValueError):
+    """The gaps of the predictors form more sets than can be told apart."""
+
+
 def _pattern(names: list[str]) -> Column:
-    """Bit i is set when predictor i is present."""
-    bits = F.lit(0)
-    for i in range(len(names)):
-        bits = bits + F.when(F.col(f"x{i}").isNotNull(), F.lit(1 << i)).otherwise(F.lit(0))
-    return bits.cast("int")
+    """A letter for each predictor: 1 where it is present."""
+    return F.concat(*[F.when(F.col(f"x{i}").isNotNull(), F.lit("1")).otherwise(F.lit("0")) for i in range(len(names))])
 
 
 def _points(df: DataFrame, predictors: list[str], *more: Column) -> DataFrame:
@@ -63,28 +64,34 @@ def _points(df: DataFrame, predictors: list[str], *more: Column) -> DataFrame:
     return df.select(F.col(ROW_ID).alias("id"), *more, *xs)
 
 
-def _class_of(p: int, q: int) -> int:
-    return p << CLASS_BITS | q
-
-
-def _shared(g: int, width: int) -> list[int]:
-    """The predictors that both sides of a class have."""
-    return [i for i in range(width) if g >> i & 1]
+def _both(p: str, q: str) -> str:
+    return "".join("1" if a == b == "1" else "0" for a, b in zip(p, q))
 
 
-def _classes(asked: dict[int, int], held: list, width: int) -> tuple[dict[int, int], dict[int, int]]:
-    """Donors per class, and the predictor that cuts each class: the one that spreads most."""
-    sizes: dict[int, int] = {}
-    spread: dict[int, np.ndarray] = {}
+def _classes(asked: dict[str, int], held: list, width: int) -> tuple[list[tuple[str, str]], list[int], dict[int, int]]:
+    """The classes as (receiver's predictors, shared ones), their donors, and the predictor that cuts each: the one that
+    spreads most."""
+    numbers: dict[tuple[str, str], int] = {}
+    sizes: list[int] = []
+    spread: list[np.ndarray] = []
     for p in sorted(asked):
         for row in held:
-            q = p & row["p"]
-            if q:
-                g = _class_of(p, q)
-                sizes[g] = sizes.get(g, 0) + row["n"]
-                own = np.array([row["n"] * (row[f"s{i}"] or 0.0) for i in range(width)])
-                spread[g] = spread.get(g, 0.0) + own
-    return sizes, {g: max(_shared(g, width), key=lambda i: spread[g][i]) for g in sizes}
+            q = _both(p, row["p"])
+            if "1" in q:
+                g = numbers.setdefault((p, q), len(sizes))
+                if g == len(sizes):
+                    sizes.append(0)
+                    spread.append(np.zeros(width))
+                sizes[g] += row["n"]
+                spread[g] += [row["n"] * (row[f"s{i}"] or 0.0) for i in range(width)]
+    classes = list(numbers)
+    cuts = {g: max(_shared(q), key=lambda i: spread[g][i]) for g, (_, q) in enumerate(classes)}
+    return classes, sizes, cuts
+
+
+def _shared(q: str) -> list[int]:
+    """The predictors that both sides of a class have."""
+    return [i for i, there in enumerate(q) if there == "1"]
 
 
 def _k_smallest(d2: np.ndarray, k: int) -> np.ndarray:
@@ -157,14 +164,16 @@ def _best(receivers: pd.DataFrame, donors: pd.DataFrame, own: list[int], cut: in
 _CANDIDATES = "id bigint, donor bigint, d2 double, y double"
 
 
-def _match(receivers: DataFrame, donors: DataFrame, key: list[str], cuts: dict[int, int], width: int, k: int) -> DataFrame:
+def _match(
+    receivers: DataFrame, donors: DataFrame, key: list[str], shared: list[str], cuts: dict[int, int], k: int
+) -> DataFrame:
     """Candidates from groups of receivers and donors with equal ``key``, whose first column is the class."""
 
     def best(group, asking: pd.DataFrame, near: pd.DataFrame) -> pd.DataFrame:
         if not len(asking) or not len(near):
             return pd.DataFrame({"id": [], "donor": [], "d2": [], "y": []})
         g = int(group[0])
-        return _best(asking, near, _shared(g, width), cuts[g], width, k)
+        return _best(asking, near, _shared(shared[g]), cuts[g], len(shared[g]), k)
 
     return receivers.groupBy(*key).cogroup(donors.groupBy(*key)).applyInPandas(best, _CANDIDATES)
 
@@ -182,7 +191,7 @@ def _every_chunk(chunks) -> Column:
     return F.explode(F.sequence(F.lit(0), chunks - 1))
 
 
-def _meet(visits: DataFrame, donors: DataFrame, cuts: dict[int, int], width: int, k: int) -> DataFrame:
+def _meet(visits: DataFrame, donors: DataFrame, shared: list[str], cuts: dict[int, int], k: int) -> DataFrame:
     """Candidates of all receivers in the (class, cell, part) they visit.
 
     The visitors of a cell are split into chunks, and its donors go to each chunk.
@@ -193,7 +202,7 @@ def _meet(visits: DataFrame, donors: DataFrame, cuts: dict[int, int], width: int
         chunks = F.broadcast(chunks)
     left = visits.join(chunks, place).withColumn("chunk", _chunk(F.col("chunks")))
     right = donors.join(chunks, place).withColumn("chunk", _every_chunk(F.col("chunks")))
-    return _match(left, right, [*place, "chunk"], cuts, width, k)
+    return _match(left, right, [*place, "chunk"], shared, cuts, k)
 
 
 def _cell_finder(bounds: dict[int, list[float]]):
@@ -229,41 +238,46 @@ def nearest_mean(df: DataFrame, target: str, predictors: list[str], donor_rows:
         donors = donors.withColumn("n", F.row_number().over(nearest_ids)).filter(F.col("n") <= k).drop("n")
         donors, receivers = durable(donors), durable(receivers)
 
-    # at most 2 ** 10 patterns on either side
-    asked = {r["p"]: r["count"] for r in receivers.groupBy("p").count().collect()}
+    asked = {r["p"]: r["count"] for r in receivers.groupBy("p").count().limit(MOST_PAIRS + 1).collect()}
     spreads = [F.stddev_pop(x).alias(f"s{i}") for i, x in enumerate(xs)]
-    held = donors.groupBy("p").agg(F.count("*").alias("n"), *spreads).collect()
-    sizes, cuts = _classes(asked, held, width)
+    held = donors.groupBy("p").agg(F.count("*").alias("n"), *spreads).limit(MOST_PAIRS + 1).collect()
+    if len(asked) * len(held) > MOST_PAIRS:
+        raise TooManyPatterns(f"the gaps of {width} predictors form {len(asked)} and {len(held)} patterns")
+    classes, sizes, cuts = _classes(asked, held, width)
+    spark = df.sparkSession
     if not cuts:
-        return df.sparkSession.createDataFrame([], "id bigint, fill double")
-    of_pattern: dict[int, list[int]] = {}
-    for g in cuts:
-        of_pattern.setdefault(g >> CLASS_BITS, []).append(g)
-    to_classes = F.create_map(*[v for p, gs in of_pattern.items() for v in (F.lit(p), F.array(*map(F.lit, gs)))])
-    asking = receivers.withColumn("g", F.explode(F.try_element_at(to_classes, F.col("p")))).drop("p")
-    classes = F.transform(
-        F.array(*map(F.lit, of_pattern)), lambda p: F.shiftleft(p, CLASS_BITS).bitwiseOR(p.bitwiseAND(F.col("p")))
-    )
-    offered = F.filter(classes, lambda g: g.bitwiseAND((1 << CLASS_BITS) - 1) != 0)
-    donors = donors.withColumn("g", F.explode(offered)).drop("p")
+        return spark.createDataFrame([], "id bigint, fill double")
+    number = {pair: g for g, pair in enumerate(classes)}
+    of_pattern: dict[str, list[int]] = {}
+    for g, (p, _) in enumerate(classes):
+        of_pattern.setdefault(p, []).append(g)
+    offers = {r["p"]: [number[p, q] for p in of_pattern if "1" in (q := _both(p, r["p"]))] for r in held}
+
+    def classed(table: DataFrame, of: dict[str, list[int]]) -> DataFrame:
+        """Each row once for every class that its pattern belongs to."""
+        lookup = F.broadcast(spark.createDataFrame([(p, gs) for p, gs in of.items() if gs], "p string, gs array<int>"))
+        return table.join(lookup, "p").withColumn("g", F.explode("gs")).drop("p", "gs")
+
+    asking, donors = classed(receivers, of_pattern), classed(donors, offers)
+    shared = [q for _, q in classes]
     if one_cell:
-        chunks = _by_class({g: math.ceil(asked[g >> CLASS_BITS] / CHUNK_ROWS) for g in cuts})
+        chunks = _by_class({g: math.ceil(asked[p] / CHUNK_ROWS) for g, (p, _) in enumerate(classes)})
         asking = asking.withColumn("chunk", _chunk(chunks))
         donors = donors.withColumn("chunk", _every_chunk(chunks))
-        best = _match(asking, donors, ["g", "chunk"], cuts, width, k)
+        best = _match(asking, donors, ["g", "chunk"], shared, cuts, k)
         best = _k_best(best, k) if len(cuts) > len(of_pattern) else best
     else:
-        best = _best_over_cells(asking, donors, sizes, cuts, xs, k)
+        best = _best_over_cells(asking, donors, sizes, shared, cuts, xs, k)
     return best.groupBy("id").agg(F.avg("y").alias("fill"))
 
 
 def _best_over_cells(
-    asking: DataFrame, donors: DataFrame, sizes: dict[int, int], cuts: dict[int, int], xs: list[str], k: int
+    asking: DataFrame, donors: DataFrame, sizes: list[int], shared: list[str], cuts: dict[int, int], xs: list[str], k: int
 ) -> DataFrame:
     width = len(xs)
     # cell edges: quantiles of the cutting predictor among the donors of the class
     most = max(1, min(MAX_CELLS, LOOKUP_ROWS // (2 * len(cuts))))
-    cells = {g: min(most, math.ceil(n / CELL_ROWS)) for g, n in sizes.items()}
+    cells = {g: min(most, math.ceil(n / CELL_ROWS)) for g, n in enumerate(sizes)}
     marks = {
         f"q{g}": F.percentile_approx(
             F.when(F.col("g") == g, F.col(f"x{cuts[g]}")), [i / n for i in range(1, n)], max(20 * n, 10_000)
@@ -286,11 +300,11 @@ def _best_over_cells(
     own = parts.select("g", F.col("cell").alias("home"), "parts")
     asking = asking.join(F.broadcast(own), ["g", "home"], "left")
     asking = asking.withColumn("part", _chunk(F.coalesce("parts", F.lit(1)))).drop("parts")
-    first = durable(_k_best(_meet(asking.withColumnRenamed("home", "cell"), placed, cuts, width, k), k))
+    first = durable(_k_best(_meet(asking.withColumnRenamed("home", "cell"), placed, shared, cuts, k), k))
     reach = first.groupBy("id").agg(F.count("*").alias("found"), F.max("d2").alias("far"))
     # d2 >= (width + 1) / (shared predictors) * gap ** 2 for every donor of the class
-    shared = F.bit_count(F.col("g").bitwiseAND((1 << CLASS_BITS) - 1))
-    radius = F.sqrt(F.col("far") * shared / F.lit(width + 1.0)) * F.lit(SLACK)
+    common = _by_class({g: q.count("1") for g, q in enumerate(shared)})
+    radius = F.sqrt(F.col("far") * common / F.lit(width + 1.0)) * F.lit(SLACK)
     radius = F.when(F.col("found") >= k, radius).otherwise(F.lit(math.inf))
     reached = asking.join(reach, "id", "left").withColumn("radius", F.coalesce(radius, F.lit(math.inf)))
     reached = reached.withColumn("low", find("g", F.col("cut") - F.col("radius"))).withColumn(
@@ -304,7 +318,7 @@ def _best_over_cells(
         .filter((F.col("cell") != F.col("home")) | (F.col("part") != F.col("home_part")))
         .select("id", "g", "cell", "part", *xs)
     )
-    return _k_best(first.unionByName(_meet(visits, placed, cuts, width, k)), k)
+    return _k_best(first.unionByName(_meet(visits, placed, shared, cuts, k)), k)
 
 
 def knn_effect(df: DataFrame, target: str, predictors: list[str], k: int = NEIGHBOURS) -> Effect:

@@ -54,22 +54,23 @@ def fill_constant_text(spark, folder):
     return _fill(df, "user_id", "none")
 
 
-# every missing row against every donor, ranked by (distance, donor)
-_PAIRS = """, m AS (SELECT * FROM d WHERE value IS NULL), k AS (SELECT * FROM d WHERE value IS NOT NULL),
+# every missing row against every donor, ranked by (distance, donor); a value counts where both rows have it
+_PREDICTORS = ["user_id", "value2", "constant_col", "mostly_null"]
+_BOTH = " + ".join(f"(CASE WHEN m.{c} IS NULL OR k.{c} IS NULL THEN 0 ELSE 1 END)" for c in _PREDICTORS)
+_GAPS = " + ".join(f"coalesce((m.{c} - k.{c})::double * (m.{c} - k.{c})::double, 0)" for c in _PREDICTORS)
+_PAIRS = f""", m AS (SELECT * FROM d WHERE value IS NULL), k AS (SELECT * FROM d WHERE value IS NOT NULL),
 pairs AS (SELECT m.event_id AS id, k.event_id AS donor, k.value AS y,
-  (3.0::double / (CASE WHEN m.value2 IS NULL OR k.value2 IS NULL THEN 1 ELSE 2 END)) *
-  ((m.user_id - k.user_id)::double * (m.user_id - k.user_id)::double
-   + coalesce((m.value2 - k.value2) * (m.value2 - k.value2), 0)) AS d2 FROM m, k),
+  ({len(_PREDICTORS) + 1}.0::double / ({_BOTH})) * ({_GAPS}) AS d2 FROM m, k),
 near AS (SELECT id, y, row_number() OVER (PARTITION BY id ORDER BY d2, donor) AS n FROM pairs),
 fills AS (SELECT id, avg(y) AS y FROM near WHERE n <= 5 GROUP BY id)
-SELECT event_id, user_id, value2, round(coalesce(value, y), 6) AS value
+SELECT event_id, {", ".join(_PREDICTORS)}, round(coalesce(value, y), 6) AS value
 FROM d LEFT JOIN fills ON event_id = id"""
 
 
 @query("fill_knn", EVENTS_SQL + _PAIRS)
 def fill_knn(spark, folder):
-    # the row id is the event id, and not a predictor
-    filled = _fill_keeping_id(dirty_events(spark, folder, "user_id", "value", "value2"), "value", "knn")
+    # by all numeric columns that hold values; the row id is the event id, and not a predictor
+    filled = _fill_keeping_id(dirty_events(spark, folder, *_PREDICTORS, "value"), "value", "knn")
     return filled.withColumn("value", F.round("value", 6))
 
 

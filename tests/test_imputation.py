@@ -160,17 +160,42 @@ def test_imputers_refuse_text_and_empty_columns(spark, strategy):
     assert "has no values" in messages[0] and out.collect() == df.collect()
 
 
-def test_wide_table_uses_the_ten_best_predictors(spark):
-    rng = np.random.default_rng(0)
-    columns = [rng.normal(0, 1, 100) for _ in range(15)]
-    y = np.array(columns[3] + 0.1 * columns[7])
-    y[10:20] = np.nan
-    df = _frame(spark, [y, *columns], ["y", *[f"c{i}" for i in range(15)]])
+def _wide(width=15, rows=120, seed=0):
+    """A target of many predictors, each with gaps of its own."""
+    rng = np.random.default_rng(seed)
+    columns = [_gaps(rng.normal(0, 1 + i, rows), 7 + i, i) for i in range(width)]
+    y = np.nansum(columns, axis=0) + rng.normal(0, 0.1, rows)
+    return [_gaps(y, 6, 1), *columns], ["y", *[f"c{i}" for i in range(width)]]
+
+
+@pytest.mark.parametrize("cells", [100_000, 20])
+def test_knn_goes_by_all_columns_of_a_wide_table(spark, monkeypatch, cells):
+    monkeypatch.setattr(knn, "CELL_ROWS", cells)
+    columns, names = _wide(40, 150) if cells > 20 else _wide(14)
+    got = _impute(_frame(spark, columns, names), "knn")
+    assert np.allclose(got, _knn_by_hand(columns[0], columns[1:]))
+
+
+def test_regression_goes_by_all_columns_of_a_wide_table(spark, monkeypatch):
+    monkeypatch.setattr(chained, "SUMS_AT_ONCE", 50)
+    columns, names = _wide(34, 400)
+    got = _impute(_frame(spark, columns, names), "iterative")
+    assert np.allclose(got, _chained_by_hand(np.column_stack(columns))[:, 0], atol=1e-5)
+
+
+def test_too_many_patterns_leave_the_ten_best_predictors(spark, monkeypatch):
+    columns, names = _wide()
+    df = _frame(spark, columns, names)
     best = top_predictors(df, "y")
-    assert len(best) == 10 and best[0][0] == "c3"
-    out, messages = apply_recipe(df, [{"action": "fill_null", "column": "y", "value": "knn"}])
-    assert out.filter("y IS NULL").count() == 0 and "10 best of 15" in messages[0]
-    assert not np.isnan(_impute(df, "iterative")).any()
+    assert len(best) == 10
+    monkeypatch.setattr(chained, "MOST_PATTERNS", 20)
+    monkeypatch.setattr(knn, "MOST_PAIRS", 40)
+    for how in ("knn", "iterative"):
+        _, messages = apply_recipe(df, [{"action": "fill_null", "column": "y", "value": how, "predictors": names[1:]}])
+        assert "too many patterns" in messages[0]
+    monkeypatch.setattr(knn, "MOST_PAIRS", 1 << 20)
+    out, messages = apply_recipe(df, [{"action": "fill_null", "column": "y", "value": "iterative"}])
+    assert "10 best of 15" in messages[0] and best[0][0] in messages[0] and out.filter("y IS NULL").count() == 0
 
 
 @pytest.mark.parametrize("size", [8, 4_000])
@@ -201,24 +226,19 @@ def test_recipe_of_imputers_survives_json(spark, cloud):
     assert sorted(once.select("_row_id", *rounded).collect()) == sorted(again.select("_row_id", *rounded).collect())
 
 
-def test_predictors_can_be_named_and_a_choice_is_told(spark):
-    import numpy as np
-
-    from rinseframe import apply_recipe
-
+def test_predictors_can_be_named(spark):
     rng = np.random.default_rng(8)
-    x = rng.normal(size=(60, 12))
-    rows = [(i, None if i % 7 == 0 else float(x[i, :11].sum()), *map(float, x[i])) for i in range(60)]
-    df = spark.createDataFrame(rows, "_row_id bigint, t double, " + ", ".join(f"c{i} double" for i in range(12)))
+    x = rng.normal(size=(60, 18))
+    rows = [(i, None if i % 7 == 0 else float(x[i, :17].sum()), *map(float, x[i])) for i in range(60)]
+    df = spark.createDataFrame(rows, "_row_id bigint, t double, " + ", ".join(f"c{i} double" for i in range(18)))
     for how in ("knn", "iterative"):
         step = {"action": "fill_null", "column": "t", "value": how}
         out, messages = apply_recipe(df, [step])
-        assert len(messages) == 1 and "10 best of 12" in messages[0]
-        assert out.filter("t IS NULL").count() == 0
-        out, messages = apply_recipe(df, [step | {"predictors": [f"c{i}" for i in range(11)]}])
+        assert messages == [] and out.filter("t IS NULL").count() == 0
+        out, messages = apply_recipe(df, [step | {"predictors": [f"c{i}" for i in range(17)]}])
         assert messages == [] and out.filter("t IS NULL").count() == 0
         if how == "iterative":
             filled = {r["_row_id"]: r["t"] for r in out.collect()}
-            assert all(abs(filled[i] - x[i, :11].sum()) < 1e-6 for i in range(0, 60, 7))
+            assert all(abs(filled[i] - x[i, :17].sum()) < 1e-6 for i in range(0, 60, 7))
         _, messages = apply_recipe(df, [step | {"predictors": ["nowhere"]}])
         assert "nowhere" in messages[0]
