@@ -103,7 +103,7 @@ def missingness_patterns(df: DataFrame) -> DataFrame:
 
 
 def zscores(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """Numeric columns as (x - mean) / sample deviation; 0 where there is no spread. Missing stays missing."""
+    """Numeric columns as (x - mean) / sample deviation; missing stays missing. A column without spread is all 0."""
     names = columns or numeric_columns(df)
     facts = {}
     for i, c in enumerate(names):

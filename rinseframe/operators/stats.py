@@ -17,8 +17,8 @@ from rinseframe.frames import col, dtype, groups_of, is_numeric, is_text
 
 AGGREGATE_WIDTH = 120
 
-# Up to this many rows the built-in exact percentile (one value map per column) is used;
-# beyond it, order statistics are narrowed down by repeated scans with bounded memory.
+# Up to this many rows, or different values of any number of rows, the built-in exact percentile (one map of values and
+# counts per column) is used; beyond it, order statistics are narrowed down by repeated scans with bounded memory.
 PERCENTILE_ROWS = 100_000
 BRACKET_ROWS = 200_000
 SKETCH_SIZE = 4_000
@@ -184,8 +184,9 @@ def quantiles(
 ) -> dict[str, list[float | None]]:
     """Quantiles with linear interpolation, exact unless ``approx``.
 
-    ``small`` and ``bracket`` (PERCENTILE_ROWS and BRACKET_ROWS without them) choose the plan, not the result: columns of
-    up to ``small`` values take the built-in percentile, others are narrowed until ``bracket`` rows are left.
+    ``small`` and ``bracket`` (BRACKET_ROWS without it) choose the plan, not the result: columns of up to ``small`` values
+    take the built-in percentile (without it, those of up to PERCENTILE_ROWS rows or different values), others are
+    narrowed until ``bracket`` rows are left.
 
     ``counts`` are non-null counts per column, when the caller already has them.
     """
@@ -196,20 +197,28 @@ def quantiles(
     if approx:
         found = run_aggregates(df, {f"q{i}": _sketched(_number(c), probs) for i, c in enumerate(columns) if counts[c]})
         return {c: found.get(f"q{i}") or [None] * len(probs) for i, c in enumerate(columns)}
-    if max(counts[c] for c in columns) <= (PERCENTILE_ROWS if small is None else small):
-        found = run_aggregates(df, {c: F.percentile(_number(c), probs) for c in columns})
-        return {c: found[c] or [None] * len(probs) for c in columns}
+    most = PERCENTILE_ROWS if small is None else small
+    long = [c for c in columns if counts[c] > most]
+    if long and small is None:
+        # Many rows of few values: their map is small. The estimate is a few percent off.
+        seen = run_aggregates(df, {c: F.approx_count_distinct(_number(c)) for c in long})
+        long = [c for c in long if seen[c] > 0.9 * most]
+    short = [c for c in columns if c not in long]
+    direct = run_aggregates(df, {c: F.percentile(_number(c), probs) for c in short}) if short else {}
+    direct = {c: direct[c] or [None] * len(probs) for c in short}
+    if not long:
+        return direct
     # Counts that callers bring include NaN, which has no rank here.
-    if fractional := [c for c in columns if isinstance(dtype(df, c), (T.DoubleType, T.FloatType))]:
+    if fractional := [c for c in long if isinstance(dtype(df, c), (T.DoubleType, T.FloatType))]:
         counts = counts | run_aggregates(df, {c: F.count(_number(c)) for c in fractional})
     ranks: dict[str, list[int]] = {}
-    for c in columns:
+    for c in long:
         if counts[c]:
             at = [p * (counts[c] - 1) for p in probs]
             ranks[c] = [math.floor(h) for h in at] + [math.ceil(h) for h in at]
     values = order_statistics(df, ranks, counts, bracket)
-    out: dict[str, list[float | None]] = {}
-    for c in columns:
+    out: dict[str, list[float | None]] = dict(direct)
+    for c in long:
         if c not in ranks:
             out[c] = [None] * len(probs)
             continue

@@ -73,25 +73,25 @@ def column_summary(spark, folder):
 
 def _describe(c: str) -> str:
     head = f'SELECT \'{c}\' AS name, count({c}) AS "count"'
-    x = f"epoch_us({c}) / 1e6" if c == "ts" else f"{c}::double"
+    x = f"(epoch_us({c}) / 1e6)" if c == "ts" else f"{c}::double"
     if c in _TEXT:
         top = f"(SELECT count(*) FROM d WHERE {c} = {_mode(c)})"
         blank = ", ".join(f"NULL::double AS {n}" for n in ("mean", "std", "low", "q1", "median", "q3", "high"))
         return f'{head}, count(DISTINCT {c}) AS "unique", {_mode(c)} AS top, {top} AS freq, {blank} FROM d'
-    spread = f"round(avg({x}), 4) AS mean, round(stddev_samp({x}), 4) AS std, round(min({x}), 4) AS low"
+    spread = f"round(avg({x}), 3) AS mean, round(stddev_samp({x}), 3) AS std, round(min({x}), 3) AS low"
     inner = ", ".join(
-        f"round(quantile_cont({x}, {q}), 4) AS {n}" for q, n in ((0.25, "q1"), (0.5, "median"), (0.75, "q3"))
+        f"round(quantile_cont({x}, {q}), 3) AS {n}" for q, n in ((0.25, "q1"), (0.5, "median"), (0.75, "q3"))
     )
     return (
         f'{head}, NULL::bigint AS "unique", NULL::varchar AS top, NULL::bigint AS freq, {spread}, {inner}, '
-        f"round(max({x}), 4) AS high FROM d"
+        f"round(max({x}), 3) AS high FROM d"
     )
 
 
-@query("describe", EVENTS_SQL + " UNION ALL ".join(_describe(c) for c in EVENTS if c != "ts"))
+@query("describe", EVENTS_SQL + " UNION ALL ".join(_describe(c) for c in EVENTS))
 def describe(spark, folder):
-    found = P.describe(dirty_events(spark, folder).drop("ts"))
-    rounded = [F.round(c, 4).alias({"min": "low", "max": "high"}.get(c, c))
+    found = P.describe(dirty_events(spark, folder))
+    rounded = [F.round(c, 3).alias({"min": "low", "max": "high"}.get(c, c))
                for c in ("mean", "std", "min", "q1", "median", "q3", "max")]
     return found.select(F.col("column").alias("name"), "count", "unique", "top", "freq", *rounded)
 
@@ -115,17 +115,22 @@ def _each(columns, line):
     return " UNION ALL ".join(line(c) for c in columns)
 
 
+def _skew(c: str) -> str:
+    """Equal values have none, in either engine's way of saying so."""
+    return f"CASE WHEN min({c}) = max({c}) THEN 0.0::double ELSE round(skewness({c}::double), 4) END"
+
+
 @query(
     "diag_numeric",
     EVENTS_SQL
     + _each(
-        ("event_id", "user_id", "value", "value2"),
+        _NUMERIC,
         lambda c: f"SELECT '{c}' AS name, '{_TYPES[c]}' AS type, count(*) - count({c}) AS nulls, "
-        f'count(DISTINCT {c}) AS "unique", round(skewness({c}::double), 4) AS skew FROM d',
+        f'count(DISTINCT {c}) AS "unique", {_skew(c)} AS skew FROM d',
     ),
 )
 def diag_numeric(spark, folder):
-    found = P.numeric_diagnostics(dirty_events(spark, folder), ["event_id", "user_id", "value", "value2"])
+    found = P.numeric_diagnostics(dirty_events(spark, folder))
     return found.select(F.col("column").alias("name"), "type", "nulls", "unique", F.round("skew", 4).alias("skew"))
 
 
@@ -166,21 +171,23 @@ def five_number_narrowed(spark, folder):
     return _five(P.five_number(table(spark, folder, "lineitem"), small=0, bracket=500))
 
 
-_BOX = ["value", "value2"]
+#: All numeric columns that hold values.
+_BOX = [c for c in _NUMERIC if c != "empty_col"]
 
 
 def _box(c: str) -> str:
     return f"""SELECT '{c}' AS name, round(any_value(q1), 4) AS q1, round(any_value(q2), 4) AS median,
       round(any_value(q3), 4) AS q3, round(any_value(lo), 4) AS low_fence, round(any_value(hi), 4) AS high_fence,
-      min({c}) FILTER (WHERE {c} >= lo) AS low_whisker, max({c}) FILTER (WHERE {c} <= hi) AS high_whisker,
+      min({c}::double) FILTER (WHERE {c} >= lo) AS low_whisker, max({c}::double) FILTER (WHERE {c} <= hi) AS high_whisker,
       count(*) FILTER (WHERE {c} < lo OR {c} > hi) AS outliers
       FROM d, (SELECT *, q1 - 1.5 * (q3 - q1) AS lo, q3 + 1.5 * (q3 - q1) AS hi FROM
-        (SELECT quantile_cont({c}, 0.25) AS q1, quantile_cont({c}, 0.5) AS q2, quantile_cont({c}, 0.75) AS q3 FROM d))"""
+        (SELECT quantile_cont({c}::double, 0.25) AS q1, quantile_cont({c}::double, 0.5) AS q2,
+          quantile_cont({c}::double, 0.75) AS q3 FROM d))"""
 
 
 @query("box_stats", EVENTS_SQL + _each(_BOX, _box))
 def box_stats(spark, folder):
-    found = P.box_stats(dirty_events(spark, folder), _BOX)
+    found = P.box_stats(dirty_events(spark, folder))
     rounded = [F.round(c, 4).alias(c) for c in ("q1", "median", "q3", "low_fence", "high_fence")]
     return found.select(F.col("column").alias("name"), *rounded, "low_whisker", "high_whisker", "outliers")
 
@@ -190,13 +197,13 @@ def box_stats(spark, folder):
     EVENTS_SQL
     + _each(
         _BOX,
-        lambda c: f"""SELECT event_id, '{c}' AS name, {c} AS value FROM d,
-            (SELECT quantile_cont({c}, 0.25) AS q1, quantile_cont({c}, 0.75) AS q3 FROM d)
+        lambda c: f"""SELECT event_id, '{c}' AS name, {c}::double AS value FROM d,
+            (SELECT quantile_cont({c}::double, 0.25) AS q1, quantile_cont({c}::double, 0.75) AS q3 FROM d)
             WHERE {c} < q1 - 1.5 * (q3 - q1) OR {c} > q3 + 1.5 * (q3 - q1)""",
     ),
 )
 def outlier_points(spark, folder):
-    return P.outlier_points(dirty_events(spark, folder), _BOX).toDF("event_id", "name", "value")
+    return P.outlier_points(dirty_events(spark, folder)).toDF("event_id", "name", "value")
 
 
 def _top(c: str) -> str:
@@ -234,21 +241,19 @@ def diag_categorical(spark, folder):
 
 # ------------------------------------------------------------------ insight
 
-_PAIRED = ["user_id", "value", "value2", "event_id"]
-
-
 def _matrix(columns) -> str:
+    varies = "min({0}) < max({0})".format
     lines = []
     for a in columns:
         for b in columns:
-            r = "max(1.0::double)" if a == b else f"round(corr({a}, {b}), 6)"
-            lines.append(f"SELECT '{a}' AS a, '{b}' AS b, {r} AS r FROM d")
+            r = "1.0::double" if a == b else f"round(corr({a}, {b}), 6)"
+            lines.append(f"SELECT '{a}' AS a, '{b}' AS b, CASE WHEN {varies(a)} AND {varies(b)} THEN {r} END AS r FROM d")
     return " UNION ALL ".join(lines)
 
 
-@query("correlation", EVENTS_SQL + _matrix(_PAIRED))
+@query("correlation", EVENTS_SQL + _matrix(_NUMERIC))
 def correlation(spark, folder):
-    found = I.correlation(dirty_events(spark, folder), _PAIRED)
+    found = I.correlation(dirty_events(spark, folder))
     return found.withColumn("r", F.round("r", 6))
 
 
@@ -261,12 +266,12 @@ def correlation_lineitem(spark, folder):
 @query(
     "correlation_range",
     EVENTS_SQL
-    + f""", m AS ({_matrix(_PAIRED)}), kept AS (SELECT DISTINCT a FROM m WHERE a <> b AND r BETWEEN 0.2 AND 1.0)
+    + f""", m AS ({_matrix(_NUMERIC)}), kept AS (SELECT DISTINCT a FROM m WHERE a <> b AND r BETWEEN 0.2 AND 1.0)
       SELECT m.a, m.b, m.r FROM m WHERE m.a IN (SELECT a FROM kept) AND m.b IN (SELECT a FROM kept)
       AND (SELECT count(*) FROM kept) > 1""",
 )
 def correlation_range(spark, folder):
-    found = I.correlation_range(dirty_events(spark, folder), 0.2, 1.0, _PAIRED)
+    found = I.correlation_range(dirty_events(spark, folder), 0.2, 1.0)
     return found.withColumn("r", F.round("r", 6))
 
 
@@ -290,27 +295,21 @@ def missingness_map(spark, folder):
     return flags.withColumnRenamed("_row_id", "row_id")
 
 
-_Z = ["value", "value2", "user_id"]
-
-
 def _z(c: str) -> str:
-    return f"round(({c} - (SELECT avg({c}) FROM d)) / (SELECT stddev_samp({c}) FROM d), 5)"
+    spread = f"(SELECT stddev_samp({c}) FROM d)"
+    return f"CASE WHEN {spread} > 0 THEN round(({c} - (SELECT avg({c}) FROM d)) / {spread}, 5) ELSE 0.0::double END"
 
 
-@query(
-    "zscore",
-    EVENTS_SQL
-    + f"SELECT event_id, {', '.join(f'{_z(c)} AS {c}' for c in _Z)}, 0.0::double AS constant_col FROM d",
-)
+@query("zscore", EVENTS_SQL + f"SELECT event_id AS row_id, {', '.join(f'{_z(c)} AS {c}' for c in _NUMERIC)} FROM d")
 def zscore(spark, folder):
-    scaled = I.zscores(dirty_events(spark, folder, *_Z, "constant_col")).withColumnRenamed("_row_id", "event_id")
-    return scaled.select("event_id", *[F.round(c, 5).alias(c) for c in _Z], "constant_col")
+    scaled = I.zscores(dirty_events(spark, folder))
+    return scaled.select(F.col("_row_id").alias("row_id"), *[F.round(c, 5).alias(c) for c in _NUMERIC])
 
 
 @query(
-    "zscore_long", EVENTS_SQL + _each(_Z, lambda c: f"SELECT event_id, '{c}' AS feature, {_z(c)} AS value FROM d")
+    "zscore_long",
+    EVENTS_SQL + _each(_NUMERIC, lambda c: f"SELECT event_id, '{c}' AS feature, {_z(c)} AS value FROM d"),
 )
 def zscore_long(spark, folder):
-    long = I.zscores_long(dirty_events(spark, folder, *_Z))
+    long = I.zscores_long(dirty_events(spark, folder))
     return long.select(F.col("_row_id").alias("event_id"), "feature", F.round("value", 5).alias("value"))
-
