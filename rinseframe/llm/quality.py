@@ -1,9 +1,12 @@
 """Text quality by an interpolated modified Kneser-Ney model of characters, trained on trusted documents.
 
-Counts are gathered from all trusted text. Continuation counts, discounts and interpolated probabilities are joins and
-aggregations of the count tables, order by order. The finished model is cut into shards by the character before the
-predicted one, so that everything needed for a character is in one shard; documents are scored where they are read, one
-shard after another. Thresholds are quantiles, per language, of trusted documents that the model has not seen.
+Documents are dealt into two halves. The trusted text of each half is a model's, and a document is scored by the model of the
+other half: all trusted text is counted, and all of it is unseen where thresholds are taken from it. Counts are summed
+before they move; continuation counts, discounts and interpolated probabilities are joins and aggregations of the count
+tables, order by order. The finished model is cut into shards by a hash of the whole context, so that no shard
+is larger than a bound; documents are scored where they are read, one shard after another, from the longest n-grams down.
+A document is held against three quantiles of trusted documents of its language: of its perplexity, of that of its
+worst window, and of how even its evenest window is, as text that repeats itself is too even.
 """
 
 from __future__ import annotations
@@ -14,17 +17,22 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from rinseframe.llm.common import TEXT, map_texts, parts, remainder, stored
+from rinseframe.llm.common import TEXT, arrays, fields, parts, remainder, stored
 
-#: Characters in the longest n-gram, n-grams in a shard, and trusted ids that are sent to all executors at most.
+#: Characters in the longest n-gram, entries of a shard, and trusted ids that are sent to all executors at most.
 ORDER, SHARD, MOST_SENT = 5, 4_000_000, 2_000_000
-#: The share of unseen trusted documents that a language's threshold keeps.
-QUANTILE = 0.99
+#: The share of unseen trusted documents of a language beyond each threshold: perplexity, worst window, evenest window.
+BEYOND = (0.01, 0.01, 0.005)
+#: Characters of a step, and steps of a window.
+STEP, STEPS = 32, 8
 _START, _END = 2, 3
-_STEP = np.uint64(0x9E3779B97F4A7C15)
+_MIX = np.uint64(0x9E3779B97F4A7C15)
+#: Keeps apart the keys of the two models, and weights of contexts from probabilities.
+_MODEL, _WEIGHT = np.uint64(0xA24BAED4963EE407), np.uint64(0x8CB92BA72F3D8DD7)
 
 
 def points(text: bytes | None) -> np.ndarray:
@@ -38,7 +46,16 @@ def codes(chars: np.ndarray, n: int) -> np.ndarray:
     """A 64-bit hash of each run of n characters."""
     out = np.full(max(len(chars) - n + 1, 0), n * 0xD6E8FEB86659FD93 % (1 << 64), dtype=np.uint64)
     for i in range(n):
-        out = (out ^ chars[i : i + len(out)]) * _STEP
+        out = (out ^ chars[i : i + len(out)]) * _MIX
+        out ^= out >> np.uint64(29)
+    return out
+
+
+def _of_rows(chars: np.ndarray) -> np.ndarray:
+    """The same hash of each row of characters."""
+    out = np.full(len(chars), chars.shape[1] * 0xD6E8FEB86659FD93 % (1 << 64), dtype=np.uint64)
+    for i in range(chars.shape[1]):
+        out = (out ^ chars[:, i]) * _MIX
         out ^= out >> np.uint64(29)
     return out
 
@@ -47,9 +64,10 @@ def _text(chars: np.ndarray) -> str:
     return chars.astype(np.uint32).tobytes().decode("utf-32-le")
 
 
-def counts(texts: DataFrame, text: str) -> DataFrame:
-    """(g, c): how often each run of ORDER characters occurs. Parts are summed before anything moves."""
-    source = texts.select(F.col(text).cast("string").cast("binary").alias(TEXT))
+def counts(texts: DataFrame, text: str, model: Column | None = None) -> DataFrame:
+    """(m, g, c): how often each run of ORDER characters occurs, by model. Parts are summed before anything moves."""
+    body = F.col(f"`{text}`").cast("string").cast("binary").alias(TEXT)
+    source = texts.select((F.lit(0) if model is None else model).cast("int").alias("m"), body)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -57,68 +75,77 @@ def counts(texts: DataFrame, text: str) -> DataFrame:
                 own = [points(value) for value in part.column(TEXT).to_pylist()]
                 chars = np.concatenate(own)
                 lengths = np.array([len(o) for o in own])
+                models = np.repeat(part.column("m").to_numpy().astype(np.uint64), lengths)
                 ends = np.cumsum(lengths)
                 inside = np.ones(len(chars), dtype=bool)
                 for back in range(1, ORDER):  # runs that would reach into the next text
                     inside[ends - back] = False
                 places = np.flatnonzero(inside)
-                _, first, n = np.unique(codes(chars, ORDER)[places[places <= len(chars) - ORDER]], return_index=True, return_counts=True)
+                places = places[places <= len(chars) - ORDER]
+                keys = codes(chars, ORDER)[places] ^ (models[places] * _MODEL)
+                _, first, n = np.unique(keys, return_index=True, return_counts=True)
                 all_ = _text(chars)
-                yield pa.RecordBatch.from_arrays([pa.array([all_[p : p + ORDER] for p in places[first].tolist()], pa.string()), pa.array(n, pa.int64())], names=["g", "c"])
-
-    return source.mapInArrow(run, "g string, c long").groupBy("g").agg(F.sum("c").alias("c"))
-
-
-def _discounts(table: DataFrame) -> list[float]:
-    """Discounts for counts of one, two, and three or more."""
-    n = [0, *table.agg(*(F.sum((F.col("c") == i).cast("int")) for i in range(1, 5))).first()]
-    n = [x or 0 for x in n]
-    y = n[1] / (n[1] + 2 * n[2]) if n[1] + n[2] else 0.5
-    made = [i - (i + 1) * y * n[i + 1] / n[i] if n[i] else 0.5 for i in range(1, 4)]
-    return [min(max(d, 0.05), i - 0.05) for i, d in enumerate(made, 1)]
+                found = [all_[p : p + ORDER] for p in places[first].tolist()]
+                columns = [pa.array(models[places[first]].astype(np.int32)), pa.array(found, pa.string()), pa.array(n, pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, names=["m", "g", "c"])
+
+    return source.mapInArrow(run, "m int, g string, c long").groupBy("m", "g").agg(F.sum("c").alias("c"))
+
+
+def _discount(table: DataFrame) -> Column:
+    """Discounts for counts of one, two, and three or more, by model."""
+    out = F.lit(0.5)
+    for row in table.groupBy("m").agg(*(F.sum((F.col("c") == i).cast("int")) for i in range(1, 5))).collect():
+        m, *found = row
+        n = [0, *(x or 0 for x in found)]
+        y = n[1] / (n[1] + 2 * n[2]) if n[1] + n[2] else 0.5
+        made = [i - (i + 1) * y * n[i + 1] / n[i] if n[i] else 0.5 for i in range(1, 4)]
+        d = [min(max(x, 0.05), i - 0.05) for i, x in enumerate(made, 1)]
+        own = F.when(F.col("c") == 1, d[0]).when(F.col("c") == 2, d[1]).otherwise(d[2])
+        out = F.when(F.col("m") == m, own).otherwise(out)
+    return out
 
 
 def estimate(grams: DataFrame) -> DataFrame:
-    """(g, logp, bow) of all orders: the interpolated probability of an n-gram's last character, and the weight that
-    it has as a context for what it was not seen with."""
+    """(m, g, logp, bow) of all orders: the interpolated probability of an n-gram's last character, and the weight that
+    it has as a context for what it was not seen with. The empty n-gram has the probability of an unknown character."""
     levels = {ORDER: stored(grams, "counts")}
     for k in range(ORDER - 1, 0, -1):
         # How many different characters stand before it.
-        levels[k] = stored(levels[k + 1].groupBy(F.substring("g", 2, k).alias("g")).agg(F.count("*").alias("c")), "counts")
-    vocabulary = levels[1].count() + 1
+        levels[k] = stored(levels[k + 1].groupBy("m", F.substring("g", 2, k).alias("g")).agg(F.count("*").alias("c")), "counts")
+    size = F.lit(1.0)
+    for m, n in levels[1].groupBy("m").count().collect():
+        size = F.when(F.col("m") == m, F.lit(n + 1.0)).otherwise(size)
     lower, done = None, None
     for k in range(1, ORDER + 1):
         table = levels[k]
-        d = _discounts(table)
-        discount = F.when(F.col("c") == 1, d[0]).when(F.col("c") == 2, d[1]).otherwise(d[2])
-        contexts = table.groupBy(F.substring("g", 1, k - 1).alias("context")).agg(F.sum("c").alias("total"), F.sum(discount).alias("taken"))
-        contexts = stored(contexts.select("context", "total", (F.col("taken") / F.col("total")).alias("bow")), "contexts")
-        rows = table.withColumns({"context": F.substring("g", 1, k - 1), "tail": F.substring("g", 2, k - 1)}).join(contexts, "context")
+        discount = _discount(table)
+        contexts = table.groupBy("m", F.substring("g", 1, k - 1).alias("context")).agg(F.sum("c").alias("total"), F.sum(discount).alias("taken"))
+        contexts = stored(contexts.select("m", "context", "total", (F.col("taken") / F.col("total")).alias("bow")), "contexts")
+        rows = table.withColumns({"context": F.substring("g", 1, k - 1), "tail": F.substring("g", 2, k - 1)}).join(contexts, ["m", "context"])
         if lower is None:
-            rows = rows.withColumn("below", F.lit(1.0 / vocabulary))
+            rows = rows.withColumn("below", 1.0 / size)
         else:
-            rows = rows.join(lower.select(F.col("g").alias("tail"), F.exp("logp").alias("below")), "tail")
+            rows = rows.join(lower.select("m", F.col("g").alias("tail"), F.exp("logp").alias("below")), ["m", "tail"])
             # The weight of a context is kept with the n-gram that it is; contexts at a text's start are none themselves.
-            named = lower.join(contexts.select(F.col("context").alias("g"), F.log("bow").alias("bow")), "g", "full").select("g", "logp", "bow")
-            done = named if done is None else done.unionByName(named)
+            named = lower.join(contexts.select("m", F.col("context").alias("g"), F.log("bow").alias("bow")), ["m", "g"], "full")
+            done = done.unionByName(named.select("m", "g", "logp", "bow"))
         p = F.greatest(F.col("c") - discount, F.lit(0.0)) / F.col("total") + F.col("bow") * F.col("below")
-        lower = stored(rows.select("g", F.log(p).alias("logp")), "probabilities")
+        lower = stored(rows.select("m", "g", F.log(p).alias("logp")), "probabilities")
         if k == 1:
-            unknown = contexts.select(F.lit("").alias("g"), F.log(F.col("bow") / vocabulary).alias("logp"), F.lit(None).cast("double").alias("bow"))
-            done = unknown
+            unknown = F.log(F.col("bow") / size)
+            done = contexts.select("m", F.lit("").alias("g"), unknown.alias("logp"), F.lit(None).cast("double").alias("bow"))
     return stored(done.unionByName(lower.withColumn("bow", F.lit(None).cast("double"))), "model")
 
 
 @dataclass
 class Shard:
-    """Open-addressed table of n-gram hashes. ``index`` of ``of``: the previous characters that it answers for."""
+    """Open-addressed table of hashes. ``steps`` are (n, i, of): of n-grams those whose context has remainder i of ``of``."""
 
     keys: np.ndarray
-    logp: np.ndarray
-    bow: np.ndarray
-    index: int
-    of: int
-    unknown: float
+    values: np.ndarray
+    steps: list[tuple[int, int, int]]
+    unknown: dict[int, float]
     name: str = field(default_factory=lambda: uuid.uuid4().hex)
 
     def table(self) -> np.ndarray:
@@ -150,121 +177,185 @@ class Shard:
             open_ = open_[self.keys[out[open_]] != wanted[open_]]
         return out
 
-    def log_probabilities(self, chars: np.ndarray) -> np.ndarray:
-        """Of every character after the first ORDER - 1, 0 where another shard answers."""
-        n = len(chars) - ORDER + 1
-        out = np.zeros(n)
-        mine = np.arange(n)
-        if self.of > 1:
-            mine = np.flatnonzero((codes(chars[ORDER - 2 : -1], 1) >> np.uint64(1)) % np.uint64(self.of) == self.index)
-        for k in range(ORDER, 0, -1):
-            at = self.find(codes(chars[ORDER - k :], k)[mine])
+    def add(self, chars: np.ndarray, m: int, values: np.ndarray, open_: np.ndarray) -> None:
+        """Adds to the logarithms of every character after the first ORDER - 1 what this shard knows of those still open."""
+        apart = np.uint64(m) * _MODEL
+        for k, i, of in self.steps:
+            mine = np.flatnonzero(open_)
+            if of > 1:
+                context = codes(chars[ORDER - k : -1], k - 1) ^ apart
+                mine = mine[(context[mine] >> np.uint64(1)) % np.uint64(of) == i]
+            at = self.find((codes(chars[ORDER - k :], k) ^ apart)[mine])
             seen = at >= 0
-            out[mine[seen]] += self.logp[at[seen]]
+            values[mine[seen]] += self.values[at[seen]]
+            open_[mine[seen]] = False
             mine = mine[~seen]
-            if not len(mine):
-                return out
-            if k > 1:
-                context = self.find(codes(chars[ORDER - k : -1], k - 1)[mine])
-                known = context >= 0
-                out[mine[known]] += self.bow[context[known]]
-        out[mine] += self.unknown
-        return out
+            if k == 1:
+                values[mine] += self.unknown[m]
+                open_[mine] = False
+            elif len(mine):
+                weight = self.find((codes(chars[ORDER - k : -1], k - 1) ^ apart ^ _WEIGHT)[mine])
+                known = weight >= 0
+                values[mine[known]] += self.values[weight[known]]
 
 
 #: The table that a Python worker has built last.
 _LAST: dict = {}
 
 
+def _coded(model: DataFrame) -> DataFrame:
+    """(h, value, k, place): entries that n-grams of order k are looked up by; ``place`` is the hash of their context.
+
+    An n-gram has its probability for its own order, and its weight as a context for the next one.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            of = pa.compute.utf8_length(batch.column("g")).to_numpy()
+            for n in np.unique(of).tolist():
+                some = batch.filter(pa.array(of == n))
+                chars = np.frombuffer("".join(some.column("g").to_pylist()).encode("utf-32-le"), np.uint32).astype(np.uint64).reshape(-1, n)
+                apart = some.column("m").to_numpy().astype(np.uint64) * _MODEL
+                own, context = (_of_rows(x) ^ apart for x in (chars, chars[:, :-1]))
+                for key, value, k, place in ((own, "logp", n, context), (own ^ _WEIGHT, "bow", n + 1, own)):
+                    held = some.column(value).is_valid().to_numpy(zero_copy_only=False)
+                    columns = [key[held].view(np.int64), some.column(value).to_numpy(zero_copy_only=False)[held].astype(np.float32), np.full(held.sum(), k, np.int32), (place[held] >> np.uint64(1)).astype(np.int64)]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["h", "value", "k", "place"])
+
+    return model.where("g <> ''").mapInArrow(run, "h long, value float, k int, place long")
+
+
 def shards(model: DataFrame, most: int = SHARD) -> Iterator[Shard]:
-    """The model in shards of about ``most`` n-grams, each small enough for a worker; single characters are in all."""
+    """The model in shards of about ``most`` entries, from the longest n-grams to single characters.
+
+    A shard has all entries of some contexts; one context has at most as many as there are characters.
+    """
     coded = stored(_coded(model), "coded")
-    unknown = model.where("g = ''").select("logp").first()["logp"]
-    of = -(-coded.count() // most) or 1
-    for i in range(of):
-        rows = coded.where((F.col("last") < 0) | (F.pmod("last", F.lit(of)) == i)) if of > 1 else coded
-        table = rows.select("h", "logp", "bow").toArrow()
+    unknown = {m: logp for m, logp in model.where("g = ''").select("m", "logp").collect()}
+    sizes = dict(coded.groupBy("k").count().collect())
+    steps = [(k, i, of) for k in range(ORDER, 0, -1) for of in [-(-sizes.get(k, 0) // most) or 1] for i in range(of if k > 1 else 1)]
+    together: list[list[tuple[int, int, int]]] = [[]]
+    filled = 0.0
+    for k, i, of in steps:
+        size = sizes.get(k, 0) / of
+        if together[-1] and filled + size > most:
+            together.append([])
+            filled = 0.0
+        together[-1].append((k, i, of))
+        filled += size
+    for own in together:
+        wanted = F.lit(False)
+        for k, i, of in own:
+            wanted |= (F.col("k") == k) & ((F.pmod("place", F.lit(of)) == i) if of > 1 and k > 1 else F.lit(True))
+        table = coded.where(wanted).select("h", "value").toArrow()
         h = table.column("h").to_numpy().view(np.uint64)
-        filled = [np.nan_to_num(table.column(c).to_numpy(zero_copy_only=False).astype(np.float32), nan=fill) for c, fill in (("logp", unknown), ("bow", 0.0))]
         order = np.argsort(h)
-        yield Shard(h[order], filled[0][order], filled[1][order], i, of, float(unknown))
+        yield Shard(h[order], table.column("value").to_numpy()[order], own, unknown)
 
 
-def _coded(model: DataFrame) -> DataFrame:
-    """(h, logp, bow, last): ``last`` is a hash of the character that decides the shard, -1 for all shards.
+_SCORE = {"n_scored": "long", "bits": "double", "worst": "double", "even": "double"}
 
-    As an n-gram it is needed where its last but one character stands before; as a context, where its last one does.
-    """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for g, logp, bow in zip(*(batch.column(c).to_pylist() for c in ("g", "logp", "bow")), strict=True):
-                chars = np.frombuffer(g.encode("utf-32-le"), dtype=np.uint32).astype(np.uint64)
-                h = int(codes(chars, len(chars)).view(np.int64)[0])
-                places = {int(codes(chars[-2:-1], 1)[0] >> np.uint64(1))} if len(chars) > 1 else {-1}
-                if bow is not None and len(chars) > 1:
-                    places.add(int(codes(chars[-1:], 1)[0] >> np.uint64(1)))
-                out += [(h, logp, bow, p) for p in places]
-            columns = list(zip(*out, strict=True)) if out else [()] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.float64()), pa.array(columns[2], pa.float64()), pa.array(columns[3], pa.int64())], names=["h", "logp", "bow", "last"])
-
-    return model.where("g <> ''").mapInArrow(run, "h long, logp double, bow double, last long")
-
-
-def perplexity(docs: DataFrame, model: DataFrame, *, text: str = "text", keep: list[str], most: int = SHARD) -> DataFrame:
-    """``keep``, ``n_scored`` (characters and the end) and ``bits`` (log2 of the perplexity; null for no characters)."""
-    first, out = True, docs.select(*keep, F.col(text).alias("__body"), F.lit(0.0).alias("__sum"))
-    for shard in shards(model, most):
-        sent = docs.sparkSession.sparkContext.broadcast(shard)
-
-        def make(sent=sent):
-            def work(texts):
-                found = {"__n": [], "__own": []}
-                for value in texts:
-                    chars = points(value)
-                    found["__n"].append(len(chars) - ORDER + 1)
-                    found["__own"].append(float(sent.value.log_probabilities(chars).sum()))
-                return found
-
-            return work
-
-        names = [*keep, "__body", "__sum"]
-        scored = map_texts(out if first else stored(out, "scored"), make, {"__n": "long", "__own": "double"}, names, "__body")
-        out, first = scored.withColumn("__sum", F.col("__sum") + F.col("__own")).select(*names, "__n"), False
-        out = out.select(*names) if shard.index + 1 < shard.of else out
-    empty = F.col("__n") <= 1
-    return out.select(*keep, F.col("__n").alias("n_scored"), F.when(~empty, -F.col("__sum") / F.col("__n") / float(np.log(2))).alias("bits"))
+def _windows(sums: np.ndarray, n: int) -> tuple[float | None, float | None, float | None]:
+    """Bits a character of the whole text, most in a window, and the least deviation of the steps of a window."""
+    if n <= 1:
+        return None, None, None
+    bits = float(-sums.sum() / n / np.log(2))
+    steps = sums[: n // STEP] / (-STEP * np.log(2))
+    if len(steps) < STEPS:
+        return bits, None, None
+    windows = np.lib.stride_tricks.sliding_window_view(steps, STEPS)
+    return bits, float(windows.mean(axis=1).max()), float(windows.std(axis=1).min())
 
 
-def classify(
-    docs: DataFrame, labels: DataFrame, *, quantile: float = QUANTILE, doc_id: str = "doc_id", text: str = "text", lang: str = "lang",
-    quality: str = "quality", most: int = SHARD,
+def perplexity(
+    docs: DataFrame, model: DataFrame, *, text: str = "text", keep: list[str], use: Column | None = None, most: int = SHARD,
 ) -> DataFrame:
-    """One row per document: id, language, ``n_scored``, ``perplexity``, ``threshold`` and ``kept``.
+    """``keep``, ``n_scored`` (characters and the end), ``bits`` (log2 of the perplexity; null for no characters),
+    ``worst`` (bits in the worst window) and ``even`` (deviation in the evenest window; both null below one window).
+
+    ``use`` tells which model scores a document; without such a model it is not scored."""
+    there = [row["m"] for row in model.where("g = ''").select("m").collect()]
+    m = (F.lit(0) if use is None else use).cast("int")
+    body = F.col(f"`{text}`").cast("string").cast("binary").alias(TEXT)
+    out = docs.select(*keep, body, F.when(m.isin(there), m).alias("__m"), F.lit(None).cast("binary").alias("__open"), F.lit(None).cast("array<double>").alias("__sums"))
+    carried = T.StructType([*(out.schema[c] for c in (*keep, TEXT, "__m", "__open", "__sums"))])
+    last = T.StructType([*(out.schema[c] for c in keep), *fields(_SCORE)])
+    found = shards(model, most)
+    pending = next(found)
+    while pending is not None:
+        shard, pending = pending, next(found, None)
+        sent, ending = docs.sparkSession.sparkContext.broadcast(shard), pending is None
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent, ending=ending) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for part in parts(batch, TEXT):
+                    opens, sums, made = [], [], {name: [] for name in _SCORE}
+                    for value, m, held, before in zip(*(part.column(c).to_pylist() for c in (TEXT, "__m", "__open", "__sums"))):
+                        chars = points(value)
+                        n = len(chars) - ORDER + 1
+                        values = np.zeros(n)
+                        open_ = np.ones(n, bool) if held is None else np.unpackbits(np.frombuffer(held, np.uint8), count=n).astype(bool)
+                        if m is not None:
+                            sent.value.add(chars, m, values, open_)
+                        steps = np.add.reduceat(values, np.arange(0, n, STEP)) + (0.0 if before is None else np.array(before))
+                        opens.append(np.packbits(open_).tobytes())
+                        sums.append(steps)
+                        if ending:
+                            made["n_scored"].append(n if m is not None else 0)
+                            for name, x in zip(("bits", "worst", "even"), _windows(steps, n if m is not None else 0)):
+                                made[name].append(x)
+                    kept = [part.column(c) for c in keep]
+                    if ending:
+                        yield pa.RecordBatch.from_arrays([*kept, *arrays(_SCORE, made)], names=last.names)
+                    else:
+                        state = [pa.array(opens, pa.binary()), pa.array(sums, pa.list_(pa.float64()))]
+                        yield pa.RecordBatch.from_arrays([*kept, part.column(TEXT), part.column("__m"), *state], names=carried.names)
+
+        out = out.mapInArrow(run, last if ending else carried)
+        out = out if ending else stored(out, "scored")
+    return out
+
 
-    Trusted documents are those labelled 1. Half of them, by the id's checksum, train the model; the other half set the
-    threshold of each language, the ``quantile`` of their perplexities (rounded to thousandths of a bit). ``kept`` is
-    false above the threshold. Without characters (null text too) the perplexity is null, without unseen trusted
-    documents of a language the threshold is; either way the document is kept. A null language is one of its own.
-    Without any trusted text nothing is scored.
+def classify(
+    docs: DataFrame, labels: DataFrame, *, beyond: tuple[float, float, float] = BEYOND, doc_id: str = "doc_id", text: str = "text",
+    lang: str = "lang", quality: str = "quality", most: int = SHARD,
+) -> DataFrame:
+    """One row per document: id, language, ``n_scored``, ``perplexity``, its ``threshold``, ``kept``, and ``worst``, ``even``
+    with ``worst_threshold`` and ``even_threshold``.
+
+    Trusted documents are those labelled 1. Halves are dealt by the id's checksum; the trusted text of each trains a model that
+    scores the other half. Thresholds are quantiles of the trusted documents of a language, rounded to thousandths of a
+    bit: all but the shares ``beyond`` of them have a perplexity and a worst window at most, and an evenest window at
+    least, as the thresholds say. ``kept`` is false beyond any of the three. Without characters (null text too) the
+    perplexity is null; without windows (a text under 256 characters) ``worst`` and ``even`` are; without trusted
+    documents of a language its thresholds are; none of these rejects a document. A null language is one of its own.
+    Where the other half has no trusted text a document is not scored, and kept.
     """
     trusted = labels.where(F.col(quality) == 1).where(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("__id")).distinct()
-    trusted = stored(trusted.withColumn("half", remainder("__id", 2)), "trusted")
-    learners = trusted.where("half = 0").select("__id")
+    trusted = stored(trusted, "trusted")
     # Sent only while they are few; beyond that the texts are joined by id.
-    learners = F.broadcast(learners) if learners.count() <= MOST_SENT else learners
-    texts = docs.select(F.col(doc_id).alias("__id"), F.col(text).alias("__text")).where("__text IS NOT NULL").join(learners, "__id", "left_semi")
-    grams = stored(counts(texts, "__text"), "grams")
+    learners = F.broadcast(trusted) if trusted.count() <= MOST_SENT else trusted
     plain = docs.select(F.col(doc_id).alias("__id"), F.col(lang).alias("__lang"), F.col(text).alias("__text"))
+    texts = plain.where("__text IS NOT NULL").join(learners, "__id", "left_semi")
+    grams = stored(counts(texts, "__text", remainder("__id", 2)), "grams")
     if grams.isEmpty():
-        scored = plain.select("__id", "__lang", F.lit(0).cast("bigint").alias("n_scored"), F.lit(None).cast("double").alias("bits"))
+        blank = {name: F.lit(None).cast("double") for name in ("bits", "worst", "even")}
+        scored = plain.select("__id", "__lang", F.lit(0).cast("bigint").alias("n_scored")).withColumns(blank)
     else:
-        scored = stored(perplexity(plain, estimate(grams), text="__text", keep=["__id", "__lang"], most=most), "scored")
-    unseen = scored.where("bits IS NOT NULL").join(trusted.where("half = 1").select("__id"), "__id", "left_semi")
-    limits = unseen.groupBy(F.col("__lang").alias("of")).agg(F.percentile(F.round("bits", 3), F.lit(quantile)).alias("limit"))
+        scored = perplexity(plain, estimate(grams), text="__text", keep=["__id", "__lang"], use=1 - remainder("__id", 2), most=most)
+        scored = stored(scored, "scored")
+    unseen = scored.where("bits IS NOT NULL").join(trusted, "__id", "left_semi")
+    high = lambda name, share: F.percentile(F.round(name, 3), F.lit(1.0 - share))
+    limits = unseen.groupBy(F.col("__lang").alias("of")).agg(
+        high("bits", beyond[0]).alias("most_bits"), high("worst", beyond[1]).alias("most_worst"),
+        F.percentile(F.round("even", 3), F.lit(beyond[2])).alias("least_even"),
+    )
     out = scored.join(stored(limits, "limits"), F.col("__lang").eqNullSafe(F.col("of")), "left")
+    kept = [F.col("bits") <= F.col("most_bits"), F.col("worst") <= F.col("most_worst"), F.col("even") >= F.col("least_even")]
+    power = lambda name: F.pow(F.lit(2.0), name)
     return out.select(
-        F.col("__id").alias(doc_id), F.col("__lang").alias(lang), "n_scored", F.pow(F.lit(2.0), "bits").alias("perplexity"),
-        F.pow(F.lit(2.0), "limit").alias("threshold"), F.coalesce(F.col("bits") <= F.col("limit"), F.lit(True)).alias("kept"),
+        F.col("__id").alias(doc_id), F.col("__lang").alias(lang), "n_scored", power("bits").alias("perplexity"),
+        power("most_bits").alias("threshold"), (F.coalesce(kept[0], F.lit(True)) & F.coalesce(kept[1], F.lit(True)) & F.coalesce(kept[2], F.lit(True))).alias("kept"),
+        power("worst").alias("worst"), power("most_worst").alias("worst_threshold"), "even", F.col("least_even").alias("even_threshold"),
     )

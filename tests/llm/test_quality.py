@@ -1,4 +1,5 @@
 import math
+import statistics
 import zlib
 from collections import Counter
 
@@ -47,10 +48,19 @@ class Plain:
         own = max(c - self.d[k][min(c, 3) - 1], 0) / total if c else 0
         return own + self.taken[k][g[:-1]] / total * self.p(g[1:])
 
-    def bits(self, text):
+    def each(self, text):
         t = plain_chars(text)
-        n = len(t) - N + 1
-        return None if n <= 1 else -sum(math.log2(self.p(t[i : i + N])) for i in range(n)) / n
+        return [-math.log2(self.p(t[i : i + N])) for i in range(len(t) - N + 1)]
+
+    def bits(self, text):
+        found = self.each(text)
+        return None if len(found) <= 1 else sum(found) / len(found)
+
+    def windows(self, text):
+        found = self.each(text)
+        steps = [sum(found[i : i + op.STEP]) / op.STEP for i in range(0, len(found) - op.STEP + 1, op.STEP)]
+        windows = [steps[i : i + op.STEPS] for i in range(len(steps) - op.STEPS + 1)]
+        return (max(map(statistics.fmean, windows)), min(map(statistics.pstdev, windows))) if windows else (None, None)
 
 
 @pytest.mark.parametrize("most", [op.SHARD, 3000])
@@ -59,14 +69,44 @@ def test_model_is_the_one_of_the_definition(spark, most):
     plain = Plain([t for i, t in rows if i % 2 == 0])
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     model = op.estimate(op.counts(docs.where("doc_id % 2 = 0"), "text"))
-    got = {r.doc_id: r.bits for r in op.perplexity(docs, model, keep=["doc_id"], most=most).collect()}
+    got = {r.doc_id: r for r in op.perplexity(docs, model, keep=["doc_id"], most=most).collect()}
     for i, t in rows:
-        assert got[i] == pytest.approx(plain.bits(t), rel=1e-4), i
+        assert got[i].bits == pytest.approx(plain.bits(t), rel=1e-4), i
+        assert (got[i].worst, got[i].even) == pytest.approx(plain.windows(t), rel=1e-3) if got[i].worst is not None else plain.windows(t)[0] is None
     # Probabilities of what can follow a context sum to one.
     context = plain_chars(rows[0][1])[10 : 10 + N - 1]
     assert sum(plain.p(context + c) for c in plain.levels[1]) + plain.p(context + "￿") == pytest.approx(1, abs=1e-6)
 
 
+def test_shards_are_bounded(spark):
+    """Every entry is in one shard, and none is larger than a bound even though most characters follow a blank."""
+    docs = documents(spark).where("length(text) < 1500")
+    model = op.estimate(op.counts(docs, "text"))
+    entries = op._coded(model).count()
+    found = list(op.shards(model, 3000))
+    assert sum(len(s.keys) for s in found) == entries and max(len(s.keys) for s in found) < 4500
+    assert [step for s in found for step in s.steps] == sorted((step for s in found for step in s.steps), key=lambda step: (-step[0], step[1]))
+
+
+def test_each_half_is_scored_by_the_other(spark):
+    rows = [(r.doc_id, r.text, r.lang) for r in documents(spark).where("length(text) < 1500").limit(50).collect()]
+    labels = [(i, int(i % 3 > 0)) for i, _, _ in rows]
+    half = lambda i: zlib.crc32(str(i).encode()) % 2
+    models = [Plain([t for i, t, _ in rows if half(i) == h and i % 3 > 0]) for h in (0, 1)]
+    out = op.classify(spark.createDataFrame(rows, "doc_id long, text string, lang string"), spark.createDataFrame(labels, "doc_id long, quality int"), beyond=(0.2, 0.2, 0.2))
+    got = {r.doc_id: r for r in out.collect()}
+    bits = {i: models[1 - half(i)].bits(t) for i, t, _ in rows}
+    for i, t, lang in rows:
+        assert math.log2(got[i].perplexity) == pytest.approx(bits[i], rel=1e-4)
+        own = sorted(round(bits[j], 3) for j, _, of in rows if of == lang and j % 3 > 0)
+        if own:
+            at = 0.8 * (len(own) - 1)
+            limit = own[int(at)] + (at % 1) * (own[min(int(at) + 1, len(own) - 1)] - own[int(at)])
+            assert math.log2(got[i].threshold) == pytest.approx(limit, abs=2e-3)
+            if abs(bits[i] - limit) > 3e-3 and bits[i] > limit:
+                assert not got[i].kept
+
+
 def test_counts(spark):
     texts = ["ab  AB", "ab1 ab2", None, ""]
     docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], SCHEMA).repartition(2)
@@ -77,10 +117,11 @@ def test_counts(spark):
 def test_junk_is_rejected_and_trusted_text_kept(spark):
     folder = "/root/testdata/sf0.1"
     out = queries.op4_quality(spark, folder)
-    assert out.columns == ["doc_id", "lang", "n_scored", "perplexity", "threshold", "kept"]
+    assert out.columns[:6] == ["doc_id", "lang", "n_scored", "perplexity", "threshold", "kept"]
     rows = out.join(spark.read.parquet(f"{folder}/labels.parquet"), "doc_id").collect()
-    good = [r for r in rows if r.quality == 1 and zlib.crc32(str(r.doc_id).encode()) % 2]
+    good, junk = ([r for r in rows if r.quality == q] for q in (1, 0))
     assert sum(r.kept for r in good) > 0.97 * len(good)
+    assert sum(not r.kept for r in junk) > 0.9 * len(junk)
 
 
 def test_odd_and_empty_tables(spark):
