@@ -11,6 +11,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from functools import reduce
+from itertools import chain
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -185,9 +186,9 @@ def decontaminate(
     id count as one. An empty benchmark leaves every document as it is.
     """
     keep = [c for c in docs.columns if c != text] if keep is None else keep
-    blocks = list(item_blocks(benchmark, item, item_text, block_words)) if benchmark is not None else []
-    if len(blocks) <= 1:
-        items = blocks[0] if blocks else []
+    blocks = item_blocks(benchmark, item, item_text, block_words) if benchmark is not None else iter(())
+    items, more = next(blocks, []), next(blocks, None)
+    if more is None:
 
         def make():
             automaton = Automaton(items, window)
@@ -234,7 +235,7 @@ def decontaminate(
             F.concat("__starts", "__s").alias("__starts"), F.concat("__ends", "__e").alias("__ends"),
         ), "passed")
 
-    carried = reduce(passed, blocks, carried)
+    carried = reduce(passed, chain([items, more], blocks), carried)  # each block is read when its pass begins
 
     def finish(batches):
         import pyarrow as pa

@@ -159,7 +159,8 @@ def near_duplicates(
     the smallest id that links reach from the document; ``kept`` says that it is its own. Without words or with null
     text a document is empty and alone. Repeated rows are copies of each other, and rows with one id are kept
     together. A null id is never the smallest one; where a component has no other, its rows have a null component and
-    are all kept. ``with_text_key`` adds the text's digest, to tell rows of one id apart.
+    are all kept. ``with_text_key`` adds the text's digest, to tell rows of one id apart, and ``component_key``, which
+    tells components without ids apart and is null for empty documents.
     """
     k = words_per_shingle
     source = docs.select(F.col(doc_id), F.col(text), F.md5(F.col(text).cast("binary")).alias("text_key"))
@@ -196,12 +197,13 @@ def near_duplicates(
     named = stored(named.select("set_key", "id", F.coalesce("root", "set_key").alias("root")), "roots")
     # Written, so that Spark can split what a large component or class brings to the joins.
     lowest = stored(named.groupBy("root").agg(F.min("id").alias("component_id")), "lowest")
-    labels = stored(named.join(lowest, "root").select("set_key", "component_id"), "labels")
+    labels = stored(named.join(lowest, "root").select("set_key", "component_id", "root"), "labels")
     out = rows.join(labels, "set_key", "left").select(
-        F.col(doc_id), "n_shingles", F.when(F.col("set_key").isNull(), F.col(doc_id)).otherwise(F.col("component_id")).alias("component_id"), "text_key"
-    )
+        F.col(doc_id), "n_shingles", F.when(F.col("set_key").isNull(), F.col(doc_id)).otherwise(F.col("component_id")).alias("component_id"),
+        "text_key", F.col("root").alias("component_key"),
+    )
     out = out.withColumn("kept", F.col(doc_id).eqNullSafe(F.col("component_id")))
-    return out if with_text_key else out.drop("text_key")
+    return out if with_text_key else out.drop("text_key", "component_key")
 
 
 def _roots(done: DataFrame) -> DataFrame:
@@ -275,7 +277,19 @@ def _rest(open_: DataFrame, bodies: DataFrame, k: int, percent: int) -> DataFram
 
 
 def deduplicate(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The documents that ``near_duplicates`` keeps, with all their columns."""
+    """The documents with all their columns, one of each component of ``near_duplicates``.
+
+    It is the one of the smallest id; a null id only stays where there is no other, then that of the least digest of its
+    text. Of several rows with this id and text one stays. Empty documents and null texts all stay.
+    """
     found = near_duplicates(docs, doc_id=doc_id, text=text, with_text_key=True, **options)
-    gone = found.where("NOT kept").select(F.col(doc_id).alias("__id"), F.col("text_key").alias("__key"))
-    return docs.join(gone, (F.col(doc_id) == F.col("__id")) & (F.md5(F.col(text).cast("binary")) == F.col("__key")), "left_anti")
+    found = found.where("component_key IS NOT NULL").select("component_key", F.col(doc_id).alias("__id"), F.col("text_key").alias("__key"))
+    rows = stored(found.groupBy("component_key", "__id", "__key").agg(F.count("*").alias("n")), "rows")
+    place = F.struct(F.col("__id").isNull(), "__id", "__key")
+    first = rows.groupBy("component_key").agg(F.min_by(F.struct("__id", "__key"), place).alias("first"))
+    judged = rows.join(first, "component_key").withColumn("stays", F.struct("__id", "__key").eqNullSafe(F.col("first")))
+    # All rows that go, and those that stay once.
+    judged = stored(judged.where("NOT stays OR n > 1").select("__id", "__key", "stays"), "judged")
+    same = F.col(doc_id).eqNullSafe(F.col("__id")) & (F.md5(F.col(text).cast("binary")) == F.col("__key"))
+    once = docs.join(judged.where("stays"), same).drop("__id", "stays").dropDuplicates([doc_id, "__key"]).select(*(F.col(f"`{c}`") for c in docs.columns))
+    return docs.join(judged, same, "left_anti").unionByName(once)

@@ -110,6 +110,18 @@ def test_dropping_copies_keeps_columns_and_one_of_each_group(spark):
     assert out.columns == docs.columns and sorted(r.doc_id for r in out.collect()) == [1, 3, 4, 5]
 
 
+def test_one_row_stays_whatever_its_id(spark):
+    """Null ids, repeated ids and repeated rows: copies of each kind leave one row a group."""
+    a, b, c, d = ("a b c d e f", "g h i j k l", "m n o p q r s", "t u v w x y")
+    rows = [(None, a), (1, a), (None, a), (None, b), (None, b), (None, b + "!"), (7, c), (7, c), (7, c), (8, c), (9, d), (9, a), (None, ""), (None, None), (None, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], SCHEMA).repartition(3)
+    got = sorted((str(r.doc_id), r.text or "") for r in op.deduplicate(docs).collect())
+    expected = [("1", a), ("None", b), ("None", b + "!"), ("7", c), ("9", d), ("None", ""), ("None", ""), ("None", "")]
+    assert got == sorted(expected)
+    many = spark.range(3000).selectExpr("IF(id % 3 = 0, NULL, id) AS doc_id", f"IF(id % 2 = 0, '{a}', concat('{b} ', id % 5)) AS text")
+    assert op.deduplicate(many, percent=100).count() == 6
+
+
 def test_components(spark):
     rng = random.Random(2)
     links = [(i, i + 1) for i in range(0, 60)] + [(100, i) for i in range(101, 160)] + [(200, 200), (None, 3)]
