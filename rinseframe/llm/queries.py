@@ -13,6 +13,8 @@ from rinseframe.llm.common import read, remainder
 
 #: The tokenizer files, by name: of words, of bytes as ranks and as a vocabulary, of pieces.
 TOKENIZER, RANKS, BYTES, PIECES = "word_bpe_49k.json", "byte_bpe_50k.tiktoken", "byte_bpe_50k.json", "piece_bpe_32k.model"
+#: Words of a passage that op2 reports where it stands in several places, though it may be too short to be removed.
+PASSAGE = 51
 #: The key of the pseudonyms in the queries; in real use it comes from where secrets are kept.
 PSEUDONYM_KEY = "rinseframe queries"
 
@@ -24,8 +26,8 @@ def op1_language_id(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op2_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    found = suffixes.remove_repeats(read(spark, folder, "documents"), with_bytes=False)
-    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    found = suffixes.remove_repeats(read(spark, folder, "documents"), with_bytes=False, passage_words=PASSAGE)
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passage_words")
 
 
 def op3_decontaminate(spark: SparkSession, folder: str) -> DataFrame:

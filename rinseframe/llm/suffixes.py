@@ -23,6 +23,8 @@ from rinseframe.llm.common import map_texts, stored
 
 #: Bytes of a string that counts as repeated, and of the grams that anchors are made of.
 LENGTH, GRAM = 400, 40
+#: Bytes that stand for a word where passages are told by words, and words of the grams of their anchors.
+CODE, WORDS_OF_GRAM = 2, 5
 #: Contexts of one anchor that are sorted in one job, and contexts sorted at once.
 MOST_CONTEXTS, AT_ONCE = 256, 1500
 #: Windows of a context that are counted together where it has more.
@@ -327,8 +329,26 @@ def merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
+def word_codes(text: bytes | None) -> bytes:
+    """CODE bytes of a hash for each word, a word being a run without white space, A-Z lowered."""
+    ws = (text or b"").lower().split()
+    codes = np.fromiter(map(xxhash.xxh3_64_intdigest, ws), dtype="<u8", count=len(ws))
+    return codes.view(np.uint8).reshape(-1, 8)[:, :CODE].tobytes()
+
+
+def _passages(texts: DataFrame, least: int) -> DataFrame:
+    """(k1, k2, passages): ranges of at least so many words that stand elsewhere too, from codes in place of words."""
+    make = lambda: lambda values: {"body": [word_codes(value) for value in values]}
+    coded = map_texts(texts, make, {"body": "binary"}, ["k1", "k2"], "body")
+    found = _settle(coded, CODE * least, CODE * WORDS_OF_GRAM)
+    # Whole words only.
+    found = found.select("k1", "k2", F.ceil(F.col("start") / CODE).alias("start"), F.floor(F.col("end") / CODE).alias("end"))
+    return found.distinct().groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "end")).alias("passages"))
+
+
 def remove_repeats(
     docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, doc_id: str = "doc_id", text: str = "text", with_bytes: bool = True,
+    passage_words: int | None = None,
 ) -> DataFrame:
     """One row per document: its id, ``n_bytes``, ``n_removed``, ``n_spans``, ``kept_sha256``, ``starts``, ``ends`` and ``kept_bytes``.
 
@@ -336,13 +356,23 @@ def remove_repeats(
     this document or another; strings are judged on the input and may overlap. ``starts`` and ``ends`` are the maximal
     removed runs, ``kept_bytes`` the rest (cuts may fall inside a character); left out without ``with_bytes``. A null
     text counts as empty. Repeated rows are documents that repeat each other.
+
+    ``passage_words`` adds ``n_passage_words``: how many words lie in passages of at least so many words that also stand
+    elsewhere, whatever their case and the white space between them, found in the same way over hashes of the words. It
+    tells passages that are shorter than ``length``, and removes nothing.
     """
     texts = _keyed(docs.select(F.col(doc_id), F.col(text)), doc_id, text).withColumn("body", F.col(text).cast("string").cast("binary")).select(F.col(doc_id), "k1", "k2", "body")
     found = _settle(texts.select("k1", "k2", "body"), length, gram)
-    spans = stored(found.distinct().groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "end")).alias("spans")), "spans")
-    rows = texts.join(spans, ["k1", "k2"], "left").select(F.col(doc_id), "body", F.col("spans.start").alias("from"), F.col("spans.end").alias("to"))
+    spans = found.distinct().groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    shown = [F.col("spans.start").alias("from"), F.col("spans.end").alias("to")]
+    if passage_words is not None:
+        spans = spans.join(_passages(texts.select("k1", "k2", "body"), passage_words), ["k1", "k2"], "full")
+        inside = F.filter("passages", lambda x: x["end"] - x["start"] >= passage_words)
+        shown += [inside["start"].alias("first"), inside["end"].alias("last")]
+    rows = texts.join(stored(spans, "spans"), ["k1", "k2"], "left").select(F.col(doc_id), "body", *shown)
     kinds = [("n_bytes", "long", pa.int64()), ("n_removed", "long", pa.int64()), ("n_spans", "long", pa.int64()), ("kept_sha256", "string", pa.string()), ("starts", "array<long>", pa.list_(pa.int64())), ("ends", "array<long>", pa.list_(pa.int64()))]
     kinds += [("kept_bytes", "binary", pa.binary())] if with_bytes else []
+    told = [("n_passage_words", "long", pa.int64())] if passage_words is not None else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -359,7 +389,12 @@ def remove_repeats(
                     values = (len(body), len(body) - len(rest), len(cuts), hashlib.sha256(rest).hexdigest(), [a for a, _ in cuts], [b for _, b in cuts], rest)
                     for (name, _, _), value in zip(kinds, values, strict=False):
                         out[name].append(value)
-                yield pa.RecordBatch.from_arrays([batch.column(doc_id), *(pa.array(out[name], kind) for name, _, kind in kinds)], names=[doc_id, *out])
-
-    schema = f"`{doc_id}` {dict(rows.dtypes)[doc_id]}, " + ", ".join(f"{name} {kind}" for name, kind, _ in kinds)
+                columns = [pa.array(out[name], kind) for name, _, kind in kinds]
+                if told:
+                    ranges = zip(*(batch.column(c).to_pylist() for c in ("first", "last")), strict=True)
+                    inside = [sum(b - a for a, b in merged(list(zip(first or (), last or (), strict=True)))) for first, last in ranges]
+                    columns.append(pa.array(inside, pa.int64()))
+                yield pa.RecordBatch.from_arrays([batch.column(doc_id), *columns], names=[doc_id, *out, *(name for name, _, _ in told)])
+
+    schema = f"`{doc_id}` {dict(rows.dtypes)[doc_id]}, " + ", ".join(f"{name} {kind}" for name, kind, _ in [*kinds, *told])
     return rows.mapInArrow(run, schema)

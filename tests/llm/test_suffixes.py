@@ -63,8 +63,32 @@ def test_small_windows(spark, monkeypatch):
 def test_given_documents(spark):
     rows = [(r.doc_id, r.text) for r in documents(spark).collect()]
     out = queries.op2_suffix_dedup(spark, FOLDER)
-    assert out.columns == ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+    assert out.columns == ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passage_words"]
     check(rows, out, 400)
+    passages(rows, out, queries.PASSAGE)
+
+
+def passages(rows, out, least):
+    """Words inside passages that stand in two places, with a table of all runs of words."""
+    texts = [(i, (t or "").encode().lower().split()) for i, t in rows]
+    seen = Counter(tuple(ws[p : p + least]) for _, ws in texts for p in range(len(ws) - least + 1))
+    expected = []
+    for i, ws in texts:
+        covered = {q for p in range(len(ws) - least + 1) if seen[tuple(ws[p : p + least])] > 1 for q in range(p, p + least)}
+        expected.append((i, len(covered)))
+    got = sorted(((r.doc_id, r.n_passage_words) for r in out.collect()), key=repr)
+    assert got == sorted(expected, key=repr) and any(n for _, n in expected)
+
+
+def test_passages_too_short_to_be_removed(spark):
+    rng = random.Random(9)
+    words = ["".join(rng.choices("abcdefghij", k=rng.randrange(1, 6))) for _ in range(400)]
+    run = lambda n: " ".join(rng.choices(words, k=n))
+    shared = [run(n) for n in (50, 51, 52, 70, 90)]
+    texts = [f"{run(rng.randrange(60))} {rng.choice(shared)}\n{run(rng.randrange(60))}" for _ in range(60)]
+    texts += [shared[1].upper().replace(" ", "\t"), "a " * 200, "b " * 51, "", None, run(51), texts[7]]
+    rows = list(enumerate(texts))
+    passages(rows, op.remove_repeats(frame(spark, texts), length=10_000, passage_words=51), 51)
 
 
 def test_suffixes_are_sorted_and_extensions_right():
