@@ -100,7 +100,7 @@ def top_predictors(df: DataFrame, target: str, k: int = PREDICTORS) -> list[tupl
 def _patterns_fit(df: DataFrame, step: FillNull, others: list[str]) -> bool:
     """Whether the imputer can tell apart the patterns that the gaps of all columns form."""
     from rinseframe.operators.chained import MOST_PATTERNS, gap_pattern
-    from rinseframe.operators.knn import MOST_PAIRS
+    from rinseframe.operators.knn import MOST_ASKED, MOST_PAIRS
 
     missing = col(step.column).isNull()
     pattern = gap_pattern(others)
@@ -108,7 +108,9 @@ def _patterns_fit(df: DataFrame, step: FillNull, others: list[str]) -> bool:
         F.count_distinct(F.when(missing, pattern)).alias("asked"), F.count_distinct(F.when(~missing, pattern)).alias("held"),
         F.count_distinct(F.concat(pattern, missing.cast("string"))).alias("all"),
     ).first()
-    return found["all"] <= MOST_PATTERNS if step.strategy == "iterative" else found["asked"] * found["held"] <= MOST_PAIRS
+    if step.strategy == "iterative":
+        return found["all"] <= MOST_PATTERNS
+    return found["asked"] <= MOST_ASKED and found["asked"] * found["held"] <= MOST_PAIRS
 
 
 def predictors_for(df: DataFrame, step: FillNull) -> tuple[list[str], tuple[str, ...]]:

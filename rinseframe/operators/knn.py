@@ -44,8 +44,9 @@ BLOCK = 32
 LOOK = 256
 # Widens a reach a little, against rounding.
 SLACK = 1.0 + 1e-9
-# Pairs of a receiver's and a donor's set of present predictors that are told apart at most.
-MOST_PAIRS = 1 << 20
+# Pairs of a receiver's and a donor's set of present predictors that are told apart at most, and receivers' sets, as a
+# donor goes to each of them.
+MOST_PAIRS, MOST_ASKED = 1 << 20, 1 << 10
 # A lookup of cells is broadcast up to this many rows (about 30 bytes each), joined by key beyond.
 LOOKUP_ROWS = 200_000
 
@@ -164,16 +165,14 @@ def _best(receivers: pd.DataFrame, donors: pd.DataFrame, own: list[int], cut: in
 _CANDIDATES = "id bigint, donor bigint, d2 double, y double"
 
 
-def _match(
-    receivers: DataFrame, donors: DataFrame, key: list[str], shared: list[str], cuts: dict[int, int], k: int
-) -> DataFrame:
-    """Candidates from groups of receivers and donors with equal ``key``, whose first column is the class."""
+def _match(receivers: DataFrame, donors: DataFrame, key: list[str], k: int) -> DataFrame:
+    """Candidates from groups of receivers and donors with equal ``key``; receivers carry what their class shares."""
 
     def best(group, asking: pd.DataFrame, near: pd.DataFrame) -> pd.DataFrame:
         if not len(asking) or not len(near):
             return pd.DataFrame({"id": [], "donor": [], "d2": [], "y": []})
-        g = int(group[0])
-        return _best(asking, near, _shared(shared[g]), cuts[g], len(shared[g]), k)
+        q, cut = asking["q"].iloc[0], int(asking["cut"].iloc[0])
+        return _best(asking, near, _shared(q), cut, len(q), k)
 
     return receivers.groupBy(*key).cogroup(donors.groupBy(*key)).applyInPandas(best, _CANDIDATES)
 
@@ -191,7 +190,7 @@ def _every_chunk(chunks) -> Column:
     return F.explode(F.sequence(F.lit(0), chunks - 1))
 
 
-def _meet(visits: DataFrame, donors: DataFrame, shared: list[str], cuts: dict[int, int], k: int) -> DataFrame:
+def _meet(visits: DataFrame, donors: DataFrame, k: int) -> DataFrame:
     """Candidates of all receivers in the (class, cell, part) they visit.
 
     The visitors of a cell are split into chunks, and its donors go to each chunk.
@@ -202,7 +201,7 @@ def _meet(visits: DataFrame, donors: DataFrame, shared: list[str], cuts: dict[in
         chunks = F.broadcast(chunks)
     left = visits.join(chunks, place).withColumn("chunk", _chunk(F.col("chunks")))
     right = donors.join(chunks, place).withColumn("chunk", _every_chunk(F.col("chunks")))
-    return _match(left, right, [*place, "chunk"], shared, cuts, k)
+    return _match(left, right, [*place, "chunk"], k)
 
 
 def _cell_finder(bounds: dict[int, list[float]]):
@@ -214,17 +213,13 @@ def _cell_finder(bounds: dict[int, list[float]]):
         xs = x.to_numpy(dtype=float)
         for value in g.unique():
             at = (g == value).to_numpy()
-            out[at] = np.searchsorted(edges[int(value)], xs[at], side="right")
+            if (own := edges.get(int(value))) is not None:
+                out[at] = np.searchsorted(own, xs[at], side="right")
         return pd.Series(out)
 
     return find
 
 
-def _by_class(numbers: dict[int, int]) -> Column:
-    table = F.create_map(*[F.lit(v) for pair in numbers.items() for v in pair])
-    return F.element_at(table, F.col("g"))
-
-
 def nearest_mean(df: DataFrame, target: str, predictors: list[str], donor_rows: int, k: int = NEIGHBOURS) -> DataFrame:
     """(id, fill) for the rows of ``df`` (which has row ids) whose target is missing."""
     width = len(predictors)
@@ -238,41 +233,41 @@ def nearest_mean(df: DataFrame, target: str, predictors: list[str], donor_rows:
         donors = donors.withColumn("n", F.row_number().over(nearest_ids)).filter(F.col("n") <= k).drop("n")
         donors, receivers = durable(donors), durable(receivers)
 
-    asked = {r["p"]: r["count"] for r in receivers.groupBy("p").count().limit(MOST_PAIRS + 1).collect()}
+    asked = {r["p"]: r["count"] for r in receivers.groupBy("p").count().limit(MOST_ASKED + 1).collect()}
     spreads = [F.stddev_pop(x).alias(f"s{i}") for i, x in enumerate(xs)]
-    held = donors.groupBy("p").agg(F.count("*").alias("n"), *spreads).limit(MOST_PAIRS + 1).collect()
-    if len(asked) * len(held) > MOST_PAIRS:
+    held = donors.groupBy("p").agg(F.count("*").alias("n"), *spreads).limit(MOST_PAIRS // max(len(asked), 1) + 1).collect()
+    if len(asked) > MOST_ASKED or len(asked) * len(held) > MOST_PAIRS:
         raise TooManyPatterns(f"the gaps of {width} predictors form {len(asked)} and {len(held)} patterns")
     classes, sizes, cuts = _classes(asked, held, width)
     spark = df.sparkSession
     if not cuts:
         return spark.createDataFrame([], "id bigint, fill double")
     number = {pair: g for g, pair in enumerate(classes)}
-    of_pattern: dict[str, list[int]] = {}
-    for g, (p, _) in enumerate(classes):
-        of_pattern.setdefault(p, []).append(g)
-    offers = {r["p"]: [number[p, q] for p in of_pattern if "1" in (q := _both(p, r["p"]))] for r in held}
-
-    def classed(table: DataFrame, of: dict[str, list[int]]) -> DataFrame:
-        """Each row once for every class that its pattern belongs to."""
-        lookup = F.broadcast(spark.createDataFrame([(p, gs) for p, gs in of.items() if gs], "p string, gs array<int>"))
-        return table.join(lookup, "p").withColumn("g", F.explode("gs")).drop("p", "gs")
-
-    asking, donors = classed(receivers, of_pattern), classed(donors, offers)
-    shared = [q for _, q in classes]
+    facts = [(g, cuts[g], math.ceil(asked[p] / CHUNK_ROWS)) for g, (p, _) in enumerate(classes)]
+    of_pattern: dict[str, list[tuple]] = {}
+    for g, (p, q) in enumerate(classes):
+        of_pattern.setdefault(p, []).append((*facts[g], q))
+    offers = {r["p"]: [facts[number[p, q]] for p in of_pattern if "1" in (q := _both(p, r["p"]))] for r in held}
+
+    def classed(table: DataFrame, of: dict[str, list[tuple]], more: str = "") -> DataFrame:
+        """Each row once for every class that its pattern belongs to, with what is known of the class."""
+        rows = [(p, found) for p, found in of.items() if found]
+        lookup = spark.createDataFrame(rows, f"p string, found array<struct<g: int, cut: int, chunks: int{more}>>")
+        return table.join(F.broadcast(lookup), "p").select(*[c for c in table.columns if c != "p"], F.inline("found"))
+
+    asking, donors = classed(receivers, of_pattern, ", q: string"), classed(donors, offers)
     if one_cell:
-        chunks = _by_class({g: math.ceil(asked[p] / CHUNK_ROWS) for g, (p, _) in enumerate(classes)})
-        asking = asking.withColumn("chunk", _chunk(chunks))
-        donors = donors.withColumn("chunk", _every_chunk(chunks))
-        best = _match(asking, donors, ["g", "chunk"], shared, cuts, k)
+        asking = asking.withColumn("chunk", _chunk(F.col("chunks")))
+        donors = donors.withColumn("chunk", _every_chunk(F.col("chunks")))
+        best = _match(asking, donors, ["g", "chunk"], k)
         best = _k_best(best, k) if len(cuts) > len(of_pattern) else best
     else:
-        best = _best_over_cells(asking, donors, sizes, shared, cuts, xs, k)
+        best = _best_over_cells(asking, donors, sizes, cuts, xs, k)
     return best.groupBy("id").agg(F.avg("y").alias("fill"))
 
 
 def _best_over_cells(
-    asking: DataFrame, donors: DataFrame, sizes: list[int], shared: list[str], cuts: dict[int, int], xs: list[str], k: int
+    asking: DataFrame, donors: DataFrame, sizes: list[int], cuts: dict[int, int], xs: list[str], k: int
 ) -> DataFrame:
     width = len(xs)
     # cell edges: quantiles of the cutting predictor among the donors of the class
@@ -286,8 +281,8 @@ def _best_over_cells(
         if n > 1
     }
     seen = run_aggregates(donors, marks) if marks else {}
-    find = _cell_finder({g: sorted(set(seen.get(f"q{g}") or [])) for g in cuts})
-    cut_value = F.element_at(F.array(*xs), _by_class(cuts) + 1)
+    find = _cell_finder({g: sorted(set(seen[f"q{g}"] or [])) for g, n in cells.items() if n > 1})
+    cut_value = F.element_at(F.array(*xs), F.col("cut") + 1)
 
     placed = donors.withColumn("cell", find("g", cut_value))
     parts = placed.groupBy("g", "cell").agg(F.ceil(F.count("*") / CELL_ROWS).cast("int").alias("parts"))
@@ -296,19 +291,19 @@ def _best_over_cells(
     placed = placed.withColumn("part", _chunk(F.col("parts"))).select("g", "cell", "part", "id", "y", *xs)
 
     # every receiver first visits one part of its own cell in each class
-    asking = asking.withColumn("cut", cut_value).withColumn("home", find("g", "cut"))
+    asking = asking.withColumn("at", cut_value).withColumn("home", find("g", "at"))
     own = parts.select("g", F.col("cell").alias("home"), "parts")
     asking = asking.join(F.broadcast(own), ["g", "home"], "left")
     asking = asking.withColumn("part", _chunk(F.coalesce("parts", F.lit(1)))).drop("parts")
-    first = durable(_k_best(_meet(asking.withColumnRenamed("home", "cell"), placed, shared, cuts, k), k))
+    first = durable(_k_best(_meet(asking.drop("chunks").withColumnRenamed("home", "cell"), placed, k), k))
     reach = first.groupBy("id").agg(F.count("*").alias("found"), F.max("d2").alias("far"))
     # d2 >= (width + 1) / (shared predictors) * gap ** 2 for every donor of the class
-    common = _by_class({g: q.count("1") for g, q in enumerate(shared)})
+    common = F.length(F.regexp_replace("q", "0", ""))
     radius = F.sqrt(F.col("far") * common / F.lit(width + 1.0)) * F.lit(SLACK)
     radius = F.when(F.col("found") >= k, radius).otherwise(F.lit(math.inf))
     reached = asking.join(reach, "id", "left").withColumn("radius", F.coalesce(radius, F.lit(math.inf)))
-    reached = reached.withColumn("low", find("g", F.col("cut") - F.col("radius"))).withColumn(
-        "high", find("g", F.col("cut") + F.col("radius"))
+    reached = reached.withColumn("low", find("g", F.col("at") - F.col("radius"))).withColumn(
+        "high", find("g", F.col("at") + F.col("radius"))
     )
     visits = (
         reached.withColumnRenamed("part", "home_part")
@@ -316,9 +311,9 @@ def _best_over_cells(
         .join(F.broadcast(parts), ["g", "cell"])
         .withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
         .filter((F.col("cell") != F.col("home")) | (F.col("part") != F.col("home_part")))
-        .select("id", "g", "cell", "part", *xs)
+        .select("id", "g", "cell", "part", "q", "cut", *xs)
     )
-    return _k_best(first.unionByName(_meet(visits, placed, shared, cuts, k)), k)
+    return _k_best(first.unionByName(_meet(visits, placed, k)), k)
 
 
 def knn_effect(df: DataFrame, target: str, predictors: list[str], k: int = NEIGHBOURS) -> Effect:

@@ -171,14 +171,14 @@ def _wide(width=15, rows=120, seed=0):
 @pytest.mark.parametrize("cells", [100_000, 20])
 def test_knn_goes_by_all_columns_of_a_wide_table(spark, monkeypatch, cells):
     monkeypatch.setattr(knn, "CELL_ROWS", cells)
-    columns, names = _wide(40, 150) if cells > 20 else _wide(14)
+    columns, names = _wide(24, 90) if cells > 20 else _wide(12, 80)
     got = _impute(_frame(spark, columns, names), "knn")
     assert np.allclose(got, _knn_by_hand(columns[0], columns[1:]))
 
 
 def test_regression_goes_by_all_columns_of_a_wide_table(spark, monkeypatch):
     monkeypatch.setattr(chained, "SUMS_AT_ONCE", 50)
-    columns, names = _wide(34, 400)
+    columns, names = _wide(33, 200)
     got = _impute(_frame(spark, columns, names), "iterative")
     assert np.allclose(got, _chained_by_hand(np.column_stack(columns))[:, 0], atol=1e-5)
 
