@@ -50,13 +50,17 @@ def plain(rows, tokens):
             continue
         (a, end_a), (b, end_b) = found
         common = sorted(set(end_a) & set(end_b))
-        linked.append([(x, y) for x, e in zip(a, end_a) for y, f in zip(b, end_b) if e == f] if len(a) < 3000 else
-                      [(dict(zip(end_a, a))[e], dict(zip(end_b, b))[e]) for e in common])
-        shown, low = [], 0
+        ending: dict[int, list[int]] = {}
+        for y, f in zip(b, end_b):
+            ending.setdefault(f, []).append(y)
+        linked.append([(x, y) for x, e in zip(a, end_a) for y in ending.get(e, ())])
+        shown, low, i, j = [], 0, 0, 0
         for high in common:
-            side = lambda ids, ends: ",".join(str(i) for i, e in zip(ids, ends) if low < e <= high)  # noqa: B023, E731
-            shown.append(f"{side(a, end_a)}|{side(b, end_b)}")
-            low = high
+            sides = []
+            for ids, ends, at in ((a, end_a, i), (b, end_b, j)):
+                sides.append([x for x, e in zip(ids[at : at + high - low], ends[at : at + high - low]) if low < e <= high])
+            i, j, low = i + len(sides[0]), j + len(sides[1]), high
+            shown.append("|".join(",".join(map(str, side)) for side in sides))
         groups.append(";".join(shown))
         sizes.append((len(a), len(b), len(common)))
     counts = Counter(pair for links in linked for pair in links)
