@@ -24,7 +24,7 @@ from rinseframe.llm.common import map_texts, stored
 #: Bytes of a string that counts as repeated, and of the grams that anchors are made of.
 LENGTH, GRAM = 400, 40
 #: Bytes that stand for a word where passages are told by words, and words of the grams of their anchors.
-CODE, WORDS_OF_GRAM = 2, 5
+CODE, WORDS_OF_GRAM = 2, 4
 #: Contexts of one anchor that are sorted in one job, and contexts sorted at once.
 MOST_CONTEXTS, AT_ONCE = 256, 1500
 #: Windows of a context that are counted together where it has more.
@@ -205,6 +205,7 @@ def _keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 def _settle(texts: DataFrame, length: int, gram: int) -> DataFrame:
     """(k1, k2, start, end) of byte ranges that are covered by repeated windows; they may overlap."""
+    texts = texts.where(F.octet_length("body") >= length)  # others have no window
     spec = {"h": "longs", "c": "longs", "lo": "ints", "windows": "ints", "place": "ints"}
 
     def make():
