@@ -6,7 +6,7 @@ before they move; continuation counts, discounts and interpolated probabilities
 tables, order by order. The finished model is cut into shards by a hash of the whole context, so that no shard
 is larger than a bound; documents are scored where they are read, one shard after another, from the longest n-grams down.
 A document is held against three quantiles of trusted documents of its language: of its perplexity, of that of its
-worst window, and of how even its evenest window is, as text that repeats itself is too even.
+worst window, and of how many of the n-grams of a window differ, as text that repeats itself has few.
 """
 
 from __future__ import annotations
@@ -25,8 +25,8 @@ from rinseframe.llm.common import TEXT, arrays, fields, parts, remainder, stored
 
 #: Characters in the longest n-gram, entries of a shard, and trusted ids that are sent to all executors at most.
 ORDER, SHARD, MOST_SENT = 5, 4_000_000, 2_000_000
-#: The share of unseen trusted documents of a language beyond each threshold: perplexity, worst window, evenest window.
-BEYOND = (0.01, 0.01, 0.005)
+#: The share of unseen trusted documents of a language beyond each threshold: perplexity, worst window, least variety.
+BEYOND = (0.005, 0.008, 0.003)
 #: Characters of a step, and steps of a window.
 STEP, STEPS = 32, 8
 _START, _END = 2, 3
@@ -253,26 +253,36 @@ def shards(model: DataFrame, most: int = SHARD) -> Iterator[Shard]:
         yield Shard(h[order], table.column("value").to_numpy()[order], own, unknown)
 
 
-_SCORE = {"n_scored": "long", "bits": "double", "worst": "double", "even": "double"}
+_SCORE = {"n_scored": "long", "bits": "double", "worst": "double", "variety": "double"}
 
 
-def _windows(sums: np.ndarray, n: int) -> tuple[float | None, float | None, float | None]:
-    """Bits a character of the whole text, most in a window, and the least deviation of the steps of a window."""
+def _windows(sums: np.ndarray, n: int) -> tuple[float | None, float | None]:
+    """Bits a character of the whole text, and most in a window; windows begin at every step."""
     if n <= 1:
-        return None, None, None
+        return None, None
     bits = float(-sums.sum() / n / np.log(2))
     steps = sums[: n // STEP] / (-STEP * np.log(2))
     if len(steps) < STEPS:
-        return bits, None, None
-    windows = np.lib.stride_tricks.sliding_window_view(steps, STEPS)
-    return bits, float(windows.mean(axis=1).max()), float(windows.std(axis=1).min())
+        return bits, None
+    return bits, float(np.lib.stride_tricks.sliding_window_view(steps, STEPS).mean(axis=1).max())
+
+
+def variety(chars: np.ndarray) -> float | None:
+    """The least share of different n-grams in a window; windows follow each other, the last one ends the text."""
+    grams, size = codes(chars, ORDER), STEP * STEPS
+    if len(grams) < size:
+        return None
+    rows = np.concatenate((grams[: len(grams) // size * size], grams[-size:])).reshape(-1, size)
+    rows = np.sort(rows, axis=1)
+    return float((1 + (rows[:, 1:] != rows[:, :-1]).sum(axis=1)).min() / size)
 
 
 def perplexity(
     docs: DataFrame, model: DataFrame, *, text: str = "text", keep: list[str], use: Column | None = None, most: int = SHARD,
 ) -> DataFrame:
     """``keep``, ``n_scored`` (characters and the end), ``bits`` (log2 of the perplexity; null for no characters),
-    ``worst`` (bits in the worst window) and ``even`` (deviation in the evenest window; both null below one window).
+    ``worst`` (bits in the worst window) and ``variety`` (the least share of different n-grams in a window; both null below
+    one window).
 
     ``use`` tells which model scores a document; without such a model it is not scored."""
     there = [row["m"] for row in model.where("g = ''").select("m").collect()]
@@ -302,8 +312,9 @@ def perplexity(
                         opens.append(np.packbits(open_).tobytes())
                         sums.append(steps)
                         if ending:
-                            made["n_scored"].append(n if m is not None else 0)
-                            for name, x in zip(("bits", "worst", "even"), _windows(steps, n if m is not None else 0)):
+                            scored = n if m is not None else 0
+                            of = (scored, *_windows(steps, scored), variety(chars) if scored else None)
+                            for name, x in zip(_SCORE, of):
                                 made[name].append(x)
                     kept = [part.column(c) for c in keep]
                     if ending:
@@ -321,14 +332,14 @@ def classify(
     docs: DataFrame, labels: DataFrame, *, beyond: tuple[float, float, float] = BEYOND, doc_id: str = "doc_id", text: str = "text",
     lang: str = "lang", quality: str = "quality", most: int = SHARD,
 ) -> DataFrame:
-    """One row per document: id, language, ``n_scored``, ``perplexity``, its ``threshold``, ``kept``, and ``worst``, ``even``
-    with ``worst_threshold`` and ``even_threshold``.
+    """One row per document: id, language, ``n_scored``, ``perplexity``, its ``threshold``, ``kept``, and ``worst``,
+    ``variety`` with ``worst_threshold`` and ``variety_threshold``.
 
     Trusted documents are those labelled 1. Halves are dealt by the id's checksum; the trusted text of each trains a model that
     scores the other half. Thresholds are quantiles of the trusted documents of a language, rounded to thousandths of a
-    bit: all but the shares ``beyond`` of them have a perplexity and a worst window at most, and an evenest window at
-    least, as the thresholds say. ``kept`` is false beyond any of the three. Without characters (null text too) the
-    perplexity is null; without windows (a text under 256 characters) ``worst`` and ``even`` are; without trusted
+    bit: all but the shares ``beyond`` of them have a perplexity and a worst window at most, and a variety at least, as
+    the thresholds say. ``kept`` is false beyond any of the three. Without characters (null text too) the
+    perplexity is null; without windows (a text under 256 characters) ``worst`` and ``variety`` are; without trusted
     documents of a language its thresholds are; none of these rejects a document. A null language is one of its own.
     Where the other half has no trusted text a document is not scored, and kept.
     """
@@ -340,7 +351,7 @@ def classify(
     texts = plain.where("__text IS NOT NULL").join(learners, "__id", "left_semi")
     grams = stored(counts(texts, "__text", remainder("__id", 2)), "grams")
     if grams.isEmpty():
-        blank = {name: F.lit(None).cast("double") for name in ("bits", "worst", "even")}
+        blank = {name: F.lit(None).cast("double") for name in ("bits", "worst", "variety")}
         scored = plain.select("__id", "__lang", F.lit(0).cast("bigint").alias("n_scored")).withColumns(blank)
     else:
         scored = perplexity(plain, estimate(grams), text="__text", keep=["__id", "__lang"], use=1 - remainder("__id", 2), most=most)
@@ -349,13 +360,14 @@ def classify(
     high = lambda name, share: F.percentile(F.round(name, 3), F.lit(1.0 - share))
     limits = unseen.groupBy(F.col("__lang").alias("of")).agg(
         high("bits", beyond[0]).alias("most_bits"), high("worst", beyond[1]).alias("most_worst"),
-        F.percentile(F.round("even", 3), F.lit(beyond[2])).alias("least_even"),
+        F.percentile(F.round("variety", 3), F.lit(beyond[2])).alias("least_variety"),
     )
     out = scored.join(stored(limits, "limits"), F.col("__lang").eqNullSafe(F.col("of")), "left")
-    kept = [F.col("bits") <= F.col("most_bits"), F.col("worst") <= F.col("most_worst"), F.col("even") >= F.col("least_even")]
+    kept = [F.col("bits") <= F.col("most_bits"), F.col("worst") <= F.col("most_worst"), F.col("variety") >= F.col("least_variety")]
     power = lambda name: F.pow(F.lit(2.0), name)
     return out.select(
         F.col("__id").alias(doc_id), F.col("__lang").alias(lang), "n_scored", power("bits").alias("perplexity"),
         power("most_bits").alias("threshold"), (F.coalesce(kept[0], F.lit(True)) & F.coalesce(kept[1], F.lit(True)) & F.coalesce(kept[2], F.lit(True))).alias("kept"),
-        power("worst").alias("worst"), power("most_worst").alias("worst_threshold"), "even", F.col("least_even").alias("even_threshold"),
+        power("worst").alias("worst"), power("most_worst").alias("worst_threshold"), "variety",
+        F.col("least_variety").alias("variety_threshold"),
     )
