@@ -270,7 +270,7 @@ def _blocks(rows: DataFrame, conversation: str, turn: str, role: str, text: str,
 
 def _map(blocks: DataFrame, spec: dict[str, str], work) -> DataFrame:
     """``conv`` and what ``work`` makes of each block, given as a dictionary; it yields rows."""
-    schema, names = T.StructType([blocks.schema["conv"], *fields(spec)]), blocks.columns
+    schema = T.StructType([blocks.schema["conv"], *fields(spec)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -281,8 +281,6 @@ def _map(blocks: DataFrame, spec: dict[str, str], work) -> DataFrame:
                     made = arrays(spec, dict(zip(spec, rest)))
                     yield pa.RecordBatch.from_arrays([pa.array(conv, part.schema.field("conv").type), *made], names=["conv", *spec])
 
-    if "conv" not in names:
-        raise ValueError("blocks have a column conv")
     return blocks.mapInArrow(run, schema)
 
 
