@@ -13,6 +13,8 @@ from rinseframe.plans.runtime import fresh_path
 
 #: Rows and bytes of text that a task looks at together.
 PART_ROWS, PART_BYTES = 512, 4 << 20
+#: Bits of a filter for each key, and in all; Spark's bitmaps have 2^15 each.
+BITS_A_KEY, MOST_BITS, _MAP_BITS = 16, 1 << 26, 1 << 15
 
 _ARROW = {
     "long": (T.LongType(), pa.int64()), "int": (T.IntegerType(), pa.int32()), "double": (T.DoubleType(), pa.float64()),
@@ -79,6 +81,22 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def flagged(df: DataFrame, hashed: F.Column, keys: DataFrame, keys_hashed: F.Column, flag: str) -> DataFrame:
+    """``df`` with a boolean column: false where no row of ``keys``, a written table, has that hash, true where one may have it.
+
+    Rows with long texts that no join can meet are so kept out of its shuffle. The hashes are marked in a bitmap of
+    BITS_A_KEY bits a key, MOST_BITS in all; a fuller one only flags more, and the join that follows decides.
+    """
+    bits = min(MOST_BITS, max(_MAP_BITS, 1 << (BITS_A_KEY * keys.count()).bit_length()))
+    slots = keys.select(F.pmod(keys_hashed, F.lit(bits)).alias("slot"))
+    maps = slots.groupBy(F.shiftright("slot", 15).alias("__map")).agg(F.bitmap_construct_agg(F.col("slot").bitwiseAND(_MAP_BITS - 1)).alias("__marks"))
+    slot = F.pmod(hashed, F.lit(bits))
+    marked = df.withColumns({"__map": F.shiftright(slot, 15), "__place": slot.bitwiseAND(_MAP_BITS - 1).cast("int")})
+    marked = marked.join(F.broadcast(stored(maps, "filter")), "__map", "left")
+    byte = F.conv(F.hex(F.substring("__marks", F.shiftright("__place", 3) + 1, F.lit(1))), 16, 10).cast("int")
+    return marked.withColumn(flag, F.coalesce(F.getbit(byte, F.col("__place").bitwiseAND(7)) == 1, F.lit(False))).drop("__map", "__place", "__marks")
+
+
 def remainder(key: str, modulus: int) -> F.Column:
     """crc32 of an id's text, by a modulus: which rows are held out. A null id counts as empty text."""
     return F.pmod(F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")), F.lit(modulus))

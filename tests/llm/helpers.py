@@ -21,3 +21,24 @@ def odd(spark):
 
 def documents(spark):
     return spark.read.parquet(f"{FOLDER}/documents.parquet")
+
+
+def shuffled_bytes(df):
+    """What the exchanges of a collected result held, with joins that are never broadcast by size."""
+    spark = df.sparkSession
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df.collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+    def walk(node):
+        kind = node.getClass().getSimpleName()
+        if kind == "AdaptiveSparkPlanExec":
+            return walk(node.executedPlan())
+        if kind.endswith("QueryStageExec"):
+            return walk(node.plan())
+        own = node.metrics().apply("dataSize").value() if kind == "ShuffleExchangeExec" else 0
+        return own + sum(walk(node.children().apply(i)) for i in range(node.children().size()))
+
+    return walk(df._jdf.queryExecution().executedPlan())

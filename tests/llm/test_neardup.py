@@ -3,11 +3,13 @@ import re
 from collections import defaultdict
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from rinseframe.llm import neardup as op
 from rinseframe.llm import queries
+from rinseframe.llm.common import flagged, stored
 from rinseframe.llm.components import components
-from tests.llm.helpers import FOLDER, SCHEMA, documents, odd
+from tests.llm.helpers import FOLDER, SCHEMA, documents, odd, shuffled_bytes
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
 
@@ -122,6 +124,26 @@ def test_one_row_stays_whatever_its_id(spark):
     assert op.deduplicate(many, percent=100).count() == 6
 
 
+def test_texts_that_stay_are_not_shuffled(spark):
+    """Only texts that a copy's digest may belong to move: 20 of 400 here, and whatever shares their bits."""
+    rng = random.Random(8)
+    texts = [" ".join(f"w{rng.randrange(10**9)}" for _ in range(300)) for _ in range(380)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts + texts[:10] + [texts[0]] * 10)], SCHEMA)
+    out = op.deduplicate(docs)
+    assert shuffled_bytes(out) < 0.25 * sum(map(len, texts))
+    assert sorted(r.doc_id for r in out.collect()) == list(range(380))
+
+
+def test_a_filter_flags_all_keys_and_few_others(spark):
+    keys = stored(spark.range(0, 100_000, 1).selectExpr("IF(id = 7, NULL, concat('k', id)) AS k"), "keys")
+    df = spark.range(200_000).selectExpr("id", "IF(id = 8, NULL, concat('k', id)) AS `a.b`")
+    out = flagged(df, F.xxhash64("`a.b`"), keys, F.xxhash64("k"), "flag")
+    assert out.columns == ["id", "a.b", "flag"]
+    row = out.selectExpr("count(*) AS n", "count_if(flag AND id < 100000) AS keys", "count_if(flag AND id >= 100000) AS others").first()
+    assert row.n == 200_000 and row["keys"] >= 99_999 and row.others < 10_000
+    assert flagged(df, F.xxhash64("`a.b`"), stored(keys.limit(0), "none"), F.xxhash64("k"), "flag").where("flag").count() == 0
+
+
 def test_components(spark):
     rng = random.Random(2)
     links = [(i, i + 1) for i in range(0, 60)] + [(100, i) for i in range(101, 160)] + [(200, 200), (None, 3)]
