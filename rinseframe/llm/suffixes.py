@@ -11,7 +11,7 @@ compared byte by byte. Where an anchor has very many contexts, their windows are
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rinseframe.llm.common import map_texts, stored
+from rinseframe.llm.common import flagged, map_texts, stored
 
 #: Bytes of a string that counts as repeated, and of the grams that anchors are made of.
 LENGTH, GRAM = 400, 40
@@ -91,30 +91,45 @@ class Suffixes:
         self.data, self.length = data, length
         self.prefix = prefix_hashes(data)
         self.down = _powers(len(data) + 1)[1]
+        padded = np.concatenate((data, np.zeros(8, dtype=np.uint8)))
+        self.eight = np.ndarray(len(data) + 1, ">u8", padded, strides=(1,))  # overlapping views of the same bytes
 
-    def _hash(self, at: np.ndarray, n: np.ndarray) -> np.ndarray:
+    def _head(self, at: np.ndarray) -> np.ndarray:
+        """The first bytes of each suffix as a number, which mostly settles what sorts first."""
+        return self.eight[at].astype(np.uint64) >> np.uint64(8 * max(8 - self.length, 0))
+
+    def same(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Whether the suffixes at a and b agree over ``length`` bytes."""
+        return self._hash(a, self.length) == self._hash(b, self.length)
+
+    def _hash(self, at: np.ndarray, n: int) -> np.ndarray:
         return (self.prefix[at + n] - self.prefix[at]) * self.down[at]
 
     def common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Bytes that the suffixes at a and b share, by binary search; at most ``length``."""
-        whole = np.full(len(a), self.length)
-        out = np.where(self._hash(a, whole) == self._hash(b, whole), self.length, 0)
+        out = np.where(self.same(a, b), self.length, 0)
         open_ = np.flatnonzero(out == 0)
         low, high = np.zeros(len(open_), dtype=np.int64), np.full(len(open_), self.length - 1)
         x, y = a[open_], b[open_]
+        (x_prefix, x_down), (y_prefix, y_down) = ((self.prefix[at], self.down[at]) for at in (x, y))
         while len(open_) and (low < high).any():
             middle = (low + high + 1) // 2
-            same = self._hash(x, middle) == self._hash(y, middle)
+            same = (self.prefix[x + middle] - x_prefix) * x_down == (self.prefix[y + middle] - y_prefix) * y_down
             low, high = np.where(same, middle, low), np.where(same, high, middle - 1)
         out[open_] = low
         return out
 
     def before(self, a: np.ndarray, b: np.ndarray, or_equal: bool) -> np.ndarray:
         """Whether suffix a sorts before suffix b."""
+        x, y = self._head(a), self._head(b)
+        out = x < y
+        tied = np.flatnonzero(x == y)
+        a, b = a[tied], b[tied]
         n = self.common(a, b)
         whole = n >= self.length
         n = np.where(whole, 0, n)
-        return np.where(whole, or_equal, self.data[a + n] < self.data[b + n])
+        out[tied] = np.where(whole, or_equal, self.data[a + n] < self.data[b + n])
+        return out
 
     def sort(self, starts: np.ndarray, bucket: np.ndarray) -> np.ndarray:
         """The order of the suffixes within each bucket, buckets being runs of equal values: a bottom-up mergesort.
@@ -127,7 +142,11 @@ class Suffixes:
         edge = np.concatenate((np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1]))), [n]))
         which = np.repeat(np.arange(len(edge) - 1), np.diff(edge))
         begin, end = edge[which], edge[which + 1]
-        within, largest, run = np.arange(n) - begin, int(np.diff(edge).max(initial=0)), 1
+        within, largest, run = np.arange(n) - begin, int(np.diff(edge).max(initial=0)), 2
+        # Runs of one take one comparison for two.
+        one = np.flatnonzero((within % 2 == 0) & (order + 1 < end))
+        one = one[~self.before(starts[one], starts[one + 1], True)]
+        order[one], order[one + 1] = one + 1, one
         while run < largest:
             pair = within // (2 * run) * (2 * run)
             left = within - pair < run
@@ -168,17 +187,19 @@ def repeated_windows(contexts: list[tuple[int, bytes, int, int]], length: int) -
     bucket = anchor.astype(np.int64) << 20 | (np.array([c[2] for c in contexts])[owner] - window)
     by = np.argsort(bucket, kind="stable")
     _, inverse, size = np.unique(bucket[by], return_inverse=True, return_counts=True)
-    by = by[size[inverse] > 1]
+    size = size[inverse]
+    by, size = by[size > 1], size[size > 1]
     owner, window, bucket = owner[by], window[by], bucket[by]
     if not len(owner):
         return []
     starts = base[owner] + window
     suffixes = Suffixes(data, length)
-    order = suffixes.sort(starts, bucket)
+    order, more = np.arange(len(starts)), np.flatnonzero(size > 2)  # two are neighbours in any order
+    order[more] = more[suffixes.sort(starts[more], bucket[more])]
     one, two = order[:-1], order[1:]
     together = bucket[one] == bucket[two]
     one, two = one[together], two[together]
-    same = suffixes.common(starts[one], starts[two]) >= length
+    same = suffixes.same(starts[one], starts[two])
     one, two = one[same], two[same]
     # Neighbours of one pair of contexts overlap, so the bytes under all of them are compared once.
     pairs = {}
@@ -203,16 +224,24 @@ def _keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return docs.withColumns({"k1": F.xxhash64(F.col(doc_id)), "k2": F.xxhash64(body)})
 
 
-def _settle(texts: DataFrame, length: int, gram: int) -> DataFrame:
-    """(k1, k2, start, end) of byte ranges that are covered by repeated windows; they may overlap."""
-    texts = texts.where(F.octet_length("body") >= length)  # others have no window
+def _met(texts: DataFrame, keyed: DataFrame) -> DataFrame:
+    """The texts with ``met``, false for those that a join with a written table by k1 and k2 cannot meet."""
+    both = F.xxhash64("k1", "k2")
+    return flagged(texts, both, keyed, both, "met")
+
+
+def _settle(texts: DataFrame, length: int, gram: int, code: Callable[[bytes | None], bytes] | None = None) -> DataFrame:
+    """(k1, k2, start, end) of byte ranges that are covered by repeated windows; they may overlap.
+
+    ``code`` puts other bytes in the place of a text.
+    """
     spec = {"h": "longs", "c": "longs", "lo": "ints", "windows": "ints", "place": "ints"}
 
     def make():
         def work(values):
             out = {name: [] for name in spec}
             for value in values:
-                body = value or b""
+                body = code(value) if code else value or b""
                 h, place, first, last = anchors(body, length, gram)
                 out["h"].append(h)
                 out["c"].append(np.array([xxhash.xxh3_64_intdigest(body[a : b + length]) for a, b in zip(first.tolist(), last.tolist(), strict=True)], dtype=np.uint64).view(np.int64))
@@ -223,7 +252,8 @@ def _settle(texts: DataFrame, length: int, gram: int) -> DataFrame:
 
         return work
 
-    found = map_texts(texts, make, spec, ["k1", "k2"], "body")
+    windowed = texts if code else texts.where(F.octet_length("body") >= length)  # others have no window
+    found = map_texts(windowed, make, spec, ["k1", "k2"], "body")
     zipped = F.inline(F.arrays_zip(*spec))
     found = stored(found.where("size(h) > 0").select("k1", "k2", zipped), "anchors")
 
@@ -237,7 +267,11 @@ def _settle(texts: DataFrame, length: int, gram: int) -> DataFrame:
     several = stored(classes.groupBy("h").agg(F.count("*").alias("contexts"), F.min("n").alias("least")).where("contexts > 1 AND least = 1"), "several")
     doubtful = classes.join(several, "h").select("h", "n", "contexts", "first.*")
     ranges = F.collect_list(F.struct("h", "n", "contexts", "lo", "windows", "place")).alias("wanted")
-    cut = texts.join(stored(doubtful.groupBy("k1", "k2").agg(ranges), "wanted"), ["k1", "k2"]).groupBy("k1", "k2").agg(F.first("body").alias("body"), F.first("wanted").alias("wanted"))
+    wanted = stored(doubtful.groupBy("k1", "k2").agg(ranges), "wanted")
+    bodies = _met(texts, wanted).where("met").select("k1", "k2", "body")
+    if code:
+        bodies = map_texts(bodies, lambda: lambda values: {"body": [code(value) for value in values]}, {"body": "binary"}, ["k1", "k2"], "body")
+    cut = bodies.join(wanted, ["k1", "k2"]).groupBy("k1", "k2").agg(F.first("body").alias("body"), F.first("wanted").alias("wanted"))
     cut = cut.select("k1", "k2", "body", F.explode("wanted").alias("w")).select("k1", "k2", "w.*", F.expr(f"substring(body, w.lo + 1, w.windows - 1 + {length})").alias("context"))
     cut = stored(cut, "contexts")
     few = cut.where(F.col("contexts") <= MOST_CONTEXTS)
@@ -339,9 +373,7 @@ def word_codes(text: bytes | None) -> bytes:
 
 def _passages(texts: DataFrame, least: int) -> DataFrame:
     """(k1, k2, passages): ranges of at least so many words that stand elsewhere too, from codes in place of words."""
-    make = lambda: lambda values: {"body": [word_codes(value) for value in values]}
-    coded = map_texts(texts, make, {"body": "binary"}, ["k1", "k2"], "body")
-    found = _settle(coded, CODE * least, CODE * WORDS_OF_GRAM)
+    found = _settle(texts, CODE * least, CODE * WORDS_OF_GRAM, word_codes)
     # Whole words only.
     found = found.select("k1", "k2", F.ceil(F.col("start") / CODE).alias("start"), F.floor(F.col("end") / CODE).alias("end"))
     return found.distinct().groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "end")).alias("passages"))
@@ -370,7 +402,9 @@ def remove_repeats(
         spans = spans.join(_passages(texts.select("k1", "k2", "body"), passage_words), ["k1", "k2"], "full")
         inside = F.filter("passages", lambda x: x["end"] - x["start"] >= passage_words)
         shown += [inside["start"].alias("first"), inside["end"].alias("last")]
-    rows = texts.join(stored(spans, "spans"), ["k1", "k2"], "left").select(F.col(doc_id), "body", *shown)
+    spans = stored(spans, "spans")
+    marked = _met(texts, spans)
+    rows = marked.where("met").join(spans, ["k1", "k2"], "left").select(F.col(doc_id), "body", *shown)
     kinds = [("n_bytes", "long", pa.int64()), ("n_removed", "long", pa.int64()), ("n_spans", "long", pa.int64()), ("kept_sha256", "string", pa.string()), ("starts", "array<long>", pa.list_(pa.int64())), ("ends", "array<long>", pa.list_(pa.int64()))]
     kinds += [("kept_bytes", "binary", pa.binary())] if with_bytes else []
     told = [("n_passage_words", "long", pa.int64())] if passage_words is not None else []
@@ -398,4 +432,8 @@ def remove_repeats(
                 yield pa.RecordBatch.from_arrays([batch.column(doc_id), *columns], names=[doc_id, *out, *(name for name, _, _ in told)])
 
     schema = f"`{doc_id}` {dict(rows.dtypes)[doc_id]}, " + ", ".join(f"{name} {kind}" for name, kind, _ in [*kinds, *told])
-    return rows.mapInArrow(run, schema)
+    # Documents without a range are whole, and need no Python.
+    body, none = F.coalesce("body", F.lit(bytearray())), F.array().cast("array<long>")
+    whole = {"n_bytes": F.octet_length(body), "kept_sha256": F.sha2(body, 256), "starts": none, "ends": none, "kept_bytes": body}
+    alone = [whole.get(name, F.lit(0)).cast(kind).alias(name) for name, kind, _ in [*kinds, *told]]
+    return rows.mapInArrow(run, schema).unionByName(marked.where("NOT met").select(F.col(doc_id), *alone))

@@ -6,7 +6,7 @@ import numpy as np
 
 from rinseframe.llm import queries
 from rinseframe.llm import suffixes as op
-from tests.llm.helpers import FOLDER, SCHEMA, documents, odd
+from tests.llm.helpers import FOLDER, SCHEMA, documents, odd, shuffled_bytes
 
 
 def brute(rows, length):
@@ -114,6 +114,41 @@ def test_colliding_hashes_are_told_apart(monkeypatch):
     assert op.repeated_windows([(1, one, 5, 10), (1, two, 5, 10)], 50) == []
 
 
+def test_windows_of_few_and_many_contexts(monkeypatch):
+    """Against a table of all windows; contexts of an anchor in twos, threes and more, and windows shorter than a number.
+
+    Where a window meets only one other, no common extension is searched for: they are neighbours in any order.
+    """
+    searched, common = [], op.Suffixes.common
+    monkeypatch.setattr(op.Suffixes, "common", lambda self, a, b: searched.append(len(a)) or common(self, a, b))
+    rng = random.Random(4)
+    for length, sizes in ((60, [2] * 40), (60, [2, 3, 5, 8, 30]), (5, [2, 3, 30]), (8, [40])):
+        contexts = []
+        for anchor, n in enumerate(sizes):
+            base = pieces(rng, 2 * length - 1)
+            for _ in range(n):
+                left, right = rng.randrange(length), rng.randrange(length, 2 * length - 1)
+                text = (pieces(rng, left) + base[left:right] + pieces(rng, 2 * length - 1 - right)).encode("ascii", "replace")
+                first, last = sorted((rng.randrange(length), rng.randrange(length)))
+                contexts.append((anchor, text[first : last + length], length - 1 - first, last - first + 1))
+        seen = Counter((h, place - w, x[w : w + length]) for h, x, place, n in contexts for w in range(n))
+        expected = {(i, w) for i, (h, x, place, n) in enumerate(contexts) for w in range(n) if seen[h, place - w, x[w : w + length]] > 1}
+        searched.clear()
+        found = op.repeated_windows(contexts, length)
+        assert {(i, w) for i, a, b in found for w in range(a, b + 1)} == expected and expected
+        assert (sum(searched) == 0) == (max(sizes) == 2)
+
+
+def test_texts_without_repeats_are_not_shuffled(spark):
+    """Of 400 texts 20 share a passage; what moves is these, the ranges and what the filter's bits let through."""
+    rng = random.Random(9)
+    texts = [pieces(rng, 3000) for _ in range(400)]
+    texts[:20] = [t + texts[-1][:500] for t in texts[:20]]
+    out = op.remove_repeats(frame(spark, texts), with_bytes=False, passage_words=51)
+    assert shuffled_bytes(out) < 0.25 * sum(map(len, texts))
+    assert sorted(r.doc_id for r in out.where("n_removed > 0").collect()) == [*range(20), 399]
+
+
 def test_odd_and_empty_tables(spark):
     small = odd(spark)
     out = {r.doc_id: r for r in op.remove_repeats(small).collect()}
